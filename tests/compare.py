@@ -11,6 +11,7 @@ import time
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -32,7 +33,7 @@ def rows_of(frame) -> tuple[list[str], list[tuple]]:
     names = sorted(frame.columns)
 
     def clean(value):
-        if value is None or (isinstance(value, float) and math.isnan(value)):
+        if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
             return None
         if hasattr(value, "item"):
             value = value.item()

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecrew.operators import impact
+from tidecrew.functions import pricing
+from tidecrew.operators import impact, marketplace, organisers
 from tidecrew.oracle import impact as impact_sql
+from tidecrew.oracle import marketplace as marketplace_sql
+from tidecrew.oracle import organisers as organisers_sql
 from tidecrew.session import tune
 from tidecrew.sources.catalog import Tables
 from tidecrew.sources.mapping import benchmark_tables
@@ -37,8 +40,72 @@ IMPACT: dict[str, Callable[[Tables], DataFrame]] = {
     "pending_products": impact.pending_products,
 }
 
-REPORTS: dict[str, Callable[[Tables], DataFrame]] = {**IMPACT}
-STATEMENTS: dict[str, str] = {**impact_sql.STATEMENTS}
+ORGANISERS: dict[str, Callable[[Tables], DataFrame]] = {
+    "organiser_drives": organisers.organiser_drives,
+    "organiser_buyers": organisers.organiser_buyers,
+    "organiser_donors": organisers.organiser_donors,
+    "joinable_drives": organisers.joinable_drives,
+    "joined_drives": organisers.joined_drives,
+    "drive_capacity": organisers.drive_capacity,
+    "supplies_list": organisers.supplies_list,
+    "supplies_text": lambda t: organisers.supplies_text(organisers.supplies_list(t)),
+    "badge_history": organisers.badge_history,
+    "badge_counts": organisers.badge_counts,
+    "drive_roster": organisers.drive_roster,
+    "organiser_completed_totals": organisers.organiser_completed_totals,
+    "organiser_completed_totals_fixed": lambda t: organisers.organiser_completed_totals(t, fixed=True),
+    "organiser_completed_drives": organisers.organiser_completed_drives,
+    "drive_payroll": organisers.drive_payroll,
+    "drive_total_plastics": organisers.drive_total_plastics,
+    "volunteer_history": organisers.volunteer_history,
+    "drive_volunteer_names": organisers.drive_volunteer_names,
+    "organiser_feedback": organisers.organiser_feedback,
+    "feedback_stats": organisers.feedback_stats,
+    "feedback_by_drive": organisers.feedback_by_drive,
+    "feedback_by_drive_name": lambda t: organisers.feedback_by_drive(t, by_name=True),
+    "organiser_directory": organisers.organiser_directory,
+    "organiser_directory_fixed": lambda t: organisers.organiser_directory(t, fixed=True),
+    "organiser_directory_any_status": organisers.organiser_directory_any_status,
+    "organiser_products": organisers.organiser_products,
+    "user_locations": organisers.user_locations,
+    "addresses": organisers.addresses,
+    "donation_receipt": organisers.donation_receipt,
+    "public_drives": organisers.public_drives,
+    "buyer_summary": organisers.buyer_summary,
+    "buyer_products": organisers.buyer_products,
+}
+
+MARKETPLACE: dict[str, Callable[[Tables], DataFrame]] = {
+    "approved_catalog": marketplace.approved_catalog,
+    "approved_catalog_slim": marketplace.approved_catalog_slim,
+    "highest_badge": pricing.highest_badge,
+    "volunteer_discount": marketplace.volunteer_discount,
+    "priced_catalog": marketplace.priced_catalog,
+    "priced_catalog_search": lambda t: marketplace.priced_catalog(t, null_without_discount=True),
+    "cart_contents": marketplace.cart_contents,
+    "cart_count": marketplace.cart_count,
+    "cart_total": marketplace.cart_total,
+    "cart_total_badge": marketplace.cart_total_badge,
+    "purchase_history_view": marketplace.purchase_history_view,
+    "purchase_totals": lambda t: marketplace.purchase_totals(marketplace.purchase_history_view(t)),
+    "purchase_filter_all": marketplace.purchase_filter,
+    "purchase_filter_completed": lambda t: marketplace.purchase_filter(t, "Completed"),
+    "purchase_filter_pending": lambda t: marketplace.purchase_filter(t, "pending"),
+    "product_rating_summary": marketplace.product_rating_summary,
+    "product_rating": marketplace.product_rating,
+    "latest_feedback": marketplace.latest_feedback,
+    "product_search": marketplace.product_search,
+    "product_search_term": lambda t: marketplace.product_search(t, " Bolt "),
+    "search_recommendations": marketplace.search_recommendations,
+    "search_recommendations_term": lambda t: marketplace.search_recommendations(t, "bolt"),
+}
+
+REPORTS: dict[str, Callable[[Tables], DataFrame]] = {**IMPACT, **ORGANISERS, **MARKETPLACE}
+STATEMENTS: dict[str, str] = {
+    **impact_sql.STATEMENTS,
+    **organisers_sql.STATEMENTS,
+    **marketplace_sql.STATEMENTS,
+}
 
 
 def _query(report: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
