@@ -28,3 +28,8 @@ def sorted_if(df: DataFrame, ordered: bool, *order: Column | str) -> DataFrame:
     date or an owner still spread over the tasks.  Callers that only write the rows out pass ``ordered=False``.
     """
     return df.orderBy(*order) if ordered else df
+
+
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast only after counting that ``df`` has at most ``rows`` rows; otherwise leave the choice to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecrew.plans.durable import cut
+
 # Rows of a group that one window task handles at most.
 BLOCK = 4096
 # Values put into one list at most; longer lists are split into numbered parts.
@@ -72,3 +74,29 @@ def text_lists(
         .select(*groups, "part", value)
     )
     return placed.groupBy(*groups, "part").agg(F.array_join(F.sort_array(F.collect_list(value)), ",").alias(name))
+
+
+def sorted_positions(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Number the rows of every group 1, 2, 3, ... in the given order, which must end in a unique key.
+
+    The rows are range-partitioned and sorted like any distributed sort, so a group may span many partitions.  They
+    are then stored in the shared folder: numbering reads the partition layout twice, and it has to be the same layout
+    both times, also after an executor was lost in between.
+    """
+    keys = [F.col(g) for g in groups]
+    numbered = cut(
+        rows.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("_slice", F.shiftright("_row", 33))
+    )
+    slices = numbered.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    earlier = (
+        Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
+    )
+    offsets = slices.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return (
+        numbered.join(offsets, [*groups, "_slice"])
+        .withColumn(name, F.col("_row") - F.col("_first") + F.col("_before") + 1)
+        .select(*rows.columns, name)
+    )

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidecrew.functions import pricing
-from tidecrew.operators import impact, marketplace, organisers
+from tidecrew.operators import impact, marketplace, organisers, recommend, similar, training
 from tidecrew.oracle import impact as impact_sql
 from tidecrew.oracle import marketplace as marketplace_sql
 from tidecrew.oracle import organisers as organisers_sql
+from tidecrew.oracle import recommend as recommend_sql
 from tidecrew.session import tune
 from tidecrew.sources.catalog import Tables
 from tidecrew.sources.mapping import benchmark_tables
@@ -100,11 +102,64 @@ MARKETPLACE: dict[str, Callable[[Tables], DataFrame]] = {
     "search_recommendations_term": lambda t: marketplace.search_recommendations(t, "bolt"),
 }
 
-REPORTS: dict[str, Callable[[Tables], DataFrame]] = {**IMPACT, **ORGANISERS, **MARKETPLACE}
+
+def _one_band(t: Tables) -> DataFrame:
+    """Users of the training set; the mean score is the same for all of them."""
+    return training.training_set(t).select("user_id").distinct().withColumn("user_band", F.lit(0).cast("bigint"))
+
+
+def _personal_users(t: Tables) -> DataFrame:
+    kinds = recommend.recommendation_type(recommend.candidate_counts(t)).filter(F.col("type") == "personalized")
+    return _one_band(t).join(kinds.select("user_id"), "user_id", "left_semi")
+
+
+def _model_ratings(t: Tables) -> list[int]:
+    """The rating values that occur, at most five."""
+    return [row.rating for row in training.rating_index(t).orderBy("index").limit(5).collect()]
+
+
+def _model_recommendations(t: Tables) -> DataFrame:
+    model = training.rating_model(training.model_frame(t))
+    scores = training.model_scores(t, model, _model_ratings(t))
+    return recommend.recommendations(t, training.user_bands(t), scores)
+
+
+RECOMMENDER: dict[str, Callable[[Tables], DataFrame]] = {
+    "training_set": training.training_set,
+    "training_features": training.training_features,
+    "active_raters": training.active_raters,
+    "active_rater_check": training.active_rater_check,
+    "rating_distribution": training.rating_distribution,
+    "rating_index": training.rating_index,
+    "label_encoding": training.label_encoding,
+    "train_test_split": training.train_test_split,
+    "model_metadata": training.model_metadata,
+    "user_bands": training.user_bands,
+    "serving_features": training.serving_features,
+    "candidate_counts": recommend.candidate_counts,
+    "recommendation_type": lambda t: recommend.recommendation_type(recommend.candidate_counts(t)),
+    "mean_scores": training.mean_scores,
+    "category_boost": recommend.category_boost,
+    "top_recommendations": lambda t: recommend.top_recommendations(t, _personal_users(t), training.mean_scores(t)),
+    "fallback_list": recommend.fallback_list,
+    "popular_list": recommend.popular_list,
+    "bought_list": recommend.bought_list,
+    "newest_products": recommend.newest_products,
+    "recommendations": lambda t: recommend.recommendations(t, _one_band(t), training.mean_scores(t)),
+    "similar_users": lambda t: similar.similar_users(t, similar.busiest_buyer(t)),
+    "cf_recommendations": lambda t: similar.cf_recommendations(t, similar.busiest_buyer(t)),
+    "feature_importance": lambda t: training.feature_importance(
+        t.spark, training.rating_model(training.model_frame(t))
+    ),
+    "model_recommendations": _model_recommendations,
+}
+
+REPORTS: dict[str, Callable[[Tables], DataFrame]] = {**IMPACT, **ORGANISERS, **MARKETPLACE, **RECOMMENDER}
 STATEMENTS: dict[str, str] = {
     **impact_sql.STATEMENTS,
     **organisers_sql.STATEMENTS,
     **marketplace_sql.STATEMENTS,
+    **recommend_sql.STATEMENTS,
 }
 
 
