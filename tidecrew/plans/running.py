@@ -1,8 +1,8 @@
 """Running totals, dense numbering and list building that never put a whole group into one task.
 
 A plain window over a group sends the group to a single task.  Here the group is cut into blocks of its order key:
-totals per block come from a partially aggregated shuffle, only the block totals are accumulated per group, and the
-window that touches the rows runs inside a block, which holds at most ``block`` different keys.
+totals per block come from a partially aggregated shuffle, only block totals are accumulated per group, and the window
+that touches the rows runs inside a block, which holds at most ``block`` different keys.
 """
 
 from __future__ import annotations
@@ -21,30 +21,42 @@ PART = 1000
 
 
 def running_totals(
-    rows: DataFrame, groups: Sequence[str], order: str, totals: Mapping[str, Column], block: int = BLOCK
+    rows: DataFrame,
+    groups: Sequence[str],
+    order: str,
+    totals: Mapping[str, Column],
+    block: int = BLOCK,
+    levels: int = 2,
 ) -> DataFrame:
     """Add inclusive running sums over ``order`` within ``groups``.
 
-    ``order`` is an integer that is unique within a group; ``totals`` maps new column names to summed values.
+    ``order`` is an integer that is unique within a group; group columns are not NULL; ``totals`` maps new column names
+    to summed values.  With n ``levels`` the block totals are cut into blocks again n - 1 times, so the last window sees
+    one row per ``block ** n`` keys, however thinly the keys are sown.
     """
-    cut = rows.withColumn("_block", F.floor(F.col(order) / block)).withColumns(
-        {f"_v_{name}": value for name, value in totals.items()}
-    )
-    keys = [*groups, "_block"]
-    sums = cut.groupBy(*keys).agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in totals])
-    earlier = (
-        Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
-    )
-    offsets = sums.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}") for name in totals],
+    name = f"_block_{levels}"
+    keys = [*groups, name]
+    cut_up = rows.withColumn(name, F.floor(F.col(order) / block)).withColumns(
+        {f"_v_{levels}_{total}": value for total, value in totals.items()}
     )
+    sums = cut_up.groupBy(*keys).agg(*[F.sum(f"_v_{levels}_{t}").alias(f"_s_{levels}_{t}") for t in totals])
+    if levels > 1:
+        up_to = running_totals(
+            sums, groups, name, {f"_u_{levels}_{t}": F.col(f"_s_{levels}_{t}") for t in totals}, block, levels - 1
+        )
+        before = {t: F.col(f"_u_{levels}_{t}") - F.col(f"_s_{levels}_{t}") for t in totals}
+    else:
+        up_to = sums
+        earlier = (
+            Window.partitionBy(*groups).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
+        )
+        before = {t: F.coalesce(F.sum(f"_s_{levels}_{t}").over(earlier), F.lit(0)) for t in totals}
+    offsets = up_to.select(*keys, *[before[t].alias(f"_o_{levels}_{t}") for t in totals])
     inner = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same_block = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return (
-        cut.withColumns({f"_r_{name}": F.sum(f"_v_{name}").over(inner) for name in totals})
-        .join(offsets, same_block, "left")
-        .select(*rows.columns, *[(F.col(f"_r_{name}") + F.col(f"_o_{name}")).alias(name) for name in totals])
+        cut_up.withColumns({f"_r_{levels}_{t}": F.sum(f"_v_{levels}_{t}").over(inner) for t in totals})
+        .join(offsets, keys)
+        .select(*rows.columns, *[(F.col(f"_r_{levels}_{t}") + F.col(f"_o_{levels}_{t}")).alias(t) for t in totals])
     )
 
 

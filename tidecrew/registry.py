@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecrew.functions import pricing
-from tidecrew.operators import impact, marketplace, organisers, recommend, similar, training
+from tidecrew.operators import changes, impact, marketplace, organisers, recommend, similar, training
+from tidecrew.oracle import changes as changes_sql
 from tidecrew.oracle import impact as impact_sql
 from tidecrew.oracle import marketplace as marketplace_sql
 from tidecrew.oracle import organisers as organisers_sql
 from tidecrew.oracle import recommend as recommend_sql
+from tidecrew.plans.keyed import upsert_by_key
 from tidecrew.session import tune
 from tidecrew.sources.catalog import Tables
 from tidecrew.sources.mapping import benchmark_tables
+from tidecrew.sources.requests import request_batch
 from tidecrew.sources.sinks import json_rows, plain_types
 
 IMPACT: dict[str, Callable[[Tables], DataFrame]] = {
@@ -154,12 +157,108 @@ RECOMMENDER: dict[str, Callable[[Tables], DataFrame]] = {
     "model_recommendations": _model_recommendations,
 }
 
-REPORTS: dict[str, Callable[[Tables], DataFrame]] = {**IMPACT, **ORGANISERS, **MARKETPLACE, **RECOMMENDER}
+
+def _verdicts(change: Callable[..., changes.Change], batch: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: change(t, request_batch(t, batch)).verdicts
+
+
+def _table(change: Callable[..., changes.Change], batch: str, table: str, *columns: str) -> Callable[[Tables], DataFrame]:
+    def run(t: Tables) -> DataFrame:
+        new = change(t, request_batch(t, batch)).tables[table]
+        return new.select(*columns) if columns else new
+
+    return run
+
+
+def _kept_drives(t: Tables, **form: bool) -> DataFrame:
+    """The keys left in the drive tables after a deletion."""
+    kept = changes.delete_drives(t, request_batch(t, "drive_deletions"), **form)
+    rows = kept["drives"].select(F.lit("drives").alias("kept_table"), F.col("id").alias("event_id"), F.lit(0).alias("volunteer_id"))
+    for name in ("drive_volunteers", "drive_feedback", "volunteer_badges"):
+        rows = rows.unionByName(kept[name].select(F.lit(name).alias("kept_table"), "event_id", "volunteer_id"))
+    return rows
+
+
+def _kept_users(t: Tables, **form: bool) -> DataFrame:
+    """The keys left in the user and purchase tables after a deletion."""
+    kept = changes.delete_users(t, request_batch(t, "user_deletions"), **form)
+    users = kept["users"].select(F.lit("users").alias("kept_table"), "id")
+    return users.unionByName(kept["purchases"].select(F.lit("purchases").alias("kept_table"), "id"))
+
+
+def _recorded_work(t: Tables) -> DataFrame:
+    return changes.record_work(t, request_batch(t, "work_records"))
+
+
+CART_KEYS = ("user_id", "product_id", "quantity")
+
+CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
+    "register_users": _verdicts(changes.register_users, "registrations"),
+    "register_users_table": _table(changes.register_users, "registrations", "users"),
+    "update_users": lambda t: changes.update_users(t, request_batch(t, "user_updates")),
+    "upsert_by_key": lambda t: upsert_by_key(t.cart, request_batch(t, "cart_upserts"), ["user_id", "product_id"]),
+    "create_drives": lambda t: changes.create_drives(t, request_batch(t, "new_drives")),
+    "update_drives": lambda t: changes.update_drives(t, request_batch(t, "drive_updates")).verdicts.select(
+        "request_id", "id", "organiser_id", "reason"
+    ),
+    "update_drives_table": _table(
+        changes.update_drives,
+        "drive_updates",
+        "drives",
+        *("id", "organiser_id", "event_name", "event_date", "event_time"),
+        *("num_volunteers", "salary_per_volunteer", "status"),
+    ),
+    "delete_drives": _kept_drives,
+    "delete_drives_any_children": lambda t: _kept_drives(t, check_owner_first=False),
+    "delete_drives_admin": lambda t: _kept_drives(t, admin=True),
+    "delete_users": _kept_users,
+    "delete_users_buyers": lambda t: _kept_users(t, buyers_only=True),
+    "delete_users_only": lambda t: _kept_users(t, cascade=False),
+    "review_products": lambda t: changes.review_products(t, request_batch(t, "product_reviews")).select("id", "status"),
+    "join_drives": _verdicts(changes.join_drives, "join_requests"),
+    "award_badges": _verdicts(changes.award_badges, "badge_requests"),
+    "record_work": _recorded_work,
+    "record_work_totals": lambda t: organisers.drive_total_plastics(t.with_tables(drive_volunteers=_recorded_work(t))),
+    "record_products": _verdicts(changes.record_products, "recycled_records"),
+    "upload_products": _verdicts(changes.upload_products, "uploads"),
+    "apply_purchases": _verdicts(changes.apply_purchases, "purchase_requests"),
+    "apply_purchases_stock": _table(changes.apply_purchases, "purchase_requests", "products", "id", "quantity"),
+    "apply_purchases_cart": _table(changes.apply_purchases, "purchase_requests", "cart", *CART_KEYS),
+    "add_to_cart": _verdicts(changes.add_to_cart, "cart_adds"),
+    "add_to_cart_table": _table(changes.add_to_cart, "cart_adds", "cart"),
+    "set_cart_quantity": _verdicts(changes.set_cart_quantity, "cart_quantities"),
+    "set_cart_quantity_table": _table(changes.set_cart_quantity, "cart_quantities", "cart", *CART_KEYS),
+    "remove_from_cart": lambda t: changes.remove_from_cart(t, request_batch(t, "cart_removals")).select(*CART_KEYS),
+    "validate_checkout": lambda t: changes.validate_checkout(t, request_batch(t, "checkout_lines")),
+    "checkout_carts": lambda t: changes.checkout_carts(t).verdicts,
+    "checkout_purchases": lambda t: changes.checkout_carts(t).tables["new_purchases"],
+    "checkout_stock": lambda t: changes.checkout_carts(t).tables["products"].select("id", "quantity"),
+    "decrement_stock": _verdicts(changes.decrement_stock, "stock_requests"),
+    "decrement_stock_table": _table(changes.decrement_stock, "stock_requests", "products", "id", "category", "quantity"),
+    "record_drive_feedback": _verdicts(changes.record_drive_feedback, "drive_feedback_requests"),
+    "record_product_feedback": _verdicts(changes.record_product_feedback, "product_feedback_requests"),
+    "record_donations": _verdicts(changes.record_donations, "donation_requests"),
+    "record_donations_table": _table(
+        changes.record_donations,
+        "donation_requests",
+        "donations",
+        *("id", "donor_name", "amount", "organiser_id", "donation_date", "status"),
+    ),
+}
+
+REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
+    **IMPACT,
+    **ORGANISERS,
+    **MARKETPLACE,
+    **RECOMMENDER,
+    **CHANGES,
+}
 STATEMENTS: dict[str, str] = {
     **impact_sql.STATEMENTS,
     **organisers_sql.STATEMENTS,
     **marketplace_sql.STATEMENTS,
     **recommend_sql.STATEMENTS,
+    **changes_sql.STATEMENTS,
 }
 
 
