@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from tidecrew.functions import pricing
 from tidecrew.operators import changes, impact, marketplace, organisers, recommend, similar, training
 from tidecrew.oracle import changes as changes_sql
+from tidecrew.oracle import flows as flows_sql
 from tidecrew.oracle import impact as impact_sql
 from tidecrew.oracle import marketplace as marketplace_sql
 from tidecrew.oracle import organisers as organisers_sql
 from tidecrew.oracle import recommend as recommend_sql
+from tidecrew.plans.durable import new_folder
 from tidecrew.plans.keyed import upsert_by_key
 from tidecrew.session import tune
 from tidecrew.sources.catalog import Tables
 from tidecrew.sources.mapping import benchmark_tables
 from tidecrew.sources.requests import request_batch
-from tidecrew.sources.sinks import json_rows, plain_types
+from tidecrew.sources.sinks import append_rows, export_json, plain_types
+from tidecrew.streaming import jobs
 
 IMPACT: dict[str, Callable[[Tables], DataFrame]] = {
     "impact_stats": impact.impact_stats,
@@ -127,6 +130,14 @@ def _model_recommendations(t: Tables) -> DataFrame:
     return recommend.recommendations(t, training.user_bands(t), scores)
 
 
+def _stored_importance(t: Tables) -> DataFrame:
+    """Train, store, load, and report the loaded model's importances."""
+    folder = new_folder(t.spark, "model")
+    training.save_model(training.rating_model(training.model_frame(t)), training.model_metadata(t), folder)
+    model, _ = training.load_model(t.spark, folder)
+    return training.feature_importance(t.spark, model)
+
+
 RECOMMENDER: dict[str, Callable[[Tables], DataFrame]] = {
     "training_set": training.training_set,
     "training_features": training.training_features,
@@ -151,9 +162,7 @@ RECOMMENDER: dict[str, Callable[[Tables], DataFrame]] = {
     "recommendations": lambda t: recommend.recommendations(t, _one_band(t), training.mean_scores(t)),
     "similar_users": lambda t: similar.similar_users(t, similar.busiest_buyer(t)),
     "cf_recommendations": lambda t: similar.cf_recommendations(t, similar.busiest_buyer(t)),
-    "feature_importance": lambda t: training.feature_importance(
-        t.spark, training.rating_model(training.model_frame(t))
-    ),
+    "feature_importance": _stored_importance,
     "model_recommendations": _model_recommendations,
 }
 
@@ -259,12 +268,51 @@ STATEMENTS: dict[str, str] = {
     **marketplace_sql.STATEMENTS,
     **recommend_sql.STATEMENTS,
     **changes_sql.STATEMENTS,
+    **flows_sql.STATEMENTS,
 }
 
 
+def _appended_donations(t: Tables) -> DataFrame:
+    """Accepted donations appended to a stored table and read back."""
+    columns = ("id", "donor_name", "amount", "organiser_id", "donation_date", "status")
+    folder = new_folder(t.spark, "donations")
+    change = changes.record_donations(t, request_batch(t, "donation_requests"))
+    append_rows(t.donations.select(*columns), folder)
+    new = change.tables["donations"].join(t.donations.select("id"), "id", "left_anti")
+    append_rows(new.select(*columns), folder)
+    return t.spark.read.parquet(folder)
+
+
+def _exported_donations(t: Tables) -> DataFrame:
+    """The donation feed written as JSON lines and read back as text."""
+    folder = new_folder(t.spark, "json")
+    export_json(impact.donations_export(t, ordered=False), folder)
+    return t.spark.read.text(folder).withColumnRenamed("value", "json")
+
+
+STORED: dict[str, Callable[[Tables], DataFrame]] = {
+    "append_rows": _appended_donations,
+    "export_json": _exported_donations,
+}
+REPORTS.update(STORED)
+
+# Streams read the event files of the folder themselves.
+STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "live_impact": jobs.live_impact,
+    "donations_by_day": jobs.donations_by_day,
+    "first_join": jobs.first_join,
+    "stock_ledger": lambda spark, folder: jobs.stock_ledger(spark, folder, benchmark_tables(spark, folder)),
+}
+
+
+def _stream(job: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: plain_types(job(tune(spark), sf_dir))
+
+
 def _query(report: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: plain_types(report(benchmark_tables(tune(spark), sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(report) for name, report in REPORTS.items()}
+    reports = {name: _query(report) for name, report in REPORTS.items()}
+    return {**reports, **{name: _stream(job) for name, job in STREAMS.items()}}

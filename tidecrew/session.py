@@ -17,6 +17,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Per-group top-k is cut to k rows per task before the shuffle (all our k are below this).
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    # Streaming state lives on disk and off the heap, so it may outgrow the executor's memory.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Parquet text and timestamps mean the same on every machine.
     "spark.sql.session.timeZone": "UTC",
 }

@@ -48,6 +48,12 @@ def parquet_catalog(spark: SparkSession, root: str, names: tuple[str, ...] = TAB
     return Tables(spark, {n: (lambda n=n: spark.read.parquet(f"{root}/{n}")) for n in names})
 
 
+def store_catalog(tables: Tables, root: str, names: tuple[str, ...] = TABLE_NAMES) -> None:
+    """Write datasets to the layout :func:`parquet_catalog` reads."""
+    for name in names:
+        getattr(tables, name).write.mode("overwrite").parquet(f"{root}/{name}")
+
+
 def jdbc_catalog(
     spark: SparkSession,
     url: str,
