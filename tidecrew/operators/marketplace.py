@@ -71,6 +71,12 @@ def priced_catalog(t: Tables, null_without_discount: bool = False) -> DataFrame:
     )
 
 
+def priced_catalog_for(t: Tables, user_id: int) -> DataFrame:
+    """The sales page of one user: the catalogue at their level."""
+    mine = pricing.badge_discounts(t).filter(F.col("user_id") == user_id).agg(zero(F.max("discount_pct")))
+    return priced_catalog(t).filter(F.col("discount_pct") == mine.scalar()).orderBy(F.desc("id"))
+
+
 def _current(t: Tables) -> DataFrame:
     return t.products.select(
         F.col("id").alias("product_id"),

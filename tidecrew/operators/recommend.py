@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidecrew.operators.impact import zero
 from tidecrew.operators.training import training_set
-from tidecrew.plans.combine import broadcast_up_to
+from tidecrew.plans.combine import broadcast_up_to, spread_out
 from tidecrew.plans.durable import cut
 from tidecrew.plans.running import running_totals, sorted_positions
 from tidecrew.sources.catalog import Tables
@@ -81,6 +81,18 @@ def candidate_counts(t: Tables) -> DataFrame:
     )
 
 
+def candidates_for(t: Tables, user_id: int) -> DataFrame:
+    """The products one user can be recommended: Approved, rated by anybody, not bought."""
+    mine = t.purchases.filter(F.col("user_id") == user_id).select(F.col("product_id").alias("id")).distinct()
+    rated = training_set(t).select(F.col("product_id").alias("id")).distinct()
+    return (
+        t.products.filter(F.col("status") == "Approved")
+        .join(mine, "id", "left_anti")
+        .join(rated, "id", "left_semi")
+        .select(F.col("id").alias("product_id"), "category", "price")
+    )
+
+
 def recommendation_type(counts: DataFrame) -> DataFrame:
     """The branch each user falls into, in the order the checks are made."""
     kind = (
@@ -125,7 +137,7 @@ def top_recommendations(t: Tables, users: DataFrame, scores: DataFrame, n: int =
     of a category but the one with the lowest id among those the user can be shown.
     """
     category = F.coalesce("category", F.lit("")).alias("category")
-    users = cut(users.select("user_id", "user_band"))
+    users = cut(spread_out(users.select("user_id", "user_band"), "user_id"))
     scored = scores.select("user_band", "product_id", category, "base")
     listed = scored.select("product_id", "category").distinct()
     by_id = sorted_positions(listed, ["category"], [F.col("product_id")], "id_place")

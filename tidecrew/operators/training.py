@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidecrew.plans.combine import spread_out
 from tidecrew.plans.durable import cut
 from tidecrew.plans.running import dense_index, running_totals, spread
 from tidecrew.sources.catalog import Tables
@@ -190,7 +191,8 @@ def rating_model(frame: DataFrame, trees: int = TREES, seed: int = SEED) -> Pipe
     )
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     # The learner reads its input several times over, so it gets a stored table rather than a long plan.
-    train = cut(frame.filter(~is_test(F.col("purchase_id"), seed)).select("label", *FEATURES))
+    side = frame.filter(~is_test(F.col("purchase_id"), seed))
+    train = cut(spread_out(side, "purchase_id").select("label", *FEATURES))
     return Pipeline(stages=[assembler, forest]).fit(train)
 
 
@@ -272,7 +274,7 @@ def model_scores(t: Tables, model: PipelineModel, ratings: Sequence[int]) -> Dat
     ``USER_BANDS`` rows per product.
     """
     bands = F.explode(F.sequence(F.lit(0), F.lit(USER_BANDS - 1))).alias("user_band")
-    rows = serving_features(t).select("*", bands)
+    rows = spread_out(serving_features(t), "product_id").select("*", bands)
     return model.transform(rows).select(
         F.col("user_band").cast("bigint").alias("user_band"),
         "product_id",

@@ -3,7 +3,13 @@
 from tidecrew.oracle.changes import STATEMENTS as CHANGES
 from tidecrew.oracle.mapping import oracle
 
+COUNTED = (
+    *("users", "drives", "drive_volunteers", "drive_feedback", "volunteer_badges"),
+    *("donations", "products", "purchases", "product_feedback", "cart"),
+)
+
 STATEMENTS = {
+    "catalog": oracle(" union all ".join(f"select '{n}' as name, count(*) as rows from {n}" for n in COUNTED)),
     "live_impact": """
         select event_type, count(*) as events, cast(sum(cast(value as decimal(10,2))) as double) as amount
         from events group by 1""",

@@ -33,3 +33,13 @@ def sorted_if(df: DataFrame, ordered: bool, *order: Column | str) -> DataFrame:
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``rows`` rows; otherwise leave the choice to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread_out(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores by ``key``, for rows that are few in bytes but much work each.
+
+    The number is given outright, so that small partitions are not merged again at run time.
+    """
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted, key)

@@ -15,10 +15,10 @@ from tidecrew.oracle import impact as impact_sql
 from tidecrew.oracle import marketplace as marketplace_sql
 from tidecrew.oracle import organisers as organisers_sql
 from tidecrew.oracle import recommend as recommend_sql
-from tidecrew.plans.durable import new_folder
+from tidecrew.plans.durable import cut, new_folder
 from tidecrew.plans.keyed import upsert_by_key
 from tidecrew.session import tune
-from tidecrew.sources.catalog import Tables
+from tidecrew.sources.catalog import TABLE_NAMES, Tables, row_counts
 from tidecrew.sources.mapping import benchmark_tables
 from tidecrew.sources.requests import request_batch
 from tidecrew.sources.sinks import append_rows, export_json, plain_types
@@ -109,6 +109,14 @@ MARKETPLACE: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def _settled(t: Tables) -> Tables:
+    """Purchases and ratings stored once for the jobs that read them again and again.
+
+    Over the benchmark tables both are joins; a stored catalogue has them as tables and needs no such step.
+    """
+    return t.with_tables(purchases=cut(t.purchases), product_feedback=cut(t.product_feedback))
+
+
 def _one_band(t: Tables) -> DataFrame:
     """Users of the training set; the mean score is the same for all of them."""
     return training.training_set(t).select("user_id").distinct().withColumn("user_band", F.lit(0).cast("bigint"))
@@ -125,13 +133,25 @@ def _model_ratings(t: Tables) -> list[int]:
 
 
 def _model_recommendations(t: Tables) -> DataFrame:
+    t = _settled(t)
     model = training.rating_model(training.model_frame(t))
     scores = training.model_scores(t, model, _model_ratings(t))
     return recommend.recommendations(t, training.user_bands(t), scores)
 
 
+def _top_recommendations(t: Tables) -> DataFrame:
+    t = _settled(t)
+    return recommend.top_recommendations(t, _personal_users(t), training.mean_scores(t))
+
+
+def _recommendations(t: Tables) -> DataFrame:
+    t = _settled(t)
+    return recommend.recommendations(t, _one_band(t), training.mean_scores(t))
+
+
 def _stored_importance(t: Tables) -> DataFrame:
     """Train, store, load, and report the loaded model's importances."""
+    t = _settled(t)
     folder = new_folder(t.spark, "model")
     training.save_model(training.rating_model(training.model_frame(t)), training.model_metadata(t), folder)
     model, _ = training.load_model(t.spark, folder)
@@ -154,12 +174,12 @@ RECOMMENDER: dict[str, Callable[[Tables], DataFrame]] = {
     "recommendation_type": lambda t: recommend.recommendation_type(recommend.candidate_counts(t)),
     "mean_scores": training.mean_scores,
     "category_boost": recommend.category_boost,
-    "top_recommendations": lambda t: recommend.top_recommendations(t, _personal_users(t), training.mean_scores(t)),
+    "top_recommendations": _top_recommendations,
     "fallback_list": recommend.fallback_list,
     "popular_list": recommend.popular_list,
     "bought_list": recommend.bought_list,
     "newest_products": recommend.newest_products,
-    "recommendations": lambda t: recommend.recommendations(t, _one_band(t), training.mean_scores(t)),
+    "recommendations": _recommendations,
     "similar_users": lambda t: similar.similar_users(t, similar.busiest_buyer(t)),
     "cf_recommendations": lambda t: similar.cf_recommendations(t, similar.busiest_buyer(t)),
     "feature_importance": _stored_importance,
@@ -280,7 +300,11 @@ def _exported_donations(t: Tables) -> DataFrame:
     return t.spark.read.text(folder).withColumnRenamed("value", "json")
 
 
+# The settings table is a fixed list of three rows, so it is no load check.
+COUNTED = tuple(name for name in TABLE_NAMES if name != "system_settings")
+
 STORED: dict[str, Callable[[Tables], DataFrame]] = {
+    "catalog": lambda t: row_counts(t, COUNTED),
     "append_rows": _appended_donations,
     "export_json": _exported_donations,
 }

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLE_NAMES = (
     "users",
@@ -43,6 +45,15 @@ class Tables:
         return Tables(self.spark, builders)
 
 
+def row_counts(tables: Tables, names: tuple[str, ...]) -> DataFrame:
+    """Rows per dataset, as a load check."""
+    counts = [
+        getattr(tables, name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        for name in names
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def parquet_catalog(spark: SparkSession, root: str, names: tuple[str, ...] = TABLE_NAMES) -> Tables:
     """Datasets stored as ``root/<name>`` parquet folders."""
     return Tables(spark, {n: (lambda n=n: spark.read.parquet(f"{root}/{n}")) for n in names})
