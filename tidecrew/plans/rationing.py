@@ -9,6 +9,8 @@ exactly the one-after-the-other outcome.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,10 @@ def ration(lines: DataFrame, stock: DataFrame) -> DataFrame:
         )
     )
     hopeless = state.groupBy("unit").agg(F.max("hopeless").alias("hopeless")).filter("hopeless").select("unit")
-    decided = hopeless.withColumn("served", F.lit(False))
+    decided = [hopeless.withColumn("served", F.lit(False))]
     state = cut(state.join(hopeless, "unit", "left_anti").drop("hopeless"))
-    while not state.filter(F.col("served").isNull()).isEmpty():
+    undecided = not state.isEmpty()
+    while undecided:
         totals = running_totals(
             state,
             ["product_id"],
@@ -50,11 +53,12 @@ def ration(lines: DataFrame, stock: DataFrame) -> DataFrame:
             .agg(F.min(fits).alias("fits"), F.max(fails).alias("fails"))
             .select("unit", F.when(F.col("fits"), True).when(F.col("fails"), False).alias("ruling"))
         )
-        ruled = cut(ruled.filter(F.col("ruling").isNotNull()))
-        decided = decided.unionByName(ruled.select("unit", F.col("ruling").alias("served")))
-        after = state.join(ruled, "unit", "left").withColumn("served", F.coalesce("served", "ruling")).drop("ruling")
-        after = cut(after.filter(F.col("served").isNull() | F.col("served")))
-        # Served lines only matter where somebody still waits.
+        judged = cut(state.join(ruled, "unit", "left"))
+        new = judged.filter(F.col("ruling").isNotNull())
+        decided.append(new.select("unit", F.col("ruling").alias("served")).distinct())
+        after = judged.withColumn("served", F.coalesce("served", "ruling")).drop("ruling")
+        # Lines turned down are out, and served ones only matter where somebody still waits.
         waiting = after.filter(F.col("served").isNull()).select("product_id").distinct()
-        state = after.join(waiting, "product_id", "left_semi")
-    return decided
+        undecided = not waiting.isEmpty()
+        state = after.filter(F.col("served").isNull() | F.col("served")).join(waiting, "product_id", "left_semi")
+    return reduce(DataFrame.unionByName, decided)

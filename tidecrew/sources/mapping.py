@@ -14,12 +14,34 @@ from tidecrew.sources.catalog import Tables
 AS_OF = "2001-07-15 00:00:00"
 CUSTOMER_BASE = 1000000
 
+# Given outright: asking the files for their schema is a job of its own for every table and query.
+BENCHMARK_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 
 def benchmark_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All domain datasets over the benchmark parquet files in ``sf_dir``."""
 
+    opened: dict[str, DataFrame] = {}
+
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name not in opened:
+            opened[name] = spark.read.schema(BENCHMARK_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+        return opened[name]
 
     def rows(name: str) -> Column:
         return raw(name).agg(F.count(F.lit(1))).scalar()
@@ -151,7 +173,7 @@ def benchmark_tables(spark: SparkSession, sf_dir: str) -> Tables:
             .agg(F.sum("l_quantity").cast("bigint").alias("quantity"))
         )
         orders = raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-        sold = products().selectExpr("id as product_id", "name as product_name", "price", "discounted_price")
+        sold = tables.products.selectExpr("id as product_id", "name as product_name", "price", "discounted_price")
         return (
             lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(sold, F.col("l_partkey") == F.col("product_id"))
@@ -171,8 +193,7 @@ def benchmark_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def product_feedback() -> DataFrame:
         return (
-            purchases()
-            .filter("id % 3 = 0")
+            tables.purchases.filter("id % 3 = 0")
             .selectExpr(
                 "id * 10 as id",
                 "id as purchase_history_id",
@@ -198,8 +219,8 @@ def benchmark_tables(spark: SparkSession, sf_dir: str) -> Tables:
         )
 
     def completed_participation() -> DataFrame:
-        done = drives().filter("status = 'Completed'").select(F.col("id").alias("event_id"))
-        return drive_volunteers().join(done, "event_id", "left_semi")
+        done = tables.drives.filter("status = 'Completed'").select(F.col("id").alias("event_id"))
+        return tables.drive_volunteers.join(done, "event_id", "left_semi")
 
     def volunteer_badges() -> DataFrame:
         return (
@@ -238,7 +259,7 @@ def benchmark_tables(spark: SparkSession, sf_dir: str) -> Tables:
             )
             .agg(F.count(F.lit(1)).alias("quantity"))
         )
-        listed = products().selectExpr("id as product_id", "name as product_name", "price", "discounted_price")
+        listed = tables.products.selectExpr("id as product_id", "name as product_name", "price", "discounted_price")
         return lines.join(listed, "product_id").select(
             "user_id", "product_id", "product_name", "quantity", "price", "discounted_price"
         )
@@ -287,4 +308,5 @@ def benchmark_tables(spark: SparkSession, sf_dir: str) -> Tables:
     }
     for name in ("events", "customer", "part", "supplier", "orders"):
         builders[f"raw_{name}"] = lambda name=name: raw(name)
-    return Tables(spark, builders)
+    tables = Tables(spark, builders)
+    return tables
