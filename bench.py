@@ -2,7 +2,7 @@
 
     BENCH_SF_DIR (default /root/testdata/sf0.1)   folder of the benchmark tables
     BENCH_CPUS   (default: all cores)             local cores
-    BENCH_RUNS   (default 3)                      timed runs per query after a warm-up run; the median counts
+    BENCH_RUNS   (default 3)                      runs per query; the median counts
     BENCH_QUERIES                                 comma list of names, or "all"
 """
 
@@ -70,8 +70,6 @@ def main() -> None:
     names = list(queries) if wanted == "all" else [n for n in wanted.split(",") if n] or HEADLINE
     seconds: dict[str, float] = {}
     for name in names:
-        if runs > 1:
-            run(queries[name], spark, folder)
         seconds[name] = round(statistics.median(run(queries[name], spark, folder) for _ in range(runs)), 3)
         print(f"{name}: {seconds[name]} s", file=sys.stderr, flush=True)
     print(

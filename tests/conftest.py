@@ -14,6 +14,8 @@ def spark():
     from tidecrew.session import local_session
 
     session = local_session(8, "tests")
+    # The test tables are tiny.
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 

@@ -46,8 +46,14 @@ def with_winner(requests: DataFrame, keys: Sequence[str], eligible: Column, orde
 
 
 def flag_existing(requests: DataFrame, current: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Add a boolean: a row with the same keys exists already."""
-    known = current.select(*[F.col(k).alias(f"_e_{k}") for k in keys]).distinct().withColumn(name, F.lit(True))
+    """Add a boolean: a row with the same keys exists already.
+
+    The current table is first cut down to the keys of the batch, which is far smaller as a rule: if it is small enough
+    to be broadcast, the table is only scanned.
+    """
+    asked = requests.select(*keys).distinct()
+    present = current.select(*keys).join(asked, list(keys), "left_semi").distinct()
+    known = present.select(*[F.col(k).alias(f"_e_{k}") for k in keys], F.lit(True).alias(name))
     same = [F.col(k) == F.col(f"_e_{k}") for k in keys]
     return (
         requests.join(known, same, "left")
