@@ -8,7 +8,7 @@ from micro import values
 from pyspark.sql import functions as F
 
 from tidecrew.operators.changes import decrement_stock
-from tidecrew.sources.requests import request_batch
+from tidecrew.sources.requests import request_batch, request_stream
 from tidecrew.streaming import jobs
 
 
@@ -47,9 +47,8 @@ def test_totals_and_days_over_several_files(spark, split_events, monkeypatch):
     assert sorted(joins) == sorted(values(events.select("user_id", "event_type").distinct()))
 
 
-def test_ledger_over_several_batches_equals_one_batch(spark, small, split_events, monkeypatch):
-    monkeypatch.setattr(jobs, "event_stream", lambda spark, folder: stream_of(spark, folder))
-    got = jobs.stock_ledger(spark, split_events, small)
+def test_ledger_over_several_batches_equals_one_batch(spark, small, split_events):
+    got = jobs.stock_ledger(request_stream(stream_of(spark, split_events), "stock_requests"), small)
     want = decrement_stock(small, request_batch(small, "stock_requests")).verdicts
     columns = ("request_id", "product_id", "quantity", "reason")
     assert sorted(values(got, *columns)) == sorted(values(want, *columns))

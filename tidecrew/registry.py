@@ -20,7 +20,7 @@ from tidecrew.plans.keyed import upsert_by_key
 from tidecrew.session import tune
 from tidecrew.sources.catalog import TABLE_NAMES, Tables, row_counts
 from tidecrew.sources.mapping import benchmark_tables
-from tidecrew.sources.requests import request_batch
+from tidecrew.sources.requests import request_batch, request_stream
 from tidecrew.sources.sinks import append_rows, export_json, plain_types
 from tidecrew.streaming import jobs
 
@@ -315,7 +315,9 @@ STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "live_impact": jobs.live_impact,
     "donations_by_day": jobs.donations_by_day,
     "first_join": jobs.first_join,
-    "stock_ledger": lambda spark, folder: jobs.stock_ledger(spark, folder, benchmark_tables(spark, folder)),
+    "stock_ledger": lambda spark, folder: jobs.stock_ledger(
+        request_stream(jobs.event_stream(spark, folder), "stock_requests"), benchmark_tables(spark, folder)
+    ),
 }
 
 

@@ -147,3 +147,8 @@ def request_sql(name: str) -> str:
     """A batch as SQL text for a plain engine."""
     text = REQUESTS[name].replace("{text}", "varchar")
     return text.format(**{n: n for n in _names(text)})
+
+
+def request_stream(events: DataFrame, name: str) -> DataFrame:
+    """A batch that only needs the events, over a stream of them."""
+    return events.sparkSession.sql(REQUESTS[name].replace("{text}", "string"), events=events)

@@ -87,33 +87,23 @@ def first_join(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{out}/joins")
 
 
-def stock_ledger(spark: SparkSession, folder: str, t: Tables) -> DataFrame:
-    """Stock withdrawals as they arrive: verdicts of all batches, and a stock version per batch.
+def stock_ledger(requests: DataFrame, t: Tables) -> DataFrame:
+    """Stock withdrawals (request_id, product_id, quantity) as they arrive: the verdicts of all batches.
 
     Batch n reads stock version n and writes version n + 1, so a repeated batch writes the same files again.
     """
+    spark = t.spark
     out = new_folder(spark, "stock_ledger")
     t.products.select("id", "category", "quantity").write.parquet(f"{out}/stock/0")
 
-    def withdraw(requests: DataFrame, batch: int) -> None:
-        session = requests.sparkSession
+    def withdraw(arrived: DataFrame, batch: int) -> None:
+        session = arrived.sparkSession
         stock = session.read.parquet(f"{out}/stock/{batch}")
-        # Kept by value: the batch is read again by every round of the decision.
-        requests.write.mode("overwrite").parquet(f"{out}/requests/{batch}")
-        change = decrement_stock(
-            t.with_tables(products=stock), session.read.parquet(f"{out}/requests/{batch}")
-        )
+        # Stored first: every round of the decision reads the batch again.
+        arrived.write.mode("overwrite").parquet(f"{out}/requests/{batch}")
+        change = decrement_stock(t.with_tables(products=stock), session.read.parquet(f"{out}/requests/{batch}"))
         change.verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch}")
         change.tables["products"].write.mode("overwrite").parquet(f"{out}/stock/{batch + 1}")
 
-    requests = (
-        event_stream(spark, folder)
-        .filter(F.col("event_type") == "purchase")
-        .select(
-            F.col("event_id").alias("request_id"),
-            (F.col("event_id") % 60).alias("product_id"),
-            (F.col("event_id") % 9 + 1).alias("quantity"),
-        )
-    )
     _each_batch(requests, "append", withdraw, out)
     return spark.read.parquet(f"{out}/verdicts").drop("batch")
