@@ -1,7 +1,7 @@
 """Session settings the operators count on.
 
 All of them are runtime SQL settings, so :func:`tune` can be applied to a session that a cluster or a notebook
-already made.  Settings that somebody set on purpose are left alone.
+already made.  Settings that somebody set on purpose are left alone, but for the time zone.
 """
 
 from __future__ import annotations
@@ -21,17 +21,19 @@ RUNTIME_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
-    # Parquet text and timestamps mean the same on every machine.
-    "spark.sql.session.timeZone": "UTC",
 }
 
+# The tables' timestamps carry no zone.  Day windows and ages in days need one, and it has to be the same everywhere.
+ZONE = ("spark.sql.session.timeZone", "UTC")
+
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings that are not already set in the session's own configuration."""
+    """Apply the runtime settings that are not already set in the session's own configuration, and the time zone."""
     own = {key for key, _ in spark.sparkContext.getConf().getAll()}
     for key, value in RUNTIME_SETTINGS.items():
         if key not in own:
             spark.conf.set(key, value)
+    spark.conf.set(*ZONE)
     return spark
 
 
