@@ -31,7 +31,7 @@ from tidecrew.llm.words import NOT_ALPHANUMERIC, chunks, words_of
 EXAMPLES = 2_048
 CALIBRATION = 8_192
 TERMS = 512
-LEAST_CHI = 10.83  # one in a thousand by chance
+LEAST_CHI = 24.0  # one in a million by chance, as very many terms are tried
 LEAST_LIFT = 3.0  # share of toxic examples with the term, over that of the others
 BLOCK = 64
 NEIGHBOURS = 15

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecrew.llm import boosting, bpe, neighbours, pulearning, warc, wumanber
+from tidecrew.llm import boosting, bpe, language, linededup, neighbours, pulearning, warc, wumanber
 from tidecrew.llm.tables import fold_of, spread_evenly, table
 from tidecrew.plans.durable import new_folder
 
@@ -37,6 +37,11 @@ def op3_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return linededup.deduplicated(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_evenly(table(spark, sf_dir, "documents"))
     model = pulearning.fitted(docs, table(spark, sf_dir, "labels"), fold_of("doc_id", 5) != 0)
@@ -72,14 +77,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, docs = (spread_evenly(table(spark, sf_dir, name)) for name in ("pages", "documents"))
+    return language.identified(pages, docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_boosted_rules,
         op3_toxic_neighbours,
+        op4_line_winnowing,
         op5_positive_unlabelled,
         op6_warc_segments,
         op8_benchmark_search,
         op9_byte_bpe,
+        op10_language_fusion,
     )
 }
 
