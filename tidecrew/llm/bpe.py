@@ -216,14 +216,14 @@ def decode(ids: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> D
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded, then decoded from the ids, in one pass."""
+    """(id, n_tokens, ids_sha256, decoded_sha256, ids) of every text: encoded, then decoded from the ids, in one pass."""
     vocabulary = _vocabulary(docs.sparkSession, path)
 
     def work():
         codec = _codec(vocabulary, pattern)
         return lambda texts: [
-            (len(ids) // 4, sha256(ids).hexdigest(), sha256(codec.decode(ids)).hexdigest())
+            (len(ids) // 4, sha256(ids).hexdigest(), sha256(codec.decode(ids)).hexdigest(), ids)
             for ids in codec.encode([text or "" for text in texts])
         ]
 
-    return _each(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    return _each(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary", work)

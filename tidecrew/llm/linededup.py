@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecrew.llm.tables import stored
+from tidecrew.llm.tables import packed, stored, unpacked
 
 GRAM = 20
 WINDOW = 21
@@ -86,7 +86,12 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, gram: int, window:
         }
     )
     return around.filter("selected").select(
-        "doc", "line", "print", F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"]).alias("n_words"), "before",
+        "doc",
+        "line",
+        "print",
+        F.size("lines").alias("n_lines"),
+        F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"]).alias("n_words"),
+        "before",
         F.slice("after", F.size("lines"), F.greatest(F.lit(0), F.size("after") - F.size("lines") + 1)).alias("after"),
     )
 
@@ -137,39 +142,44 @@ def repeated_runs(
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
-    """The documents, all columns, with later repeated runs taken out of the text; adds n_lines and n_removed."""
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
+    """(row, text, n_lines, n_removed): every document as a struct, its text without later repeated runs, the number of
+    its lines with a word, and how many of them went."""
     runs = repeated_runs(docs, id_col, text_col, **settings)
     gone = (
         runs.groupBy("doc")
-        .agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
+        .agg(F.collect_set(F.struct("first", "last")).alias("runs"))
         .select(
-            F.col("doc").alias("_key"),
-            F.sort_array(F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["first"], r["last"]))))).alias("_gone"),
+            F.col("doc").alias("of_doc"),
+            F.sort_array(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))).alias("gone"),
         )
     )
+    rows = packed(docs, doc=document_key(id_col, text_col), lines=F.split(text_col, "\n")).join(
+        gone, F.col("doc") == F.col("of_doc"), "left"
+    )
     has_word = lambda line: F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]"))
-    with_key = docs.withColumn("_doc", document_key(id_col, text_col)).join(gone, F.col("_doc") == F.col("_key"), "left")
-    # Positions of all lines: those with a word, and which of them go; a blank line goes if the lines around it do.
-    split = with_key.withColumn("_lines", F.split(text_col, "\n"))
-    worded = split.withColumn(
-        "_worded", F.filter(F.transform("_lines", lambda line, k: F.when(has_word(line), k)), lambda k: k.isNotNull())
+    # Positions, among all lines, of those with a word.  Lines that go are given by position among the latter; blank
+    # lines between two neighbours that go, go with them.
+    worded = rows.withColumn(
+        "worded", F.filter(F.transform("lines", lambda line, k: F.when(has_word(line), k)), lambda k: k.isNotNull())
     )
-    gone_at = F.transform("_gone", lambda k: F.get("_worded", k))
+    gone_at = F.transform("gone", lambda k: F.get("worded", k))
     blanks = F.flatten(
         F.transform(
-            F.array_intersect("_gone", F.transform("_gone", lambda k: k - 1)),
-            lambda k: F.sequence(F.get("_worded", k), F.get("_worded", k + 1)),
+            F.array_intersect("gone", F.transform("gone", lambda k: k - 1)),
+            lambda k: F.sequence(F.get("worded", k), F.get("worded", k + 1)),
         )
     )
-    removed = F.array_union(gone_at, blanks)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), removed)
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda k: F.get("_lines", k)), "\n")
-    )
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.array_union(gone_at, blanks))
+    text = F.array_join(F.transform(kept, lambda k: F.get("lines", k)), "\n")
     return worded.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != text_col],
-        text.alias(text_col),
-        F.coalesce(F.size("_worded"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        "row",
+        F.when(F.col("gone").isNull(), F.col("row").getField(text_col)).otherwise(text).alias("text"),
+        F.coalesce(F.size("worded"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
+    """The documents, all columns, with later repeated runs of lines taken out of the text."""
+    return unpacked(cleaned(docs, id_col, text_col, **settings), docs.columns, **{text_col: F.col("text")})

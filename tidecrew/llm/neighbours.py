@@ -212,6 +212,17 @@ def build(docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = E
     return index
 
 
+def _judge(index: Index, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple]]]:
+    """Calibrated scores of texts, and their three nearest examples as (id, similarity, label)."""
+    votes, proofs = [], []
+    for term, count in _sparse(texts, index.terms):
+        found, values = nearest(index, term, count)
+        votes.append(_vote(index, found, values))
+        near = zip(index.ids[found[:3]].tolist(), values[:3].tolist(), index.labels[found[:3]].tolist(), strict=True)
+        proofs.append([{"doc_id": i, "similarity": v, "label": int(y)} for i, v, y in near])
+    return np.interp(np.array(votes), index.steps, index.levels), proofs
+
+
 def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, evidence): the calibrated probability, and the nearest examples with similarity and label.
 
@@ -222,25 +233,27 @@ def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
         for batch in batches:
-            scores, proofs = [], []
-            for term, count in _sparse(texts_of(batch.column(1)), index.terms):
-                found, values = nearest(index, term, count)
-                scores.append(_vote(index, found, values))
-                proofs.append(
-                    [
-                        {"doc_id": int(index.ids[k]), "similarity": float(v), "label": int(index.labels[k])}
-                        for k, v in zip(found[:3], values[:3], strict=True)
-                    ]
-                )
-            levels = np.interp(np.array(scores), index.steps, index.levels)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels), pa.array(proofs, evidence)], ["id", "score", "evidence"])
+            scores, proofs = _judge(held.value, texts_of(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(proofs, evidence)], ["id", "score", "evidence"])
 
     schema = f"id {kind}, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>"
     return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def below(docs: DataFrame, index: Index, toxic_from: float, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, whose score is below ``toxic_from``."""
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, _ = _judge(held.value, texts_of(batch.column(at)))
+            yield batch.filter(pa.array(scores < toxic_from))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def allowed_labels(folds: int = 4, held_out: int = 2) -> Column:
     """Label rows that may be learnt from."""
     return fold_of("doc_id", folds) != held_out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecrew.llm import boosting, bpe, language, linededup, neighbours, pulearning, warc, wumanber
+from tidecrew.llm import boosting, bpe, htmltext, language, linededup, neighbours, pulearning, simhash, warc, wumanber
 from tidecrew.llm.tables import fold_of, spread_evenly, table
 from tidecrew.plans.durable import new_folder
 
@@ -19,6 +19,10 @@ TOXIC_FROM = 0.3
 GOOD_FROM = 0.3
 
 
+def op1_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(spread_evenly(table(spark, sf_dir, "pages")))
+
+
 def op2_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_evenly(table(spark, sf_dir, "documents"))
     forest = boosting.fitted(docs, table(spark, sf_dir, "labels"))
@@ -39,7 +43,7 @@ def op3_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return linededup.deduplicated(docs).select("doc_id", "text", "n_lines", "n_removed")
+    return linededup.cleaned(docs).select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
 
 
 def op5_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +63,13 @@ def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(warc.read_archives(spark, path))
 
 
+def op7_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.grouped(spread_evenly(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 def op8_benchmark_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_evenly(table(spark, sf_dir, "documents"))
     found = wumanber.contaminated_words(docs, table(spark, sf_dir, "benchmark"))
@@ -74,7 +85,7 @@ def op8_benchmark_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_evenly(table(spark, sf_dir, "documents"))
-    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).drop("ids")
 
 
 def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +95,13 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op1_template_text,
         op2_boosted_rules,
         op3_toxic_neighbours,
         op4_line_winnowing,
         op5_positive_unlabelled,
         op6_warc_segments,
+        op7_simhash_vantage,
         op8_benchmark_search,
         op9_byte_bpe,
         op10_language_fusion,

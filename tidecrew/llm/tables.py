@@ -32,3 +32,26 @@ def spread_evenly(df: DataFrame) -> DataFrame:
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def row_key(id_col: str, text_col: str = "text") -> Column:
+    """Tells documents apart and orders them: id (NULL last), then a hash of the text."""
+    key = F.col(id_col)
+    return F.struct(key.isNull().alias("no_id"), key.alias("id"), F.xxhash64(text_col).alias("text"))
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns as the struct ``row``, next to ``more``: names of the input cannot clash with those of the work."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **instead: Column) -> DataFrame:
+    """The columns of the input again, some replaced."""
+    return rows.select(*[(instead[c] if c in instead else F.col("row").getField(c)).alias(c) for c in columns])
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose :func:`row_key` is not among ``keys`` (key)."""
+    named = packed(docs, own=row_key(id_col, text_col))
+    rest = named.join(keys.select(F.col("key").alias("gone")), F.col("own") == F.col("gone"), "left_anti")
+    return unpacked(rest, docs.columns)
