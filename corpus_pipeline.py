@@ -16,7 +16,7 @@ from tidecrew.llm.tables import row_key, stored, table, without
 
 # Near-duplicates of the pipeline: five-word shingles, and up to this many of 64 fingerprint bits apart.
 SHINGLE = 5
-DISTANCE = 3
+DISTANCE = 2
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 # Pre-tokens remembered per worker process; beyond that the memory is emptied and refilled.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 # Texts whose new pre-tokens are encoded together.
 GROUP = 64
 

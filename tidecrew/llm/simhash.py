@@ -4,8 +4,8 @@ A fingerprint has one bit for each of 64 positions: set if the bit is set in mor
 word shingles.  Equal fingerprints are one class, so copies cost one row however many there are.  Classes
 are dealt to shards by a vantage-point tree fitted on a bounded sample: at each node a fingerprint goes in or out by its Hamming
 distance to the vantage point.  Every class lives in one shard and visits the others whose region a ball of the
-linking distance around it may touch; by the triangle inequality no other shard can hold a partner, so the pairs found are
-exact, whatever the sample.  Within a shard the search splits on by vantage points of its own.  A shard returns a
+linking distance around it may touch (from the outside of a node in; the other way round is the same pair).  By the
+triangle inequality no other shard can hold a partner, so the pairs found are exact, whatever the sample.  Within a shard the search splits on by vantage points of its own.  A shard returns a
 spanning set of its links, no more rows than it was given, and groups across shards are joined by alternating
 large-star and small-star steps.
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidecrew.llm.docstats import texts_of
 from tidecrew.llm.tables import packed, row_key, stored, unpacked, without
+from tidecrew.plans.combine import spread_out
 
 SHINGLE = 3
 DISTANCE = 2
@@ -83,22 +84,32 @@ class Tree(NamedTuple):
     outside: np.ndarray
 
 
-def split_of(values: np.ndarray, distance: int) -> tuple[np.uint64, int] | None:
-    """The vantage point and radius, among a few, that leave the fewest pairs to compare, counting those that go both
-    ways; None if comparing all pairs at once is no more work."""
+def split_of(homes: np.ndarray, visitors: np.ndarray, distance: int) -> tuple[np.uint64, int] | None:
+    """The vantage point and radius, among a few, that leave the fewest comparisons; None if none saves a tenth.
+
+    Homes are compared with homes and visitors.  What is outside but near the border visits the inside; visitors go
+    wherever they may find a partner.
+    """
+    now = len(homes) * (len(homes) + len(visitors))
     best = None
-    for vantage in values[np.linspace(0, len(values) - 1, 8).astype(int)]:
-        far = hamming(values, vantage)
-        counts = np.bincount(far, minlength=65)
-        below = np.cumsum(counts)
-        for radius in np.unique(np.quantile(far, [0.35, 0.5, 0.65]).astype(int)):
-            into = int(below[min(64, radius + distance)])
-            out = len(values) - (int(below[radius - distance]) if radius >= distance else 0)
-            if best is None or into**2 + out**2 < best[0]:
-                best = (into**2 + out**2, vantage, int(radius))
-    if best is None or best[0] >= len(values) ** 2:
-        return None
-    return best[1], best[2]
+    for vantage in homes[np.linspace(0, len(homes) - 1, 8).astype(int)]:
+        far = hamming(homes, vantage)
+        own = np.cumsum(np.bincount(far, minlength=65))
+        others = np.cumsum(np.bincount(hamming(visitors, vantage), minlength=65))
+        for radius in np.unique(np.quantile(far, [0.35, 0.5, 0.65]).astype(int)).tolist():
+            inside, border = int(own[radius]), int(own[min(64, radius + distance)])
+            into = int(others[min(64, radius + distance)])
+            out = len(visitors) - (int(others[radius - distance]) if radius >= distance else 0)
+            rest = len(homes) - inside
+            cost = inside * (border + into) + rest * (rest + out)
+            if best is None or cost < best[0]:
+                best = (cost, vantage, radius)
+    return best[1:] if best is not None and best[0] < 0.9 * now else None
+
+
+def _ways(far: np.ndarray, home: np.ndarray, radius: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which fingerprints go inside and outside: homes to their side, and inside as visitors if near the border."""
+    return far <= radius + distance, far > np.where(home, radius, radius - distance)
 
 
 def fit_tree(sample: np.ndarray, distance: int, leaf: int) -> Tree:
@@ -107,7 +118,7 @@ def fit_tree(sample: np.ndarray, distance: int, leaf: int) -> Tree:
 
     def grow(values: np.ndarray) -> int:
         nonlocal shards
-        found = split_of(values, distance) if len(values) > leaf else None
+        found = split_of(values, values[:0], distance) if len(values) > leaf else None
         if found is None:
             shards += 1
             return -shards
@@ -135,11 +146,10 @@ def shards_of(tree: Tree, values: np.ndarray, distance: int) -> tuple[np.ndarray
             shards.append(np.full(len(at), -node - 1))
             homes.append(home)
         elif len(at):
-            far = hamming(values[at], tree.vantage[node])
-            radius = tree.radius[node]
-            into, out = far <= radius + distance, far > radius - distance
+            far, radius = hamming(values[at], tree.vantage[node]), tree.radius[node]
+            into, out = _ways(far, home, radius, distance)
             todo.append((tree.inside[node], at[into], home[into] & (far[into] <= radius)))
-            todo.append((tree.outside[node], at[out], home[out] & (far[out] > radius)))
+            todo.append((tree.outside[node], at[out], home[out]))
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
 
 
@@ -160,23 +170,26 @@ class _Sets:
         self.up[max(a, b)] = min(a, b)
 
 
-def linked(values: np.ndarray, distance: int, leaf: int = LEAF) -> np.ndarray:
-    """For sorted different fingerprints, the position of the smallest one reachable over links among them."""
+def linked(values: np.ndarray, home: np.ndarray, distance: int, leaf: int = LEAF) -> np.ndarray:
+    """For different fingerprints, the position of the first one reachable over links that have a home at one end."""
     sets = _Sets(len(values))
-    todo = [np.arange(len(values))]
+    todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while todo:
-        at = todo.pop()
-        found = split_of(values[at], distance) if len(at) > leaf else None
+        homes, visitors = todo.pop()
+        big = len(homes) * (len(homes) + len(visitors)) > leaf * leaf * 8
+        found = split_of(values[homes], values[visitors], distance) if big else None
         if found is not None:
-            far = hamming(values[at], found[0])
-            # Both parts keep the border, so a link across it is in one of them at least.
-            todo += [at[far <= found[1] + distance], at[far > found[1] - distance]]
+            vantage, radius = found
+            own, other = hamming(values[homes], vantage), hamming(values[visitors], vantage)
+            border = homes[(own > radius) & (own <= radius + distance)]
+            todo.append((homes[own <= radius], np.concatenate([border, visitors[other <= radius + distance]])))
+            todo.append((homes[own > radius], visitors[other > radius - distance]))
             continue
-        for begin in range(0, len(at), 512):
-            block = at[begin : begin + 512]
-            a, b = np.nonzero(hamming(values[block, None], values[None, at[begin:]]) <= distance)
-            keep = a < b
-            for i, j in zip(block[a[keep]].tolist(), at[begin:][b[keep]].tolist(), strict=True):
+        partners = np.concatenate([homes, visitors])
+        for begin in range(0, len(homes), 256):
+            block = homes[begin : begin + 256]
+            a, b = np.nonzero(hamming(values[block, None], values[None, partners[begin:]]) <= distance)
+            for i, j in zip(block[a].tolist(), partners[begin:][b].tolist(), strict=True):
                 if sets.up[i] != sets.up[j]:
                     sets.join(i, j)
     return np.array([sets.root(k) for k in range(len(values))], dtype=np.int64)
@@ -194,16 +207,18 @@ def links(classes: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, sh
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
-            rows, shard, _ = shards_of(tree.value, values, distance)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(values[rows].view(np.int64))], ["shard", "fp"])
+            rows, shard, home = shards_of(tree.value, values, distance)
+            columns = [pa.array(shard), pa.array(values[rows].view(np.int64)), pa.array(home)]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "fp", "home"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(group["fp"].to_numpy().view(np.uint64))
-        roots = linked(values, distance)
+        values, at = np.unique(group["fp"].to_numpy().view(np.uint64), return_index=True)
+        roots = linked(values, group["home"].to_numpy(dtype=bool)[at], distance)
         own = np.flatnonzero(roots != np.arange(len(values)))
         return pd.DataFrame({"a": values[own].view(np.int64), "b": values[roots[own]].view(np.int64)})
 
-    dealt = classes.select("fp").mapInArrow(deal, "shard long, fp long")
+    # Shards are few bytes but much work each, so their number of tasks is given outright.
+    dealt = spread_out(classes.select("fp").mapInArrow(deal, "shard long, fp long, home boolean"), "shard")
     found = dealt.groupBy("shard").applyInPandas(search, "a long, b long").distinct()
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
