@@ -7,6 +7,7 @@ import pytest
 from micro import micro_tables, values
 from pyspark.sql import functions as F
 
+from tidecrew.plans.keyed import upsert_by_key
 from tidecrew.operators import changes
 from tidecrew.plans.rationing import ration
 from tidecrew.sources.requests import request_batch
@@ -226,3 +227,47 @@ def test_uploads_name_the_first_failing_rule(spark):
         (5, "gone", 12, "units", "Pending"),
         (6, "net2", 12, "units", "Pending"),
     ]
+
+
+def test_of_repeated_requests_the_last_accepted_one_counts(spark):
+    t = micro_tables(
+        spark,
+        users=[{"id": 1, "username": "a"}],
+        drives=[{"id": 1, "organiser_id": 5, "event_name": "x", "products_recycled": 1}],
+        products=[{"id": 1, "status": "Pending"}],
+    )
+    batch = spark.createDataFrame(
+        [(i, 1, f"n{i}", "e", "m", "l", "r") for i in (1, 3, 2)],
+        "request_id long, id long, username string, email string, mobile string, location string, role string",
+    )
+    assert values(changes.update_users(t, batch), "id", "username") == [(1, "n3")]
+    reviews = spark.createDataFrame([(1, 1, "Approved"), (2, 1, "Rejected")], "request_id long, id long, status string")
+    assert values(changes.review_products(t, reviews), "id", "status") == [(1, "Rejected")]
+    made = spark.createDataFrame(
+        [(1, 1, 5, 10), (2, 1, 5, 20), (3, 1, None, 30), (4, 1, 6, 40)],
+        "request_id long, event_id long, organiser_id long, products_recycled long",
+    )
+    change = changes.record_products(t, made)
+    assert values(change.tables["drives"], "id", "products_recycled") == [(1, 20)]
+    assert sorted(r.request_id for r in change.rejected.collect()) == [3, 4]
+
+
+def test_a_drive_without_named_organiser_is_not_renamed(spark):
+    t = micro_tables(spark, drives=[{"id": 1, "organiser_id": 5, "event_name": "x"}])
+    batch = spark.createDataFrame(
+        [(1, 1, None, "y")], "request_id long, id long, organiser_id long, event_name string"
+    ).selectExpr(
+        "*",
+        "date'2001-01-01' as event_date",
+        "'10' as event_time",
+        "1 as num_volunteers",
+        "cast(1 as decimal(10,2)) as salary_per_volunteer",
+        "'Active' as status",
+    )
+    assert values(changes.update_drives(t, batch).tables["drives"], "id", "event_name") == [(1, "x")]
+
+
+def test_upsert_keeps_a_row_per_key(spark):
+    current = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    batch = spark.createDataFrame([(2, "x"), (2, "z"), (3, "y")], "k long, v string")
+    assert sorted(values(upsert_by_key(current, batch, ["k"]))) == [(1, "a"), (2, "z"), (3, "y")]

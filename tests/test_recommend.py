@@ -31,7 +31,7 @@ def brute_force(users, products, scores, bought, boosts, n=10):
     return out
 
 
-@pytest.mark.parametrize("seed,head,near,run", [(1, 16, 64, 1024), (2, 12, 2, 2), (3, 12, 1, 3)])
+@pytest.mark.parametrize("seed,head,near,run", [(1, 6, 64, 1024), (2, 2, 2, 2), (3, 2, 1, 3)])
 def test_top_recommendations_equal_brute_force(spark, monkeypatch, seed, head, near, run):
     monkeypatch.setattr(recommend, "HEAD", head)
     monkeypatch.setattr(recommend, "NEAR_STEPS", near)
@@ -169,3 +169,14 @@ def test_model_is_stored_and_repeatable(spark, small, tmp_path):
     again = {(r.user_band, r.product_id): r.base for r in training.model_scores(small, loaded, ratings).collect()}
     assert first == again and all(1 <= x <= 5 for x in first.values())
     assert len(first) == training.USER_BANDS * training.serving_features(small).count()
+
+
+def test_a_long_list_is_complete(spark):
+    products = [{"id": p, "category": "wholesale"} for p in range(1, 60)]
+    t = micro_tables(spark, products=products)
+    users = spark.createDataFrame([(1, 0)], "user_id long, user_band long")
+    scores = spark.createDataFrame(
+        [(0, p, "wholesale", float(p)) for p in range(1, 60)], "user_band long, product_id long, category string, base double"
+    )
+    rows = recommend.top_recommendations(t, users, scores, n=30).collect()
+    assert sorted(r.position for r in rows) == list(range(1, 31))

@@ -66,18 +66,19 @@ def test_one_volunteers_joinable_drives(spark):
     assert rows == [(1, False, 0, "Beach"), (2, True, 1, "Beach")]
 
 
-def test_volunteer_names_go_on_in_further_parts(spark):
-    people = [{"id": i, "username": f"v{i}"} for i in range(10)]
+def test_volunteer_names_have_a_numbered_row_each(spark):
+    people = [{"id": i, "username": f"v{i:04d}"} for i in range(5000)]
     t = micro_tables(
         spark,
         users=people,
         drives=[{"id": 1}, {"id": 2}],
-        drive_volunteers=[{"event_id": 1, "volunteer_id": i} for i in range(10)],
+        drive_volunteers=[{"event_id": 1, "volunteer_id": i} for i in range(5000)],
     )
-    rows = values(organisers.drive_volunteer_names(t, part=4), "id", "part", "volunteer_names")
-    assert (2, 0, None) in rows
-    names = [n for i, _, text_ in rows if i == 1 for n in text_.split(",")]
-    assert sorted(names) == sorted(p["username"] for p in people) and len(rows) == 4
+    rows = values(organisers.drive_volunteer_names(t), "id", "position", "volunteer_name")
+    assert (2, None, None) in rows and len(rows) == 5001
+    assert {(p, n) for i, p, n in rows if i == 1} == {(i + 1, f"v{i:04d}") for i in range(5000)}
+    (text,) = values(organisers.volunteer_name_list(t, 1), "volunteer_names")
+    assert text[0].split(",") == [p["username"] for p in people]
 
 
 def test_badge_case_does_not_matter_and_unknown_badges_give_nothing(spark):

@@ -5,7 +5,7 @@ from itertools import accumulate
 
 from pyspark.sql import functions as F
 
-from tidecrew.plans.running import dense_index, running_totals, sorted_positions, text_lists
+from tidecrew.plans.running import dense_index, running_totals, sorted_positions
 
 
 def hot_rows(n=3000, keys=9, seed=1):
@@ -52,14 +52,3 @@ def test_sorted_positions_spans_partitions(spark):
         for place, (_, order) in enumerate(sorted((-v, o) for k, o, v in rows if k == key), 1):
             want[key, order] = place
     assert {(r.k, r.o): r.place for r in got.collect()} == want
-
-
-def test_text_lists_split_large_groups_and_lose_nothing(spark):
-    rows = [(1, i, f"n{i:04d}") for i in range(2500)] + [(2, 7, "b"), (2, 8, "a")]
-    got = text_lists(spark.createDataFrame(rows, "k long, i long, n string"), ["k"], "i", "n", "names", part=1000).collect()
-    small = [r for r in got if r.k == 2]
-    assert [(r.part, r.names) for r in small] == [(0, "a,b")]
-    parts = [r.names.split(",") for r in got if r.k == 1]
-    assert len(parts) == 3
-    assert all(p == sorted(p) and len(p) < 1500 for p in parts)
-    assert sorted(n for p in parts for n in p) == [f"n{i:04d}" for i in range(2500)]

@@ -52,3 +52,31 @@ def test_ledger_over_several_batches_equals_one_batch(spark, small, split_events
     want = decrement_stock(small, request_batch(small, "stock_requests")).verdicts
     columns = ("request_id", "product_id", "quantity", "reason")
     assert sorted(values(got, *columns)) == sorted(values(want, *columns))
+
+
+def test_a_later_run_goes_on_and_repeats_are_dropped_for_ever(spark, tmp_path):
+    from tidecrew.streaming import jobs
+
+    def arrive(day: str, user: int, name: str) -> None:
+        rows = spark.sql(
+            f"select 1L as event_id, {user}L as user_id, 'signup' as event_type, 1.0d as value, timestamp_ntz'{day}' as ts"
+        )
+        rows.coalesce(1).write.parquet(str(tmp_path / "arrived" / name))
+        (file,) = (tmp_path / "arrived" / name).glob("*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.parquet").write_bytes(file.read_bytes())
+
+    def run() -> list:
+        stream = jobs.event_stream(spark, str(tmp_path / "in"), "*.parquet")
+        out = str(tmp_path / "out")
+        jobs._run(
+            jobs.first_of_kind(stream).select("user_id").writeStream.outputMode("append").format("parquet").option("path", f"{out}/joins"),
+            out,
+        )
+        return sorted(r.user_id for r in spark.read.parquet(f"{out}/joins").collect())
+
+    arrive("2001-01-01 00:00:00", 1, "a")
+    assert run() == [1]
+    arrive("2001-08-01 00:00:00", 1, "b")
+    arrive("2001-08-02 00:00:00", 2, "c")
+    assert run() == [1, 2]

@@ -95,12 +95,12 @@ def update_drives(t: Tables, requests: DataFrame) -> Change:
     """Six columns of a drive, replaced only by the organiser who owns it."""
     owned = t.drives.select("id", F.col("organiser_id").alias("owner"))
     rows = requests.join(owned, "id", "left")
-    missed = F.col("owner").isNull() | (F.col("owner") != F.col("organiser_id"))
+    missed = F.col("owner").isNull() | ~F.col("owner").eqNullSafe(F.col("organiser_id"))
     verdicts = rows.withColumn(
         "reason", first_failure((missed, "No event was updated. Please check the event ID."))
     ).drop("owner")
     columns = ["event_name", "event_date", "event_time", "num_volunteers", "salary_per_volunteer", "status"]
-    batch = last_request(verdicts.filter(F.col("reason").isNull()).select("request_id", "id", *columns), ["id"])
+    batch = verdicts.filter(F.col("reason").isNull())
     return Change(verdicts, {"drives": keyed_update(t.drives, batch, ["id"], columns)})
 
 
@@ -174,7 +174,7 @@ def record_hours(t: Tables, batch: DataFrame) -> DataFrame:
 
 def mark_paid(t: Tables, batch: DataFrame) -> DataFrame:
     """Participation marked as paid."""
-    paid = batch.select("event_id", "volunteer_id", F.lit("Paid").alias("payment_status"))
+    paid = batch.select("event_id", "volunteer_id").distinct().withColumn("payment_status", F.lit("Paid"))
     return keyed_update(t.drive_volunteers, paid, ["event_id", "volunteer_id"], ["payment_status"])
 
 
@@ -190,7 +190,7 @@ def record_products(t: Tables, requests: DataFrame) -> Change:
     """Recycled products of a drive, set by its organiser."""
     owned = t.drives.select(F.col("id").alias("event_id"), F.col("organiser_id").alias("owner"))
     missing = text.is_blank(F.col("products_recycled").cast("string"))
-    stranger = F.col("owner").isNull() | (F.col("owner") != F.col("organiser_id"))
+    stranger = F.col("owner").isNull() | ~F.col("owner").eqNullSafe(F.col("organiser_id"))
     verdicts = (
         requests.join(owned, "event_id", "left")
         .withColumn(
@@ -201,7 +201,7 @@ def record_products(t: Tables, requests: DataFrame) -> Change:
         )
         .drop("owner")
     )
-    batch = verdicts.filter(F.col("reason").isNull()).select(F.col("event_id").alias("id"), "products_recycled")
+    batch = verdicts.filter(F.col("reason").isNull()).withColumnRenamed("event_id", "id")
     return Change(verdicts, {"drives": keyed_update(t.drives, batch, ["id"], ["products_recycled"])})
 
 

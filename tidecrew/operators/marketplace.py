@@ -227,7 +227,8 @@ def latest_feedback(t: Tables, n: int = LATEST_FEEDBACK) -> DataFrame:
 
 
 def _matches(term: str) -> Column:
-    pattern = f"%{term}%"
+    """The signs % and _ of a term keep their meaning for patterns; a backslash stands for itself."""
+    pattern = "%{}%".format(term.replace("\\", "\\\\"))
     return (
         F.lower("name").like(pattern) | F.lower("description").like(pattern) | F.lower("category").like(pattern)
     )

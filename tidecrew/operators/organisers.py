@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidecrew.functions import text
 from tidecrew.operators.impact import DRIVE_COLUMNS, completed, plastics_per_drive, zero
 from tidecrew.plans.combine import sorted_if
-from tidecrew.plans.running import text_lists
+from tidecrew.plans.running import sorted_positions
 from tidecrew.sources.catalog import Tables
 from tidecrew.sources.mapping import AS_OF
 
@@ -246,19 +246,30 @@ def volunteer_history(t: Tables, ordered: bool = False) -> DataFrame:
     )
 
 
-def drive_volunteer_names(t: Tables, part: int = 1000) -> DataFrame:
-    """Completed drives with the sorted names of their volunteers, NULL if there are none.
+def drive_volunteer_names(t: Tables) -> DataFrame:
+    """Completed drives with the names of their volunteers, a row for each in sorted order; one without is NULL.
 
-    A drive with more than ``part`` volunteers has its names on several rows, numbered by ``part``.
+    Numbered rows keep this shape for three volunteers and for three million; :func:`volunteer_name_list` gives the
+    text list of one drive.
     """
-    named = t.drive_volunteers.join(_people(t, "volunteer_id", username="username"), "volunteer_id")
-    names = text_lists(named, ["event_id"], "volunteer_id", "username", "volunteer_names", part=part)
+    named = t.drive_volunteers.join(_people(t, "volunteer_id", username="volunteer_name"), "volunteer_id").select(
+        "event_id", "volunteer_id", "volunteer_name"
+    )
+    names = sorted_positions(named, ["event_id"], [F.col("volunteer_name"), F.col("volunteer_id")], "position")
     return (
         completed(t)
         .filter(F.col("organiser_id").isNotNull())
         .join(names, F.col("id") == F.col("event_id"), "left")
-        .select("organiser_id", "id", "event_name", "event_date", "status", zero(F.col("part")).alias("part"), "volunteer_names")
+        .select("organiser_id", "id", "event_name", "event_date", "status", "position", "volunteer_name")
+    )
+
+
+def volunteer_name_list(t: Tables, drive: int) -> DataFrame:
+    """The names of one drive's volunteers as a sorted comma list."""
+    one = t.drive_volunteers.filter(F.col("event_id") == drive).join(
+        _people(t, "volunteer_id", username="username"), "volunteer_id"
     )
+    return one.agg(F.array_join(F.sort_array(F.collect_list("username")), ",").alias("volunteer_names"))
 
 
 def _feedback(t: Tables) -> DataFrame:
@@ -466,15 +477,15 @@ def buyer_summary(t: Tables) -> DataFrame:
     )
 
 
-def buyer_products(t: Tables, part: int = 1000) -> DataFrame:
-    """The distinct product names each buyer bought from each organiser, as sorted lists in numbered parts."""
+def buyer_products(t: Tables) -> DataFrame:
+    """The distinct product names each buyer bought from each organiser, a numbered row for each in sorted order."""
     people = _people(t, "user_id", email="email")
     names = (
         _organiser_sales(t)
-        .groupBy("organiser_id", "user_id", "product_name")
-        .agg(F.min("product_id").alias("product_id"))
+        .select("organiser_id", "user_id", "product_name")
+        .distinct()
         .join(people, "user_id")
-        .groupBy("organiser_id", "email", "product_name")
-        .agg(F.min("product_id").alias("product_id"))
+        .select("organiser_id", "email", "product_name")
+        .distinct()
     )
-    return text_lists(names, ["organiser_id", "email"], "product_id", "product_name", "products", part=part)
+    return sorted_positions(names, ["organiser_id", "email"], [F.col("product_name")], "position")

@@ -25,10 +25,8 @@ NEUTRAL_RATING = 3
 BOOST_STEP, LEAST_BOOST = 0.4, 0.5
 REPEAT_PENALTY = 0.95
 
-# Places per category that everybody looks at; heavy buyers look further down in steps of this size.
-HEAD = 16
-# Unbought places needed per category: a full list and the one product that is spared the penalty.
-NEEDED = PERSONAL + 1
+# Places per category that everybody looks at, besides a full list; heavy buyers look further down in steps of as many.
+HEAD = 6
 # Largest table of places that is sent to every executor, and the steps it covers.
 HEAD_ROWS = 200_000
 NEAR_STEPS = 64
@@ -136,6 +134,9 @@ def top_recommendations(t: Tables, users: DataFrame, scores: DataFrame, n: int =
     ``base``.  A score is the base, boosted by the user's liking of the category, with a small penalty on every product
     of a category but the one with the lowest id among those the user can be shown.
     """
+    # Unbought places needed per category: a full list and the one product that is spared the penalty.
+    needed = n + 1
+    head_size = n + HEAD
     category = F.coalesce("category", F.lit("")).alias("category")
     users = cut(spread_out(users.select("user_id", "user_band"), "user_id"))
     scored = scores.select("user_band", "product_id", category, "base")
@@ -176,7 +177,7 @@ def top_recommendations(t: Tables, users: DataFrame, scores: DataFrame, n: int =
     tastes = taste.groupBy("user_id").agg(F.map_from_entries(F.collect_list(entry)).alias("tastes"))
     columns = ["user_id", "product_id", "category", "base", "id_place", "spared", "boost"]
 
-    head = places.filter((F.col("place") <= HEAD) | (F.col("id_place") <= HEAD))
+    head = places.filter((F.col("place") <= head_size) | (F.col("id_place") <= head_size))
     shown = (
         users.join(tastes, "user_id", "left")
         .join(broadcast_up_to(head, HEAD_ROWS), "user_band")
@@ -184,9 +185,9 @@ def top_recommendations(t: Tables, users: DataFrame, scores: DataFrame, n: int =
         .withColumns({"spared": F.coalesce("taste.spared", F.lit(1)), "boost": F.col("taste.boost")})
     )
 
-    heavy = users.join(taste.filter(F.col("bought") > HEAD - NEEDED), "user_id")
-    stepped = places.withColumn("step", F.floor((F.col("place") - 1) / HEAD))
-    last = F.floor((F.col("bought") + NEEDED - 1) / HEAD)
+    heavy = users.join(taste.filter(F.col("bought") > head_size - needed), "user_id")
+    stepped = places.withColumn("step", F.floor((F.col("place") - 1) / head_size))
+    last = F.floor((F.col("bought") + needed - 1) / head_size)
     first_of_run = F.col("run") * RUN
     steps = heavy.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor(last / RUN)))).withColumn(
         "step", F.explode(F.sequence(F.greatest(first_of_run, F.lit(1)), F.least(first_of_run + RUN - 1, last)))
@@ -203,12 +204,12 @@ def top_recommendations(t: Tables, users: DataFrame, scores: DataFrame, n: int =
             .join(stepped.filter(F.col("step") >= NEAR_STEPS), by_step)
             .select(*columns)
         )
-        .filter((F.col("id_place") > HEAD) & (F.col("id_place") != F.col("spared")))
+        .filter((F.col("id_place") > head_size) & (F.col("id_place") != F.col("spared")))
     )
     late_spared = (
-        heavy.filter(F.col("spared") > HEAD)
+        heavy.filter(F.col("spared") > head_size)
         .join(
-            places.filter(F.col("place") > HEAD).withColumn("spared", F.col("id_place")),
+            places.filter(F.col("place") > head_size).withColumn("spared", F.col("id_place")),
             ["user_band", "category", "spared"],
         )
         .select(*columns)
@@ -295,7 +296,7 @@ def recommendations(t: Tables, users: DataFrame, scores: DataFrame) -> DataFrame
 
     ``users`` gives the score band of the users known to the model.
     """
-    kinds = recommendation_type(candidate_counts(t))
+    kinds = cut(recommendation_type(candidate_counts(t)))
 
     def of(kind: str) -> DataFrame:
         return kinds.filter(F.col("type") == kind)

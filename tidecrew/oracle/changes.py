@@ -25,6 +25,17 @@ REGISTER_VERDICTS = """
                   then 'Email already exists.' end as reason
     from registered"""
 
+
+
+def last(batch: str, *keys: str, where: str = "true") -> str:
+    """The last request of every key."""
+    return f"""(select * from {batch} where {where}
+                qualify row_number() over (partition by {", ".join(keys)} order by request_id desc) = 1)"""
+
+
+OWN_DRIVE = "exists (select 1 from drives o where o.id = {id} and o.organiser_id = {batch}.organiser_id)"
+LAST_WORK = last("work_records", "event_id", "volunteer_id")
+
 USER = """id, username, email, mobile, location, role, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at"""
 
 DRIVE_KEEP = """
@@ -159,15 +170,15 @@ STATEMENTS = {
         select {USER} from users where id not in (select id from user_updates)
         union all
         select u.id, b.username, b.email, b.mobile, b.location, b.role, {ts('u.created_at')}
-        from users u join user_updates b on b.id = u.id"""),
-    "upsert_by_key": on("""
+        from users u join {last("user_updates", "id")} b on b.id = u.id"""),
+    "upsert_by_key": on(f"""
         select user_id, product_id, product_name, cast(quantity as bigint) as quantity, cast(price as double) as price,
                cast(discounted_price as double) as discounted_price
         from cart c where not exists (select 1 from cart_upserts b where b.user_id = c.user_id
                                       and b.product_id = c.product_id)
         union all
         select user_id, product_id, product_name, cast(quantity as bigint), cast(price as double),
-               cast(discounted_price as double) from cart_upserts"""),
+               cast(discounted_price as double) from {last("cart_upserts", "user_id", "product_id")}"""),
     "create_drives": on(f"""
         select (select max(id) from drives) + row_number() over (order by request_id) as id, request_id, organiser_id,
                event_name, {day('event_date')} as event_date, event_time, latitude, longitude, num_volunteers,
@@ -185,7 +196,9 @@ STATEMENTS = {
                cast(coalesce(r.num_volunteers, d.num_volunteers) as bigint) as num_volunteers,
                cast(coalesce(r.salary_per_volunteer, d.salary_per_volunteer) as double) as salary_per_volunteer,
                coalesce(r.status, d.status) as status
-        from drives d left join drive_updates r on r.id = d.id and r.organiser_id = d.organiser_id"""),
+        from drives d
+        left join {last("drive_updates", "id", where=OWN_DRIVE.format(id="drive_updates.id", batch="drive_updates"))} r
+          on r.id = d.id"""),
     "delete_drives": kept(f"not coalesce({OWNED}, false)", f"not {CHILD_OWNED}", f"not {CHILD_OWNED}"),
     "delete_drives_any_children": kept(f"not coalesce({OWNED}, false)", f"not {CHILD_ASKED}", f"not {CHILD_ASKED}"),
     "delete_drives_admin": kept("d.id not in (select event_id from drive_deletions)", f"not {CHILD_ASKED}", "true"),
@@ -199,8 +212,9 @@ STATEMENTS = {
     "delete_users_only": on("""
         select 'users' as kept_table, id from users where id not in (select user_id from user_deletions)
         union all select 'purchases', id from purchases"""),
-    "review_products": on("""
-        select p.id, coalesce(b.status, p.status) as status from products p left join product_reviews b on b.id = p.id"""),
+    "review_products": on(f"""
+        select p.id, coalesce(b.status, p.status) as status
+        from products p left join {last("product_reviews", "id")} b on b.id = p.id"""),
     "join_drives": on(
         """
         select request_id, event_id, volunteer_id,
@@ -226,18 +240,24 @@ STATEMENTS = {
                  as plastics_collected,
                cast(coalesce(b.hours_worked, v.hours_worked) as bigint) as hours_worked,
                case when b.event_id is null then v.payment_status else 'Paid' end as payment_status
-        from drive_volunteers v left join work_records b on b.event_id = v.event_id and b.volunteer_id = v.volunteer_id"""),
-    "record_work_totals": on("""
+        from drive_volunteers v left join {LAST_WORK} b on b.event_id = v.event_id and b.volunteer_id = v.volunteer_id"""),
+    "record_work_totals": on(f"""
         select v.event_id, cast(coalesce(sum(case when b.event_id is null then v.plastics_collected
                                              else b.plastics_collected end), 0) as double) as total_plastics
-        from drive_volunteers v left join work_records b on b.event_id = v.event_id and b.volunteer_id = v.volunteer_id
+        from drive_volunteers v left join {LAST_WORK} b on b.event_id = v.event_id and b.volunteer_id = v.volunteer_id
         group by 1"""),
     "record_products": on("""
-        select r.event_id, r.organiser_id, r.products_recycled,
+        select r.request_id, r.event_id, r.organiser_id, r.products_recycled,
                case when r.products_recycled is null then 'Products recycled value is required'
                     when not exists (select 1 from drives d where d.id = r.event_id and d.organiser_id = r.organiser_id)
                       then 'Event not found or unauthorized' end as reason
         from recycled_records r"""),
+    "record_products_table": on(f"""
+        select d.id, coalesce(r.products_recycled, d.products_recycled) as products_recycled
+        from drives d
+        left join {last("recycled_records", "event_id", where="products_recycled is not null and "
+                        + OWN_DRIVE.format(id="recycled_records.event_id", batch="recycled_records"))} r
+          on r.event_id = d.id"""),
     "upload_products": on(
         """
         select request_id, organiser_id, name, cast(cast(price as decimal(10,2)) as double) as price, description,

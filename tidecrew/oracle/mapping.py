@@ -119,6 +119,8 @@ TABLES: dict[str, str] = {
 def oracle(body: str, **extra: str) -> str:
     """``body`` preceded by the datasets it names; ``extra`` adds expressions of the query's own before it."""
     known = {**TABLES, **extra}
+    if body.lstrip().startswith("with"):
+        body = f"select * from ({body})"
     needed: list[str] = []
 
     def visit(text: str) -> None:

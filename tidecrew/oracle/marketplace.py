@@ -35,17 +35,21 @@ def catalog(price_without_discount: str) -> str:
         where p.status = 'Approved'""")
 
 
-def search(where: str) -> str:
+def search(term: str = "") -> str:
+    """Approved products with their sales, which are counted first; ``term`` is a pattern in lower case."""
     return f"""
-        select p.id, p.name, p.description, p.price, p.category, p.units, p.quantity, p.status, p.image_path,
-               u.username as organiser_name, count(ph.id) as purchase_count
-        from products p join users u on p.organiser_id = u.id left join purchases ph on p.id = ph.product_id
-        where p.status = 'Approved' {where}
-        group by p.id, p.name, p.description, p.price, p.category, p.units, p.quantity, p.status, p.image_path,
-                 u.username"""
-
-
-TERM = """and (lower(p.name) like '%bolt%' or lower(p.description) like '%bolt%' or lower(p.category) like '%bolt%')"""
+        with sales as (select product_id, count(*) as n from purchases group by product_id),
+        texts as (select id, [lower(name), lower(description), lower(category)] as parts from products)
+        select id, name, description, price, category, units, quantity, status, image_path,
+               (select username from users where users.id = organiser_id) as organiser_name,
+               coalesce((select n from sales where product_id = products.id), 0) as purchase_count
+        from products semi join users on users.id = organiser_id
+        where status = 'Approved'
+          and id in (select id from texts where '{term}' = '' or len(list_filter(parts, lambda x: x like '%{term}%')) > 0)"""
+
+
+TERM = "bolt"
+BACKSLASH = "bolt\\"
 TERM_SCORE = """+ case when contains(lower(name), 'bolt') then 3 else 0 end
                 + case when contains(lower(description), 'bolt') then 2 else 0 end
                 + case when contains(lower(category), 'bolt') then 1 else 0 end"""
@@ -139,8 +143,10 @@ STATEMENTS = {
           select f.product_id, row_number() over (partition by f.product_id order by f.created_at desc, f.id desc)
                    as position, u.username, f.rating, f.comment, {ts('f.created_at')} as date
           from product_feedback f join users u on f.user_id = u.id) where position <= 5"""),
-    "product_search": oracle(f"select * replace (cast(price as double) as price) from ({search('')})"),
+    "product_search": oracle(f"select * replace (cast(price as double) as price) from ({search()})"),
     "product_search_term": oracle(f"select * replace (cast(price as double) as price) from ({search(TERM)})"),
+    "product_search_wildcards": oracle(f"select * replace (cast(price as double) as price) from ({search('b_lt%')})"),
+    "product_search_backslash": oracle(f"select * replace (cast(price as double) as price) from ({search(BACKSLASH)})"),
     "search_recommendations": recommended("", "", "true"),
     "search_recommendations_term": recommended(TERM, TERM_SCORE, "description is not null"),
 }

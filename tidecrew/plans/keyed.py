@@ -63,18 +63,25 @@ def flag_existing(requests: DataFrame, current: DataFrame, keys: Sequence[str],
 
 
 def last_request(requests: DataFrame, keys: Sequence[str], order: str = "request_id") -> DataFrame:
-    """The request with the highest order per key, as the later of two updates stays."""
+    """The request with the highest order per key, as the later of two updates stays.
+
+    Requests without the column ``order`` are ordered by their values, so the outcome does not depend on chance.
+    """
     rest = [c for c in requests.columns if c not in keys and c != order]
+    values = [order, *rest] if order in requests.columns else rest
+    if not values:
+        return requests.distinct()
     return (
         requests.groupBy(*keys)
-        .agg(F.max(F.struct(order, *rest)).alias("last"))
-        .select(*keys, *[F.col(f"last.{c}").alias(c) for c in (order, *rest)])
+        .agg(F.max(F.struct(*values)).alias("last"))
+        .select(*keys, *[F.col(f"last.{c}").alias(c) for c in values])
     )
 
 
 def keyed_update(current: DataFrame, batch: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``current`` with ``columns`` replaced where ``batch``, which is unique per key, has the key."""
-    new = batch.select(
+    """``current`` with ``columns`` replaced where ``batch`` has the key; of several requests for a key the last counts."""
+    order = ["request_id"] if "request_id" in batch.columns else []
+    new = last_request(batch.select(*order, *keys, *columns), keys).select(
         *[F.col(k).alias(f"_u_{k}") for k in keys],
         *[F.col(c).alias(f"_n_{c}") for c in columns],
         F.lit(True).alias("_hit"),
@@ -89,7 +96,8 @@ def keyed_update(current: DataFrame, batch: DataFrame, keys: Sequence[str], colu
 
 
 def upsert_by_key(current: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of both sides; where both have a key the batch's row stays.  The batch is unique per key."""
+    """Rows of both sides; where both have a key the batch's row stays, the last request's if there are several."""
+    batch = last_request(batch, keys)
     kept = current.join(batch.select(*keys), list(keys), "left_anti")
     typed = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in current.schema.fields])
     return kept.unionByName(typed)

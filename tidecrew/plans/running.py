@@ -1,4 +1,4 @@
-"""Running totals, dense numbering and list building that never put a whole group into one task.
+"""Running totals and dense numbering that never put a whole group into one task.
 
 A plain window over a group sends the group to a single task.  Here the group is cut into blocks of its order key:
 totals per block come from a partially aggregated shuffle, only block totals are accumulated per group, and the window
@@ -16,8 +16,6 @@ from tidecrew.plans.durable import cut
 
 # Rows of a group that one window task handles at most.
 BLOCK = 4096
-# Values put into one list at most; longer lists are split into numbered parts.
-PART = 1000
 
 
 def running_totals(
@@ -71,23 +69,6 @@ def spread(key: Column, parts: Column) -> Column:
     return (key % 1000003) * 7919 % 1000003 % parts
 
 
-def text_lists(
-    rows: DataFrame, groups: Sequence[str], key: str, value: str, name: str, distinct: bool = False, part: int = PART
-) -> DataFrame:
-    """Comma lists of ``value`` per group, in sorted order, as one row per ``part``.
-
-    A group of up to ``part`` rows gives a single row, part 0.  A larger group is spread over as many parts as it
-    needs, so that no task ever holds more than a part; together the parts hold every value once.
-    """
-    sizes = rows.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / part).alias("_parts"))
-    placed = (
-        rows.join(sizes, list(groups))
-        .withColumn("part", spread(F.col(key), F.col("_parts")))
-        .select(*groups, "part", value)
-    )
-    return placed.groupBy(*groups, "part").agg(F.array_join(F.sort_array(F.collect_list(value)), ",").alias(name))
-
-
 def sorted_positions(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Number the rows of every group 1, 2, 3, ... in the given order, which must end in a unique key.
 

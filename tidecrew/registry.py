@@ -104,6 +104,8 @@ MARKETPLACE: dict[str, Callable[[Tables], DataFrame]] = {
     "latest_feedback": marketplace.latest_feedback,
     "product_search": marketplace.product_search,
     "product_search_term": lambda t: marketplace.product_search(t, " Bolt "),
+    "product_search_wildcards": lambda t: marketplace.product_search(t, "b_lt%"),
+    "product_search_backslash": lambda t: marketplace.product_search(t, "bolt\\"),
     "search_recommendations": marketplace.search_recommendations,
     "search_recommendations_term": lambda t: marketplace.search_recommendations(t, "bolt"),
 }
@@ -128,8 +130,8 @@ def _personal_users(t: Tables) -> DataFrame:
 
 
 def _model_ratings(t: Tables) -> list[int]:
-    """The rating values that occur, at most five."""
-    return [row.rating for row in training.rating_index(t).orderBy("index").limit(5).collect()]
+    """The rating values that occur: a closed list, by the index that the model knows them by."""
+    return [row.rating for row in training.rating_index(t).orderBy("index").collect()]
 
 
 def _model_recommendations(t: Tables) -> DataFrame:
@@ -249,6 +251,7 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "record_work": _recorded_work,
     "record_work_totals": lambda t: organisers.drive_total_plastics(t.with_tables(drive_volunteers=_recorded_work(t))),
     "record_products": _verdicts(changes.record_products, "recycled_records"),
+    "record_products_table": _table(changes.record_products, "recycled_records", "drives", "id", "products_recycled"),
     "upload_products": _verdicts(changes.upload_products, "uploads"),
     "apply_purchases": _verdicts(changes.apply_purchases, "purchase_requests"),
     "apply_purchases_stock": _table(changes.apply_purchases, "purchase_requests", "products", "id", "quantity"),
@@ -335,14 +338,17 @@ GAPS: dict[str, tuple[str, ...]] = {
     **dict.fromkeys(
         (
             *("organiser_drives", "organiser_completed_drives", "joinable_drives", "public_drives"),
-            *("record_products", "volunteer_history"),
+            *("record_products_table", "volunteer_history"),
         ),
         ("products_recycled",),
     ),
+    "record_products": ("organiser_id", "products_recycled"),
+    "update_drives": ("organiser_id",),
+    "drive_volunteer_names": ("position",),
     **dict.fromkeys(
         (
             *("featured_products", "pending_products", "approved_catalog", "approved_catalog_slim", "product_search"),
-            *("product_search_term", "apply_purchases_stock", "checkout_stock", "decrement_stock_table"),
+            *("product_search_term", "product_search_wildcards", "product_search_backslash", "apply_purchases_stock", "checkout_stock", "decrement_stock_table"),
             *("search_recommendations", "search_recommendations_term"),
         ),
         ("quantity",),

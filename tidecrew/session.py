@@ -37,13 +37,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_shuffles(spark: SparkSession, shuffled_bytes: int, per_task: int = 200 * 1024**2) -> SparkSession:
-    """Enough shuffle partitions for the largest shuffle to come; adaptive execution merges what turns out small."""
-    present = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.shuffle.partitions", str(max(present, -(-shuffled_bytes // per_task))))
-    return spark
-
-
 def local_session(cores: int | str = 8, app: str = "tidecrew") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (

@@ -22,16 +22,21 @@ REQUESTS: dict[str, str] = {
                case when event_id % 2 = 0 then 'volunteer' else 'buyer' end as role
         from {events} where event_type = 'signup'""",
     "user_updates": """
-        select 1000000 + c_custkey as id, 'renamed_' || c_custkey as username,
+        select c_custkey * 2 + c.copy as request_id, 1000000 + c_custkey as id,
+               case when c.copy = 1 then 'again_' else 'renamed_' end || c_custkey as username,
                'renamed_' || c_custkey || '@example.org' as email, '0' || c_custkey as mobile,
                'NATION_' || c_nationkey as location, 'buyer' as role
-        from {customer} where c_mktsegment = 'BUILDING'""",
+        from {customer} join (select 'BUILDING' as segment, 0 as copy union all select 'BUILDING', 1) c
+          on c.segment = c_mktsegment
+        where c.copy = 0 or c_custkey % 3 = 0""",
     "cart_upserts": """
-        select 1000000 + user_id % (select count(*) from {customer}) as user_id, event_id % 60 as product_id,
-               'viewed ' || event_id % 60 as product_name, count(*) as quantity,
+        select c.copy as request_id, 1000000 + user_id % (select count(*) from {customer}) as user_id,
+               event_id % 60 as product_id,
+               'viewed ' || event_id % 60 as product_name, count(*) + c.copy as quantity,
                cast(event_id % 60 + 0.5 as decimal(10,2)) as price, cast(null as decimal(10,2)) as discounted_price
-        from {events} where event_type = 'view'
-        group by 1000000 + user_id % (select count(*) from {customer}), event_id % 60""",
+        from {events} join (select 'view' as kind, 0 as copy union all select 'view', 1) c on c.kind = event_type
+        where c.copy = 0 or event_id % 4 = 0
+        group by 1000000 + user_id % (select count(*) from {customer}), event_id % 60, c.copy""",
     "new_drives": """
         select o_orderkey as request_id, (o_custkey * 7) % (select count(*) from {supplier}) as organiser_id,
                'new drive ' || o_orderkey as event_name, cast(o_orderdate as date) as event_date,
@@ -41,19 +46,24 @@ REQUESTS: dict[str, str] = {
                cast(null as {text}) as photo_path, 'gloves,water' as supplies
         from {orders} where o_orderpriority = '5-LOW'""",
     "drive_updates": """
-        select o_orderkey as request_id, o_orderkey as id,
-               (o_custkey * 7) % (select count(*) from {supplier}) as organiser_id,
-               'renamed ' || o_orderkey as event_name, cast(date '2001-08-01' as date) as event_date,
+        select o_orderkey * 2 + c.copy as request_id, o_orderkey as id,
+               case when o_orderkey % 11 = 0 then null
+                    else (o_custkey * 7) % (select count(*) from {supplier}) end as organiser_id,
+               case when c.copy = 1 then 'again ' else 'renamed ' end || o_orderkey as event_name, cast(date '2001-08-01' as date) as event_date,
                '09:30:00' as event_time, 3 + o_orderkey % 5 as num_volunteers,
                cast(150 + o_orderkey % 9 as decimal(10,2)) as salary_per_volunteer, 'Active' as status
-        from {orders} where o_orderpriority = '2-HIGH'""",
+        from {orders} join (select '2-HIGH' as priority, 0 as copy union all select '2-HIGH', 1) c
+          on c.priority = o_orderpriority
+        where c.copy = 0 or o_orderkey % 3 = 0""",
     "drive_deletions": """
         select o_orderkey as event_id, (o_custkey * 7) % (select count(*) from {supplier}) as organiser_id
         from {orders} where o_orderpriority = '1-URGENT'""",
     "user_deletions": "select 1000000 + c_custkey as user_id from {customer} where c_mktsegment = 'MACHINERY'",
     "product_reviews": """
-        select p_partkey as id, case when p_size % 2 = 0 then 'Approved' else 'Rejected' end as status
-        from {part} where p_type = 'ECONOMY'""",
+        select p_partkey * 2 + c.copy as request_id, p_partkey as id,
+               case when (p_size + c.copy) % 2 = 0 then 'Approved' else 'Rejected' end as status
+        from {part} join (select 'ECONOMY' as type, 0 as copy union all select 'ECONOMY', 1) c on c.type = p_type
+        where c.copy = 0 or p_partkey % 3 = 0""",
     "join_requests": """
         select event_id as request_id, event_id * 7 % 200 as event_id,
                1000000 + (user_id % cast(floor((select count(*) from {customer}) / 10.0) as bigint)) * 10
@@ -67,12 +77,20 @@ REQUESTS: dict[str, str] = {
         join (select 'Paid' as payment_status, 0 as copy union all select 'Pending', 0
               union all select 'Paid', 5000000) c on c.payment_status = v.payment_status""",
     "work_records": """
-        select event_id, volunteer_id, hours_worked * 1.5 as plastics_collected, hours_worked + 1 as hours_worked
-        from {drive_volunteers} where payment_status = 'Pending'""",
+        select c.copy as request_id, event_id, volunteer_id, (hours_worked + c.copy) * 1.5 as plastics_collected,
+               hours_worked + 1 + c.copy as hours_worked
+        from {drive_volunteers} v
+        join (select 'Pending' as payment_status, 0 as copy union all select 'Pending', 1) c
+          on c.payment_status = v.payment_status
+        where c.copy = 0 or v.volunteer_id % 3 = 0""",
     "recycled_records": """
-        select o_orderkey as event_id, (o_custkey * 7) % (select count(*) from {supplier}) as organiser_id,
-               case when o_orderkey % 8 = 0 then null else o_orderkey % 90 end as products_recycled
-        from {orders} where o_orderpriority = '3-MEDIUM'""",
+        select o_orderkey * 2 + c.copy as request_id, o_orderkey as event_id,
+               case when o_orderkey % 11 = 0 then null
+                    else (o_custkey * 7) % (select count(*) from {supplier}) end as organiser_id,
+               case when o_orderkey % 8 = 0 then null else o_orderkey % 90 + c.copy end as products_recycled
+        from {orders} join (select '3-MEDIUM' as priority, 0 as copy union all select '3-MEDIUM', 1) c
+          on c.priority = o_orderpriority
+        where c.copy = 0 or o_orderkey % 3 = 0""",
     "uploads": """
         select p_partkey as request_id, p_partkey % 10 as organiser_id,
                case when p_partkey % 37 = 0 then '  ' when p_partkey % 4 = 0 then p_name

@@ -1,7 +1,8 @@
 """Structured Streaming forms of the live figures, sign-ups and stock.
 
 Every job reads the event files as a stream, works through what is there (``availableNow``) and keeps results, state
-and progress below one folder of the shared storage, so a run that was interrupted goes on where it stopped.
+and progress below one folder of the shared storage.  Given the same folder ``out``, a later run goes on where the last
+one stopped; without one a run starts afresh.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from tidecrew.operators.changes import decrement_stock
 from tidecrew.plans.durable import new_folder
 from tidecrew.sources.catalog import Tables
 
-# Lateness allowed for the daily donations, and the time a repeated sign-up is remembered.
+# Lateness allowed for the daily donations (fixed value), and files that one batch takes at most.
 LATENESS = "1 hour"
-REMEMBERED = "60 days"
+FILES_PER_BATCH = 1000
 
 
-def event_stream(spark: SparkSession, folder: str, file_name: str = "events.parquet") -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, file_name: str = "events.parquet", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """The event files as a stream, with a time-zone aware timestamp that watermarks accept."""
     schema = spark.read.parquet(f"{folder}/{file_name}").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", file_name).parquet(folder)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
+    events = source.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -44,9 +46,9 @@ def live_totals(events: DataFrame) -> DataFrame:
     )
 
 
-def live_impact(spark: SparkSession, folder: str) -> DataFrame:
+def live_impact(spark: SparkSession, folder: str, out: str | None = None) -> DataFrame:
     """Totals after everything that has arrived; each batch replaces the last figures."""
-    out = new_folder(spark, "live_impact")
+    out = out or new_folder(spark, "live_impact")
 
     def replace(totals: DataFrame, batch: int) -> None:
         totals.write.mode("overwrite").parquet(f"{out}/totals")
@@ -66,35 +68,35 @@ def daily_donations(events: DataFrame) -> DataFrame:
     )
 
 
-def donations_by_day(spark: SparkSession, folder: str) -> DataFrame:
+def donations_by_day(spark: SparkSession, folder: str, out: str | None = None) -> DataFrame:
     """Closed days only: the last day stays open until later events arrive."""
-    out = new_folder(spark, "donations_by_day")
+    out = out or new_folder(spark, "donations_by_day")
     writer = daily_donations(event_stream(spark, folder)).writeStream.outputMode("append")
     _run(writer.format("parquet").option("path", f"{out}/days"), out)
     return spark.read.parquet(f"{out}/days")
 
 
 def first_of_kind(events: DataFrame) -> DataFrame:
-    """The first event of every user and kind; repeats are dropped as long as they are remembered."""
-    return events.withWatermark("ts", REMEMBERED).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    """The first event of every user and kind.  Repeats are dropped for ever: the state has a row per pair, on disk."""
+    return events.dropDuplicates(["user_id", "event_type"])
 
 
-def first_join(spark: SparkSession, folder: str) -> DataFrame:
+def first_join(spark: SparkSession, folder: str, out: str | None = None) -> DataFrame:
     """Users and kinds of events they took part in, each once."""
-    out = new_folder(spark, "first_join")
+    out = out or new_folder(spark, "first_join")
     writer = first_of_kind(event_stream(spark, folder)).select("user_id", "event_type").writeStream
     _run(writer.outputMode("append").format("parquet").option("path", f"{out}/joins"), out)
     return spark.read.parquet(f"{out}/joins")
 
 
-def stock_ledger(requests: DataFrame, t: Tables) -> DataFrame:
+def stock_ledger(requests: DataFrame, t: Tables, out: str | None = None) -> DataFrame:
     """Stock withdrawals (request_id, product_id, quantity) as they arrive: the verdicts of all batches.
 
     Batch n reads stock version n and writes version n + 1, so a repeated batch writes the same files again.
     """
     spark = t.spark
-    out = new_folder(spark, "stock_ledger")
-    t.products.select("id", "category", "quantity").write.parquet(f"{out}/stock/0")
+    out = out or new_folder(spark, "stock_ledger")
+    t.products.select("id", "category", "quantity").write.mode("ignore").parquet(f"{out}/stock/0")
 
     def withdraw(arrived: DataFrame, batch: int) -> None:
         session = arrived.sparkSession
