@@ -108,4 +108,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op8_benchmark_search": f"""
+        with item as (select item_id, {_WORDS} as w from benchmark),
+        sized as (select item_id, w, least(10, len(w)) as l from item where len(w) > 0),
+        needle as (select distinct item_id, l, array_to_string(w[i : i + l - 1], ' ') as k
+                   from (select *, unnest(range(1, len(w) - l + 2)) as i from sized)),
+        doc as (select doc_id, {_WORDS} as w from documents),
+        hay as (select doc_id, i, l, array_to_string(w[i : i + l - 1], ' ') as k
+                from (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) as i from doc, (select distinct l from needle))),
+        met as (select doc_id, i, l, item_id from hay join needle using (l, k)),
+        hit as (select doc_id, count(distinct at) as n from (select doc_id, unnest(range(i, i + l)) as at from met) group by 1),
+        own as (select doc_id, count(*) as n, string_agg(s, ',' order by s) as ids
+                from (select distinct doc_id, cast(item_id as varchar) as s from met) group by 1)
+        select doc.doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(own.n, 0) as n_items,
+               sha256(coalesce(ids, '')) as items_sha256, hit.n is not null as contaminated
+        from doc left join hit using (doc_id) left join own using (doc_id)""",
+}
