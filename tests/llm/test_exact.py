@@ -210,7 +210,7 @@ def test_no_run_is_left_twice(spark):
     def runs(lines):
         for i in range(len(lines)):
             for j in range(i + 1, len(lines) + 1):
-                if size(lines[i:j]) >= linededup.LEAST:
+                if size(lines[i:j]) >= linededup.GRAM + linededup.WINDOW - 1:
                     yield tuple(lines[i:j])
                     break
 

@@ -54,7 +54,7 @@ def fit(
     least: int = 10,
 ) -> Forest:
     """Boosted trees for the log-odds of ``y``; ``monotone`` gives the sign of the wanted slope by feature."""
-    cuts = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])) for column in x.T]
+    cuts = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else column for column in x.T]
     codes = np.stack([np.searchsorted(c, column, "left") for c, column in zip(cuts, x.T, strict=True)], axis=1)
     share = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
     base = float(np.log(share / (1 - share)))

@@ -2,7 +2,8 @@
 
 A document is the sequence of its lines that have a word.  From each line on, the lines up to ``gram`` words form a
 gram; in every stretch of ``window`` words the gram with the smallest hash is selected as a fingerprint, so a run of lines
-of ``gram + window - 1`` words or more that occurs twice shares a fingerprint.  Equal fingerprints are joined by position
+of ``gram + window - 1`` words or more that occurs twice shares fingerprints, which overlap if a gram is longer than a
+window: the run is found whole even if parts of it first occurred in different places.  Equal fingerprints are joined by position
 with their first occurrence, in order of document and line, and the match is extended line by line both ways.  Where
 the extended run has ``least`` words or more, it is a later repetition, and its lines (with blank lines between them) go.
 
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 
 from tidecrew.llm.tables import packed, stored, unpacked
 
-GRAM = 20
-WINDOW = 21
-LEAST = 40
+GRAM = 30
+WINDOW = 11
+LEAST = 30
 REACH = 60
 
 

@@ -196,11 +196,12 @@ def build(docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = E
     fits = [row for row in vectors if row["role"] == "fit"]
     y = np.array([row["label"] for row in kept], dtype=float)
     share = float(np.mean([row["label"] for row in fits])) if fits else float(y.mean()) if len(y) else 0.0
-    weights = np.zeros((len(terms), -(-len(kept) // BLOCK) * BLOCK))
+    blocks = -(-len(kept) // BLOCK)
+    weights = np.zeros((len(terms), blocks * BLOCK))
     for k, row in enumerate(kept):
         term = np.array(row["term"], dtype=np.int64)
         weights[term, k] = _unit(term, np.array(row["n"]), idf)
-    peaks = weights.reshape(len(terms), -1, BLOCK).max(axis=2) if len(kept) else np.zeros((len(terms), 0))
+    peaks = weights.reshape(len(terms), blocks, BLOCK).max(axis=2)
     toxic = y.mean() if len(y) else 0.0
     votes = np.where(y == 1, share / max(toxic, 1e-9), (1 - share) / max(1 - toxic, 1e-9))
     ids = np.array([row["doc_id"] for row in kept], dtype=np.int64)
