@@ -121,7 +121,7 @@ SQL: dict[str, str] = {
         hay as (select doc_id, i, l, array_to_string(w[i : i + l - 1], ' ') as k
                 from (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) as i from doc, (select distinct l from needle))),
         met as (select doc_id, i, l, item_id from hay join needle using (l, k)),
-        hit as (select doc_id, count(distinct at) as n from (select doc_id, unnest(range(i, i + l)) as at from met) group by 1),
+        hit as (select doc_id, count(distinct spot) as n from (select doc_id, unnest(range(i, i + l)) as spot from met) group by 1),
         own as (select doc_id, count(*) as n, string_agg(s, ',' order by s) as ids
                 from (select distinct doc_id, cast(item_id as varchar) as s from met) group by 1)
         select doc.doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(own.n, 0) as n_items,
