@@ -172,6 +172,58 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.grouped(documents(spark, rows).limit(0)).collect() == []
 
 
+def changed(rnd, words, n):
+    """The words with n of them changed."""
+    out = list(words)
+    for k in rnd.sample(range(len(out)), n):
+        out[k] = f"z{rnd.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_similar_texts_are_found(spark):
+    rnd = random.Random(6)
+    rows = []
+    for size in (6, 12, 25, 32, 60, 97, 150, 400, 1500):
+        for _ in range(8):
+            base = [f"v{rnd.randrange(10**6)}" for _ in range(size)]
+            rows += [" ".join(base), changed(rnd, base, 1), " ".join(base[: max(1, size - size // 12)]), changed(rnd, base, size // 12)]
+    rows += [None, "", "one two three four five", "one two three four five six"]
+    docs = documents(spark, list(enumerate(rows)) + [(0, rows[0])])
+    sets = []
+    for text in rows:
+        w = (text or "").split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    found = {r.doc_id: r.component for r in simhash.grouped_alike(docs, "doc_id", "text", 5, 2, 0.8).collect()}
+    linked = [found[i] == found[j] for i, j in alike]
+    assert len(alike) > 100 and sum(linked) >= 0.98 * len(linked)
+    # Nothing else is linked: groups are among the similar ones, or equal in their fingerprint but for two bits.
+    up = list(range(len(rows)))
+    prints = [plain_fingerprint(t or "", 5) for t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+
+    def root(k):
+        return k if up[k] == k else root(up[k])
+
+    for i, j in alike + near:
+        up[max(root(i), root(j))] = min(root(i), root(j))
+    assert all(root(i) == root(found[i]) for i in found)
+    kept = [r.doc_id for r in simhash.one_of_each(docs, shingle=5, similarity=0.8).collect()]
+    assert sorted(kept) == sorted(set(found.values()))
+    assert simhash.one_of_each(docs.limit(0), shingle=5, similarity=0.8).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 10, 19, 20, 23, 24, 25, 29])
+def test_short_similar_sets_share_a_part(n):
+    rnd = np.random.default_rng(n)
+    for _ in range(200):
+        base = rnd.integers(0, 2**63, n, dtype=np.uint64)
+        other = base[rnd.permutation(n)[: int(np.ceil(0.8 * n))]]
+        if n < 24:
+            assert np.isin(simhash.parts_of(base), simhash.parts_of(other)).any()
+    assert len(simhash.parts_of(base[:0])) == 0
+
+
 def test_repeated_runs_go_and_their_first_occurrence_stays(spark):
     rnd = random.Random(4)
     line = lambda n: " ".join(f"t{rnd.randrange(10**6)}" for _ in range(n))

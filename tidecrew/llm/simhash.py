@@ -11,11 +11,16 @@ large-star and small-star steps.
 
 Defined cases: a NULL or empty text has no shingles and fingerprint zero, linked like any other; fewer words than a shingle
 are one shingle; rows may repeat; a NULL id counts as larger than all others in a group; an empty table gives no rows.
+
+Near copies of a few hundred words, with some words changed, differ by more bits than a search over 64 can tell from chance
+without comparing everything.  :func:`one_of_each` therefore takes more links on request: texts with a part of their shingles
+in common are compared outright, shingle set with shingle set, and linked from a similarity on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tidecrew.llm.docstats import texts_of
 from tidecrew.llm.tables import packed, row_key, stored, unpacked, without
+from tidecrew.llm.words import mixed
 from tidecrew.plans.combine import spread_out
 
 SHINGLE = 3
@@ -37,20 +43,30 @@ SAMPLE = 1 << 16
 SHARD = 4_096
 SHARDS = 1 << 12
 LEAF = 1_024
+# Similarity that the parts are laid out for; shingles of a part, at least, and parts of a text; texts of fewer shingles than
+# the last number go by single shingles.
+SIMILARITY = 0.8
+PART = 3
+PARTS = 24
+SHORT = 24
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text over its word shingles, repeats included."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of the word shingles of a text, repeats included."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     whole = b" ".join(words)
     ends = np.cumsum([len(word) + 1 for word in words])
     starts = ends - [len(word) + 1 for word in words]
     size = min(shingle, len(words))
     pairs = zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[a:b], SEED) for a, b in pairs], dtype="<u8")
+    return np.array([digest(whole[a:b], SEED) for a, b in pairs], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: bits set in more than half of the hashes; zero if there are none."""
     totals = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -58,6 +74,53 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(totals * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text over its word shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def parts_of(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Keys of parts of a set of shingles, drawn by hash; sets of at least that similarity have one in common.
+
+    That is certain for short texts: of n shingles in hash order, one of the first n - ceil(similarity n) + 1 is shared.
+    Longer texts are cut into a power of two of parts of ``PART`` to twice as many shingles, of which ``PARTS`` are
+    taken; each is untouched by the changes with a chance of a quarter or more at a similarity of 0.8.  A text near the next size
+    is cut in both ways, so that similar texts of different sizes meet.
+    """
+    found = np.unique(mixed(np.unique(hashes)))
+    n, keys = len(found), []
+    if n < SHORT / similarity:
+        keys.append(found[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
+    if n >= SHORT * similarity:
+        level = int(np.log2(n / PART))
+        for power in {level, int(np.log2(n / PART / similarity))}:
+            place = found & np.uint64((1 << power) - 1)
+            order = np.argsort(place, kind="stable")
+            order = order[: np.searchsorted(place[order], PARTS)]
+            if len(order):
+                first = np.flatnonzero(np.diff(place[order], prepend=np.uint64(PARTS)))
+                size = np.diff(first, append=len(order))
+                # A single shingle is no part: a common phrase would do.
+                keys.append(mixed(np.add.reduceat(found[order], first) + np.uint64(power))[size > 1])
+    return np.concatenate(keys) if keys else found
+
+
+def with_parts(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, fp, parts): the fingerprint and the keys of the parts of every row."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = (shingle_hashes(text, shingle) for text in texts_of(batch.column(1)))
+            found = [(majority(h), parts_of(h, similarity).view(np.int64)) for h in hashes]
+            prints = np.array([fp for fp, _ in found], dtype=np.uint64).view(np.int64)
+            parts = pa.array([keys for _, keys in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), parts], ["id", "fp", "parts"])
+
+    schema = f"id {kind}, fp long, parts array<long>"
+    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
 def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint of every row, as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -223,6 +286,38 @@ def links(classes: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, sh
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
+def sharing_parts(classes: DataFrame, distance: int) -> DataFrame:
+    """(a, b) with a > b: fingerprints with a part in common, more than ``distance`` bits apart.
+
+    The members of a part meet its smallest and its largest one, so there are at most two pairs a member.
+    """
+    members = stored(classes.select("fp", F.explode("parts").alias("part")), "parts")
+    ends = members.groupBy(F.col("part").alias("shared")).agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    ends = stored(ends.filter("low < high"), "shared")
+    met = members.join(ends, F.col("part") == F.col("shared")).select("fp", F.explode(F.array("low", "high")).alias("end"))
+    pairs = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("end"))) > distance)
+    return pairs.select(F.greatest("fp", "end").alias("a"), F.least("fp", "end").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose ``texts`` (fp, text) have the similarity, by their whole sets of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = lru_cache(maxsize=64)(lambda text: np.unique(shingle_hashes(text, shingle)))
+        for batch in batches:
+            keep = []
+            for one, other in zip(texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True):
+                x, y = shingles(one), shingles(other)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    first = texts.select(F.col("fp").alias("a"), F.col("text").alias("one"))
+    second = texts.select(F.col("fp").alias("b"), F.col("text").alias("other"))
+    half = stored(pairs.join(first, "a"), "half")
+    return half.join(second, "b").select("a", "b", "one", "other").mapInArrow(run, "a long, b long").distinct()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour, itself included."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -252,13 +347,9 @@ def components(edges: DataFrame) -> DataFrame:
         state = stored(_small_star(_large_star(state)), "links")
 
 
-def grouped(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE
-) -> DataFrame:
-    """(id, fp, component): the smallest id reachable over links, for every row."""
-    rows = stored(with_fingerprint(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("low")), "classes")
-    roots = components(links(classes, distance))
+def _named(rows: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """(id, fp, component): the smallest id reachable over the links between fingerprints, for every row."""
+    roots = components(edges)
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
@@ -270,12 +361,49 @@ def grouped(
     return rows.join(named, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component")
 
 
-def one_of_each(
+def grouped(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE
 ) -> DataFrame:
-    """The documents, all columns, but one of each group: that with the smallest id, then hash of the text."""
+    """(id, fp, component): the smallest id reachable over links, for every row."""
+    rows = stored(with_fingerprint(docs, id_col, text_col, shingle), "fingerprints")
+    classes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("low")), "classes")
+    return _named(rows, classes, links(classes, distance), id_col)
+
+
+def grouped_alike(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, similarity: float
+) -> DataFrame:
+    """As :func:`grouped`, with further links between texts of that similarity that share a part of their shingles."""
+    rows = stored(with_parts(docs, id_col, text_col, shingle, similarity), "fingerprints")
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("low"), "parts")).alias("least"))
+    classes = stored(least.select("fp", "least.low", "least.parts"), "classes")
+    pairs = stored(sharing_parts(classes, distance), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    wanted = stored(classes.join(ends, F.col("fp") == F.col("end"), "left_semi").select("fp", "low"), "wanted")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(wanted, F.col("_id") == F.col("low"))
+    found = alike(pairs, stored(texts.select("fp", "text"), "texts"), shingle, similarity)
+    edges = links(classes, distance).unionByName(found).distinct()
+    return _named(rows.drop("parts"), classes.drop("parts"), edges, id_col)
+
+
+def one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    distance: int = DISTANCE,
+    similarity: float | None = None,
+) -> DataFrame:
+    """The documents, all columns, but one of each group: that with the smallest id, then hash of the text.
+
+    Groups are those of :func:`grouped`, or with a similarity those of :func:`grouped_alike`.
+    """
     keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    found = stored(grouped(keyed, "key", "text", shingle, distance), "groups")
+    if similarity is None:
+        groups = grouped(keyed, "key", "text", shingle, distance)
+    else:
+        groups = grouped_alike(keyed, "key", "text", shingle, distance, similarity)
+    found = stored(groups, "groups")
     left = without(docs, found.filter("key <> component").select("key").distinct(), id_col, text_col)
     # Of rows with the same id and text, all but one go, too; as a rule there are none.
     again = stored(found.filter("key = component").groupBy("key").count().filter("count > 1").select("key"), "repeated")
