@@ -49,6 +49,7 @@ SIMILARITY = 0.8
 PART = 3
 PARTS = 24
 SHORT = 24
+ORDERS = 8
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -289,11 +290,16 @@ def links(classes: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, sh
 def sharing_parts(classes: DataFrame, distance: int) -> DataFrame:
     """(a, b) with a > b: fingerprints with a part in common, more than ``distance`` bits apart.
 
-    The members of a part meet its smallest and its largest one, so there are at most two pairs a member.
+    The members of a part meet the first and the last of them, so there are at most two pairs a member.  Parts put their
+    members in one of ``ORDERS`` random orders each: two that share parts but are not like the ends of one meet in another, or
+    over a third text, and members of a large group meet few others in all.
     """
     members = stored(classes.select("fp", F.explode("parts").alias("part")), "parts")
-    ends = members.groupBy(F.col("part").alias("shared")).agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
-    ends = stored(ends.filter("low < high"), "shared")
+    order = F.xxhash64("fp", F.pmod("part", F.lit(ORDERS)))
+    ends = members.groupBy(F.col("part").alias("shared")).agg(
+        F.min_by("fp", order).alias("low"), F.max_by("fp", order).alias("high")
+    )
+    ends = stored(ends.filter("low <> high"), "shared")
     met = members.join(ends, F.col("part") == F.col("shared")).select("fp", F.explode(F.array("low", "high")).alias("end"))
     pairs = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("end"))) > distance)
     return pairs.select(F.greatest("fp", "end").alias("a"), F.least("fp", "end").alias("b")).distinct()
