@@ -1,5 +1,6 @@
 """Change jobs: verdicts, conservation of stock, and rationing against one-after-the-other processing."""
 
+import hashlib
 import random
 from decimal import Decimal
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecrew.plans.keyed import upsert_by_key
 from tidecrew.operators import changes
+from tidecrew.plans import rationing
 from tidecrew.plans.rationing import ration
 from tidecrew.sources.requests import request_batch
 
@@ -41,6 +43,25 @@ def test_rationing_equals_sequential_service(spark, seed):
     assert {r.unit: r.served for r in got.collect()} == one_after_the_other(lines, stock)
 
 
+def test_a_long_chain_of_carts_takes_few_rounds(spark, monkeypatch):
+    """Cart i shares a product with cart i + 1, and there is one piece of each."""
+    rounds = []
+    totals = rationing.running_totals
+    monkeypatch.setattr(rationing, "running_totals", lambda *a, **k: rounds.append(1) or totals(*a, **k))
+    carts = 200
+    t = micro_tables(
+        spark,
+        products=[{"id": p, "quantity": 1} for p in range(carts + 1)],
+        cart=[{"user_id": u, "product_id": p, "quantity": 1} for u in range(carts) for p in (u, u + 1)],
+    )
+    got = {r.user_id: r.reason is None for r in changes.checkout_carts(t).verdicts.collect()}
+    order = sorted(range(carts), key=lambda u: hashlib.md5(str(u).encode()).hexdigest())
+    lines = [(turn, p, 1) for turn, u in enumerate(order) for p in (u, u + 1)]
+    want = one_after_the_other(lines, [(p, 1) for p in range(carts + 1)])
+    assert got == {u: want[turn] for turn, u in enumerate(order)}
+    assert len(rounds) <= 20
+
+
 def total_stock(df):
     return df.agg(F.sum("quantity")).first()[0]
 

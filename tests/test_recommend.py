@@ -31,8 +31,11 @@ def brute_force(users, products, scores, bought, boosts, n=10):
     return out
 
 
-@pytest.mark.parametrize("seed,head,near,run", [(1, 6, 64, 1024), (2, 2, 2, 2), (3, 2, 1, 3)])
-def test_top_recommendations_equal_brute_force(spark, monkeypatch, seed, head, near, run):
+@pytest.mark.parametrize(
+    "seed,head,near,run,sent", [(1, 6, 64, 1024, 200_000), (2, 2, 2, 2, 200_000), (3, 2, 1, 3, 200_000), (4, 2, 64, 2, 0)]
+)
+def test_top_recommendations_equal_brute_force(spark, monkeypatch, seed, head, near, run, sent):
+    monkeypatch.setattr(recommend, "HEAD_ROWS", sent)
     monkeypatch.setattr(recommend, "HEAD", head)
     monkeypatch.setattr(recommend, "NEAR_STEPS", near)
     monkeypatch.setattr(recommend, "RUN", run)
@@ -114,6 +117,29 @@ def test_branches(spark):
     users = spark.createDataFrame([(u, 0) for u in (1, 2, 3)], "user_id long, user_band long")
     rows = sorted(values(recommend.recommendations(t, users, training.mean_scores(t)), "user_id", "product_id"))
     assert rows == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    # Without a band there is no personal list; the last resort takes its place.
+    strangers = users.filter("user_id <> 1")
+    rows = values(recommend.recommendations(t, strangers, training.mean_scores(t)), "user_id", "type", "position", "product_id")
+    assert (1, "final_fallback", 1, 1) in rows and len(rows) == 4
+
+
+def test_the_last_resort_is_a_long_list(spark):
+    products = [{"id": p} for p in range(1, 31)]
+    t = micro_tables(
+        spark,
+        users=[{"id": 7}, {"id": 8}],
+        products=products,
+        purchases=[{"id": 1, "user_id": 7, "product_id": 1}],
+        product_feedback=[
+            {"id": 1, "purchase_history_id": 1, "user_id": 7, "product_id": p, "rating": 4} for p in range(1, 4)
+        ],
+    )
+    nobody = spark.createDataFrame([], "user_id long, user_band long")
+    rows = values(recommend.recommendations(t, nobody, training.mean_scores(t)), "user_id", "type", "position", "product_id")
+    want = sorted(range(1, 31), key=lambda p: (p * 7 % 100, p))[:10]
+    assert sorted(r[2:] for r in rows if r[:2] == (7, "final_fallback")) == list(enumerate(want, 1))
+    # User 8 is unknown: the products somebody bought.
+    assert [r for r in rows if r[0] == 8] == [(8, "popularity_fallback_new_user", 1, 1)]
 
 
 def test_price_bands_are_right_closed_quantiles(spark):
@@ -180,3 +206,41 @@ def test_a_long_list_is_complete(spark):
     )
     rows = recommend.top_recommendations(t, users, scores, n=30).collect()
     assert sorted(r.position for r in rows) == list(range(1, 31))
+
+
+def test_a_cohort_gets_what_each_user_gets_alone(spark):
+    rnd = random.Random(6)
+    bought = [(rnd.randrange(1, 9), rnd.randrange(1, 12)) for _ in range(40)]
+    # User 20 shares nothing with anybody, user 21 holds all best sellers, users 98 and 99 have no purchases.
+    best = [p for p, _ in sorted(Counter(p for _, p in bought).items(), key=lambda x: (-x[1], x[0]))[:5]]
+    bought += [(20, 30)] + [(21, p) for p in best]
+    t = micro_tables(
+        spark,
+        products=[{"id": p, "status": "Approved" if p % 3 else "Pending"} for p in [*range(1, 12), 30]],
+        purchases=[{"id": i, "user_id": u, "product_id": p} for i, (u, p) in enumerate(bought)],
+    )
+    people = [1, 2, 3, 20, 21, 98, 99, 99]
+    cohort = spark.createDataFrame([(u,) for u in people], "user_id long")
+    alike = values(similar.similar_users_of(t, cohort).orderBy("target", "position"), "target", "user_id", "closeness")
+    offers = values(similar.cf_recommendations_of(t, cohort), "target", "type", "product_id", "weight")
+    for user in sorted(set(people)):
+        alone = values(similar.similar_users(t, user), "user_id", "closeness") if user < 98 else []
+        assert [r[1:] for r in alike if r[0] == user] == alone
+        assert sorted(r[1:] for r in offers if r[0] == user) == sorted(values(similar.cf_recommendations(t, user)))
+
+
+def test_model_losses_by_side_and_number_of_bands(spark, small):
+    judged = spark.createDataFrame(
+        [("test", 0.0, [0.5, 0.5]), ("test", 1.0, [0.5, 0.5]), ("train", 1.0, [1.0, 0.0])],
+        "side string, label double, shares array<double>",
+    )
+    rows = {r.side: (r.ratings, r.mlogloss, r.accuracy) for r in training.rating_losses(judged).collect()}
+    assert rows == {"test": (2, 0.693147, 0.5), "train": (1, 34.538776, 0.0)}
+    frame = training.model_frame(small, bands=64)
+    model = training.choose_trees(frame, (1, 3), bands=64)
+    losses = {r.side: r.mlogloss for r in training.model_losses(model, frame).collect()}
+    assert losses["test"] <= {
+        r.side: r.mlogloss for r in training.model_losses(training.rating_model(frame, 1, bands=64), frame).collect()
+    }["test"]
+    scores = training.model_scores(small, model, training.stored_ratings(training.model_metadata(small)), bands=64)
+    assert scores.select("user_band").distinct().count() == 64

@@ -54,6 +54,22 @@ def test_ledger_over_several_batches_equals_one_batch(spark, small, split_events
     assert sorted(values(got, *columns)) == sorted(values(want, *columns))
 
 
+def test_an_interrupted_ledger_goes_on(spark, small, split_events, tmp_path):
+    """Two runs over the same folder give what one run gives, and the stock that is left."""
+    first = tmp_path / "first"
+    first.mkdir()
+    out = str(tmp_path / "ledger")
+    for name in ("events-0.parquet", "events-1.parquet"):
+        shutil.copy(split_events / name, first / name)
+    jobs.stock_ledger(request_stream(stream_of(spark, first), "stock_requests"), small, out)
+    shutil.copy(split_events / "events-2.parquet", first / "events-2.parquet")
+    got = jobs.stock_ledger(request_stream(stream_of(spark, first), "stock_requests"), small, out)
+    want = decrement_stock(small, request_batch(small, "stock_requests"))
+    assert sorted(values(got, "request_id", "reason")) == sorted(values(want.verdicts, "request_id", "reason"))
+    columns = ("id", "category", "quantity")
+    assert sorted(values(jobs.current_stock(spark, out), *columns)) == sorted(values(want.tables["products"], *columns))
+
+
 def test_a_later_run_goes_on_and_repeats_are_dropped_for_ever(spark, tmp_path):
     from tidecrew.streaming import jobs
 

@@ -20,6 +20,7 @@ from tidecrew.plans.keyed import (
     with_winner,
 )
 from tidecrew.plans.rationing import ration
+from tidecrew.plans.running import sorted_positions
 from tidecrew.sources.catalog import Tables
 from tidecrew.sources.mapping import AS_OF
 
@@ -444,15 +445,21 @@ def validate_checkout(t: Tables, lines: DataFrame) -> DataFrame:
 
 
 def checkout_carts(t: Tables, as_of: str = AS_OF) -> Change:
-    """All carts bought at once: a cart goes through whole or not at all, carts in order of user id."""
+    """All carts bought at once: a cart goes through whole or not at all.
+
+    Carts are served in the order of the MD5 of their user id.  Any order would do, since nobody is first in a batch;
+    by user id a long chain of neighbours who share a product would take as many rounds as it has carts.
+    """
     listed = t.products.select(
         F.col("id").alias("product_id"), F.col("quantity").alias("stock"), F.col("discounted_price").alias("offer")
     )
     lines = t.cart.join(listed, "product_id")
     stock = listed.select("product_id", "stock")
-    served = ration(t.cart.join(listed, "product_id", "left_semi").select(
-        F.col("user_id").alias("unit"), "product_id", "quantity"
-    ), stock).select(F.col("unit").alias("user_id"), "served")
+    asked = t.cart.join(listed, "product_id", "left_semi").select("user_id", "product_id", "quantity")
+    turns = sorted_positions(
+        asked.select("user_id").distinct(), [], [F.md5(F.col("user_id").cast("string")), F.col("user_id")], "unit"
+    )
+    served = ration(asked.join(turns, "user_id").drop("user_id"), stock).join(turns, "unit").select("user_id", "served")
     verdicts = served.select("user_id", F.when(~F.col("served"), "Insufficient stock").alias("reason"))
     through = served.filter(F.col("served")).select("user_id")
     # An offer of zero does not count as one.
@@ -542,4 +549,5 @@ def record_donations(t: Tables, requests: DataFrame, as_of: str = AS_OF) -> Chan
     new = numbered_after(verdicts.filter(F.col("reason").isNull()), "request_id", t.donations).withColumns(
         {"donation_date": _moment(as_of), "status": F.lit("Pending")}
     )
-    return Change(verdicts, {"donations": _appended(t.donations, new)})
+    rows = _appended(t.donations.limit(0), new)
+    return Change(verdicts, {"donations": t.donations.unionByName(rows), "new_donations": rows})

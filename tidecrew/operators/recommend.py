@@ -8,6 +8,8 @@ its products, so only that many places are looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ NEAR_STEPS = 64
 # Step numbers written out at a time for one buyer.
 RUN = 1024
 RESIDUES = 100
+LAST_RESORT = "final_fallback"
 
 
 def bought_pairs(t: Tables) -> DataFrame:
@@ -276,9 +279,9 @@ def bought_list(t: Tables, n: int = SHORT_LIST) -> DataFrame:
     return per_user_shuffle(_approved(t).join(counts, "product_id"), [F.desc("purchases"), F.col("product_id")], n)
 
 
-def for_users(users: DataFrame, lists: DataFrame) -> DataFrame:
-    """A list per user from the lists per user ending, which hold at most 100 endings times the list length."""
-    return users.withColumn("residue", F.pmod("user_id", F.lit(RESIDUES))).join(F.broadcast(lists), "residue")
+def for_users(users: DataFrame, lists: DataFrame, *keys: str) -> DataFrame:
+    """A list per user from the lists per user ending, which hold at most 100 endings times the list length per kind."""
+    return users.withColumn("residue", F.pmod("user_id", F.lit(RESIDUES))).join(F.broadcast(lists), ["residue", *keys])
 
 
 def newest_products(t: Tables, n: int = SHORT_LIST) -> DataFrame:
@@ -294,24 +297,31 @@ def newest_products(t: Tables, n: int = SHORT_LIST) -> DataFrame:
 def recommendations(t: Tables, users: DataFrame, scores: DataFrame) -> DataFrame:
     """Every user's list with the branch it came from.
 
-    ``users`` gives the score band of the users known to the model.
+    ``users`` gives the score band of the users known to the model.  A personal user without a list (no band, or no
+    scores in it) gets the last resort: a long list of the newest products.
     """
     kinds = cut(recommendation_type(candidate_counts(t)))
-
-    def of(kind: str) -> DataFrame:
-        return kinds.filter(F.col("type") == kind)
-
-    personal = top_recommendations(
-        t, users.join(of("personalized").select("user_id"), "user_id", "left_semi"), scores
-    ).withColumn("type", F.lit("personalized"))
-    newest = fallback_list(t)
-    branches = [
-        for_users(of("popularity_fallback_new_user"), bought_list(t)),
-        for_users(of("popularity_no_history"), popular_list(t)),
-        for_users(of("general_fallback"), newest),
-        for_users(of("new_products_fallback"), newest),
-    ]
-    result = personal.select("user_id", "type", "position", "product_id")
-    for branch in branches:
-        result = result.unionByName(branch.select("user_id", "type", "position", "product_id"))
-    return result
+    known = kinds.filter(F.col("type") == "personalized").select("user_id")
+    personal = cut(top_recommendations(t, users.join(known, "user_id", "left_semi"), scores).drop("score"))
+    listed = personal.filter(F.col("position") == 1).select("user_id", F.lit(True).alias("listed"))
+    others = (
+        kinds.join(listed, "user_id", "left")
+        .filter(F.col("listed").isNull())
+        .select("user_id", F.when(F.col("type") == "personalized", LAST_RESORT).otherwise(F.col("type")).alias("type"))
+    )
+    newest = fallback_list(t, PERSONAL)
+    short = newest.filter(F.col("position") <= SHORT_LIST)
+    lists = {
+        "popularity_fallback_new_user": bought_list(t),
+        "popularity_no_history": popular_list(t),
+        "general_fallback": short,
+        "new_products_fallback": short,
+        LAST_RESORT: newest,
+    }
+    rows = reduce(DataFrame.unionByName, [df.withColumn("type", F.lit(kind)) for kind, df in lists.items()])
+    columns = ["user_id", "type", "position", "product_id"]
+    return (
+        personal.withColumn("type", F.lit("personalized"))
+        .select(*columns)
+        .unionByName(for_users(others, rows, "type").select(*columns))
+    )

@@ -1,15 +1,16 @@
-"""Collaborative filtering for one user: who buys alike, and what they bought.
+"""Collaborative filtering for one user or a cohort: who buys alike, and what they bought.
 
-The work for one user is linear in the purchases.  Comparing all users with each other is not offered: it would write a
-row per pair of buyers of every product.
+The work for one user is linear in the purchases, that for a cohort in the cohort's purchases times the buyers of what
+it bought.  Comparing all users with each other is not offered: it would write a row per pair of buyers of every product.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecrew.operators.recommend import SHORT_LIST
+from tidecrew.plans.durable import cut
 from tidecrew.sources.catalog import Tables
 
 # Fixed value: neighbours looked at, the user included.
@@ -83,3 +84,89 @@ def cf_recommendations(t: Tables, user: int | Column, n: int = SHORT_LIST) -> Da
         .unionByName(offer(newest, "newest", 2))
     )
     return offers.filter(F.col("choice") == offers.agg(F.min("choice")).scalar()).select("type", "product_id", "weight")
+
+
+def similar_users_of(t: Tables, cohort: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """:func:`similar_users` for every user of ``cohort`` (user_id); users without purchases have no rows.
+
+    Buyers without a common product only fill a list up, in order of their ids, so the ``k`` lowest ids are enough of
+    them.
+    """
+    counts = t.purchases.groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
+    norms = counts.groupBy("user_id").agg(F.sum(F.col("n") * F.col("n")).alias("norm"))
+    asked = cohort.select(F.col("user_id").alias("target")).distinct()
+    wanted = counts.join(asked, F.col("user_id") == F.col("target"), "left_semi").select(
+        F.col("user_id").alias("target"), "product_id", F.col("n").alias("own")
+    )
+    # The fact side stays on the left: a product that very many buy is split there at run time.
+    common = counts.join(wanted, "product_id").select("target", "user_id", (F.col("n") * F.col("own")).alias("dot"))
+    lowest = norms.orderBy("user_id").limit(k).agg(F.collect_list("user_id")).scalar()
+    filled = (
+        wanted.select("target")
+        .distinct()
+        .withColumn("user_id", F.explode(lowest))
+        .withColumn("dot", F.lit(0).cast("bigint"))
+    )
+    closeness = F.col("dot").cast("double") * F.col("dot") / F.col("norm")
+    nearest = Window.partitionBy("target").orderBy(F.col("user_id") != F.col("target"), F.desc("closeness"), "user_id")
+    return (
+        common.unionByName(filled)
+        .groupBy("target", "user_id")
+        .agg(F.sum("dot").alias("dot"))
+        .join(norms, "user_id")
+        .withColumn("closeness", closeness)
+        .withColumn("position", F.row_number().over(nearest))
+        .filter(F.col("position") <= k)
+        .select("target", "position", "user_id", "dot", "norm", "closeness")
+    )
+
+
+def cf_recommendations_of(t: Tables, cohort: DataFrame, n: int = SHORT_LIST) -> DataFrame:
+    """:func:`cf_recommendations` for every user of ``cohort`` (user_id)."""
+    asked = cut(cohort.select(F.col("user_id").alias("target")).distinct())
+    own = cut(
+        t.purchases.join(asked, F.col("user_id") == F.col("target"), "left_semi")
+        .select(F.col("user_id").alias("target"), "product_id")
+        .distinct()
+    )
+    alike = similar_users_of(t, cohort).filter(F.col("user_id") != F.col("target")).select("target", "user_id")
+    approved = t.products.filter(F.col("status") == "Approved").select(F.col("id").alias("product_id"), "created_at")
+    best = Window.partitionBy("target").orderBy(F.desc("weight"), "product_id")
+    personal = (
+        t.purchases.select("user_id", "product_id")
+        .join(alike, "user_id")
+        .join(own, ["target", "product_id"], "left_anti")
+        .groupBy("target", "product_id")
+        .agg(F.count(F.lit(1)).alias("weight"))
+        .withColumn("nth", F.row_number().over(best))
+        .filter(F.col("nth") <= n)
+        .select("target", "product_id", "weight")
+    )
+    personal = cut(personal)
+    popular = (
+        t.purchases.groupBy("product_id")
+        .agg(F.count(F.lit(1)).alias("weight"))
+        .orderBy(F.desc("weight"), "product_id")
+        .limit(n)
+    )
+    newest = approved.orderBy(F.desc("created_at"), "product_id").limit(n).withColumn("weight", F.lit(0).cast("bigint"))
+
+    def everybody(people: DataFrame, top: DataFrame) -> DataFrame:
+        """``n`` products at most for each of ``people``."""
+        entries = top.agg(F.collect_list(F.struct("product_id", "weight"))).scalar()
+        return people.withColumn("entry", F.explode(entries)).select("target", "entry.product_id", "entry.weight")
+
+    # Who has a personal list keeps it, whatever of it is approved; the popular products are for the rest.
+    rest = asked.join(personal.select("target").distinct(), "target", "left_anti")
+    offers = cut(
+        personal.withColumn("type", F.lit("personalized"))
+        .unionByName(
+            everybody(rest, popular).join(own, ["target", "product_id"], "left_anti").withColumn("type", F.lit("popular"))
+        )
+        .join(approved.select("product_id"), "product_id", "left_semi")
+        .select("target", "type", "product_id", "weight")
+    )
+    empty = asked.join(offers.select("target").distinct(), "target", "left_anti")
+    return offers.unionByName(
+        everybody(empty, newest).select("target", F.lit("newest").alias("type"), "product_id", "weight")
+    )

@@ -28,9 +28,11 @@ SERVING_DAYS = 30
 SERVING_BANDS = (100, 500, 1000, 5000)
 SERVING_DEFAULT_BAND = 2
 
-# A tree over a numeric code tells at most this many ranges of it apart (the bins of the learner), so users enter as
-# the range their code falls in.
+# A tree over a numeric code tells at most as many ranges of it apart as the learner has bins, so users enter as the
+# range their code falls in.  Default number of ranges and bins; every job below takes another as ``bands``.
 USER_BANDS = 32
+# Smallest probability of a rating that the log loss takes into account.
+LEAST_SHARE = 1e-15
 FEATURES = ("user_band", "product_code", "category_code", "price_band", "days_since_purchase")
 
 
@@ -163,14 +165,14 @@ def user_bands(t: Tables, bands: int = USER_BANDS) -> DataFrame:
     return coded.select("user_id", F.floor(F.col("index") * bands / total).alias("user_band"))
 
 
-def model_frame(t: Tables) -> DataFrame:
+def model_frame(t: Tables, bands: int = USER_BANDS) -> DataFrame:
     """One row per rated purchase with the model's features and its label."""
     rows = training_features(t)
     products = dense_index(rows, "product_id", name="product_code")
     categories = _small_index(rows, "category").withColumnRenamed("index", "category_code")
     labels = _small_index(rows, "rating").withColumnRenamed("index", "label")
     return (
-        rows.join(user_bands(t), "user_id")
+        rows.join(user_bands(t, bands), "user_id")
         .join(products, "product_id")
         .join(categories, "category")
         .join(labels, "rating")
@@ -178,7 +180,7 @@ def model_frame(t: Tables) -> DataFrame:
     )
 
 
-def rating_model(frame: DataFrame, trees: int = TREES, seed: int = SEED) -> PipelineModel:
+def rating_model(frame: DataFrame, trees: int = TREES, seed: int = SEED, bands: int = USER_BANDS) -> PipelineModel:
     """A forest over the training side of the split that gives a probability per rating."""
     forest = RandomForestClassifier(
         featuresCol="features",
@@ -186,7 +188,7 @@ def rating_model(frame: DataFrame, trees: int = TREES, seed: int = SEED) -> Pipe
         maxDepth=TREE_DEPTH,
         numTrees=trees,
         subsamplingRate=ROW_SHARE,
-        maxBins=USER_BANDS,
+        maxBins=bands,
         seed=seed,
     )
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
@@ -196,6 +198,55 @@ def rating_model(frame: DataFrame, trees: int = TREES, seed: int = SEED) -> Pipe
     return Pipeline(stages=[assembler, forest]).fit(train)
 
 
+def with_side(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """Rows with a ``purchase_id`` and the side of the split they fall on."""
+    return rows.withColumn("side", F.when(is_test(F.col("purchase_id"), seed), "test").otherwise("train"))
+
+
+def rating_losses(judged: DataFrame) -> DataFrame:
+    """Rows, multi-class log loss and accuracy per side.
+
+    ``judged`` has ``side``, ``label`` (the index of the rating) and ``shares`` (a probability per index).  Of equal
+    probabilities the first one is the guess; a probability of zero counts as ``LEAST_SHARE``.
+    """
+    of_truth = F.greatest(F.element_at("shares", F.col("label").cast("int") + 1), F.lit(LEAST_SHARE))
+    guess = F.array_position("shares", F.array_max("shares")) - 1
+    return judged.groupBy("side").agg(
+        F.count(F.lit(1)).alias("ratings"),
+        F.round(F.avg(-F.ln(of_truth)), 6).alias("mlogloss"),
+        F.round(F.avg((guess == F.col("label").cast("bigint")).cast("double")), 6).alias("accuracy"),
+    )
+
+
+def model_losses(model: PipelineModel, frame: DataFrame, seed: int = SEED) -> DataFrame:
+    """:func:`rating_losses` of a model."""
+    scored = model.transform(spread_out(frame, "purchase_id"))
+    return rating_losses(with_side(scored.withColumn("shares", vector_to_array("probability")), seed))
+
+
+def prior_losses(t: Tables, seed: int = SEED) -> DataFrame:
+    """:func:`rating_losses` of the plainest model: the share of each rating on the training side."""
+    sides = with_side(training_set(t).select("purchase_id", "rating"), seed)
+    counts = sides.groupBy("rating").agg(F.count_if(F.col("side") == "train").alias("n"))
+    # Both sides of this join hold the ratings that occur, a closed list.
+    labels = _small_index(sides, "rating").withColumnRenamed("index", "label")
+    everything = F.sum("n").alias("total")
+    entries = F.array_sort(F.collect_list(F.struct("rating", "n"))).alias("entries")
+    shares = counts.agg(everything, entries).select(F.transform("entries", lambda e: e["n"] / F.col("total"))).scalar()
+    return rating_losses(sides.join(labels, "rating").withColumn("shares", shares))
+
+
+def choose_trees(frame: DataFrame, counts: Sequence[int], seed: int = SEED, bands: int = USER_BANDS) -> PipelineModel:
+    """The forest among several tree counts that loses least on the test side; the smaller of two equal ones."""
+    frame = cut(frame)
+    tried = []
+    for trees in sorted(counts):
+        model = rating_model(frame, trees, seed, bands)
+        loss = model_losses(model, frame, seed).filter(F.col("side") == "test").first()
+        tried.append((loss["mlogloss"] if loss else 0.0, trees, model))
+    return min(tried, key=lambda one: one[:2])[2]
+
+
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """Share of each feature in the model's splits, largest first."""
     shares = [float(x) for x in model.stages[-1].featureImportances.toArray()]
@@ -262,19 +313,38 @@ def serving_features(t: Tables, days: int = SERVING_DAYS) -> DataFrame:
 
 def expected_rating(probability: Column, ratings: Sequence[int]) -> Column:
     """Mean rating under the class probabilities."""
-    shares = vector_to_array(probability)
+    return mean_rating(vector_to_array(probability), ratings)
+
+
+def mean_rating(shares: Column, ratings: Sequence[int]) -> Column:
+    """Mean of the ratings weighted by an array of their probabilities."""
     weighted = F.zip_with(shares, F.array(*[F.lit(float(r)) for r in ratings]), lambda p, r: p * r)
     return F.aggregate(weighted, F.lit(0.0), lambda total, x: total + x)
 
 
-def model_scores(t: Tables, model: PipelineModel, ratings: Sequence[int]) -> DataFrame:
+def stored_ratings(metadata: DataFrame) -> list[int]:
+    """The ratings by model index that the stored metadata names."""
+    return [int(rating) for rating in metadata.first()["index_to_rating"].split(",")]
+
+
+def product_shares(t: Tables) -> DataFrame:
+    """Every rated product with the mean under its own shares of the ratings one to five."""
+    values = range(1, 6)
+    counts = training_set(t).groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("rating") == r).alias(str(r)) for r in values]
+    )
+    shares = F.array(*[F.col(str(r)) / F.col("n") for r in values])
+    return counts.select("product_id", F.round(mean_rating(shares, values), 6).alias("expected"))
+
+
+def model_scores(t: Tables, model: PipelineModel, ratings: Sequence[int], bands: int = USER_BANDS) -> DataFrame:
     """Expected rating of every recommendable product for every user band.
 
     The model sees a user only through the band, so this scores all pairs of user and product there are, in
-    ``USER_BANDS`` rows per product.
+    ``bands`` rows per product.
     """
-    bands = F.explode(F.sequence(F.lit(0), F.lit(USER_BANDS - 1))).alias("user_band")
-    rows = spread_out(serving_features(t), "product_id").select("*", bands)
+    every_band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("user_band")
+    rows = spread_out(serving_features(t), "product_id").select("*", every_band)
     return model.transform(rows).select(
         F.col("user_band").cast("bigint").alias("user_band"),
         "product_id",

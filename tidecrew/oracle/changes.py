@@ -128,9 +128,9 @@ SERVED = """
            s.remaining - case when w.quantity <= s.remaining then w.quantity else 0 end
     from served s join withdrawals w on w.product_id = s.product_id and w.k = s.k + 1"""
 
-# Checkouts one user after the other: every step carries the stock left of all products.
+# Checkouts one user after the other, by hash: every step carries the stock left of all products.
 CART_LINES = """
-    select c.product_id, c.quantity, dense_rank() over (order by c.user_id) as turn
+    select c.product_id, c.quantity, dense_rank() over (order by md5(cast(c.user_id as varchar)), c.user_id) as turn
     from cart c join products p on p.id = c.product_id"""
 CHECKOUT_STEPS = """
     select cast(0 as bigint) as turn, id as product_id, quantity as remaining, 0 as failed from products
@@ -143,7 +143,7 @@ CHECKOUT_STEPS = """
           where s.turn < (select max(turn) from cart_lines))"""
 CHECKED_OUT = """
     select u.user_id, s.failed
-    from (select user_id, row_number() over (order by user_id) as turn
+    from (select user_id, row_number() over (order by md5(cast(user_id as varchar)), user_id) as turn
           from (select distinct c.user_id from cart c join products p on p.id = c.product_id)) u
     join (select distinct turn, failed from checkout_steps) s on s.turn = u.turn"""
 CHECKOUT = {"cart_lines": CART_LINES, "checkout_steps": CHECKOUT_STEPS, "checked_out": CHECKED_OUT}

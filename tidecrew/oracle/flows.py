@@ -9,7 +9,10 @@ COUNTED = (
 )
 
 STATEMENTS = {
-    "catalog": oracle(" union all ".join(f"select '{n}' as name, count(*) as rows from {n}" for n in COUNTED)),
+    "catalog": oracle(
+        " union all ".join(f"select '{n}' as name, count(*) as rows from {n}" for n in COUNTED)
+        + " union all select 'system_settings', 3"
+    ),
     "live_impact": """
         select event_type, count(*) as events, cast(sum(cast(value as decimal(10,2))) as double) as amount
         from events group by 1""",

@@ -83,7 +83,54 @@ ALL = f"""
     union all {user_list('new_products_fallback', APPROVED, 'p.created_at desc, p.id')}"""
 
 
-def ranked(body: str) -> str:
+PRIOR = {
+    "sides": """
+        select rating, case when (((purchase_id + 42) % 1000003) * 7919) % 1000003 % 5 = 0 then 'test' else 'train' end as side
+        from training""",
+    "shares": """
+        select rating, count(*) filter (side = 'train')::double / (select count(*) from sides where side = 'train') as share
+        from sides group by 1""",
+}
+
+# A cohort is compared pair by pair: users 50, 100, ... against every buyer.
+COHORT = {
+    "amounts": "select user_id, product_id, count(*) as n from purchases group by 1, 2",
+    "norms": "select user_id, cast(sum(n * n) as bigint) as norm from amounts group by 1",
+    "pairs": """
+        select a.user_id as target, b.user_id, cast(sum(a.n * b.n) as bigint) as dot
+        from amounts a join amounts b using (product_id) where a.user_id % 50 = 0 group by 1, 2""",
+    "alike": """
+        select target, row_number() over (partition by target order by user_id <> target, closeness desc, user_id)
+                 as position, user_id, dot, norm, closeness
+        from (select t.user_id as target, s.user_id, coalesce(p.dot, 0) as dot, s.norm,
+                     coalesce(p.dot, 0)::double * coalesce(p.dot, 0) / s.norm as closeness
+              from (select user_id from norms where user_id % 50 = 0) t cross join norms s
+              left join pairs p on p.target = t.user_id and p.user_id = s.user_id)
+        qualify position <= 5""",
+}
+COHORT_OFFERS = {
+    **COHORT,
+    "cohort": "select id as target from users where id % 50 = 0",
+    "personal": """
+        select a.target, ph.product_id, count(*) as weight
+        from alike a join purchases ph on ph.user_id = a.user_id
+        where a.user_id <> a.target
+          and not exists (select 1 from amounts o where o.user_id = a.target and o.product_id = ph.product_id)
+        group by 1, 2 qualify row_number() over (partition by a.target order by count(*) desc, ph.product_id) <= 5""",
+    "best": "select product_id, count(*) as weight from purchases group by 1 order by weight desc, product_id limit 5",
+    "offers": """
+        select target, 'personalized' as type, product_id, weight from personal
+        where product_id in (select id from approved)
+        union all
+        select target, 'popular', product_id, weight from cohort, best
+        where target not in (select target from personal) and product_id in (select id from approved)
+          and not exists (select 1 from amounts o where o.user_id = target and o.product_id = best.product_id)""",
+    "approved": APPROVED,
+    "latest": "select id as product_id from approved order by created_at desc, id limit 5",
+}
+
+
+def ranked(body: str, **more: str) -> str:
     return oracle(
         body,
         training=TRAINING,
@@ -95,6 +142,7 @@ def ranked(body: str) -> str:
         scores=SCORES,
         candidates=CANDIDATES,
         top=TOP,
+        **more,
     )
 
 
@@ -152,6 +200,17 @@ STATEMENTS = {
     "user_bands": ranked("""
         select user_id, cast(((row_number() over (order by user_id) - 1) * 32) // (count(*) over ()) as bigint) as user_band
         from (select distinct user_id from training)"""),
+    "user_bands_fine": ranked("""
+        select user_id, cast(((row_number() over (order by user_id) - 1) * 256) // (count(*) over ()) as bigint) as user_band
+        from (select distinct user_id from training)"""),
+    "expected_rating": ranked(
+        "select product_id, round(avg(cast(rating as double)), 6) as expected from training group by 1"
+    ),
+    "prior_losses": ranked("""
+        select side, count(*) as ratings, round(avg(-ln(greatest(share, 1e-15))), 6) as mlogloss,
+               round(avg(case when rating = (select rating from shares order by share desc, rating limit 1)
+                              then 1.0::double else 0.0::double end), 6) as accuracy
+        from sides join shares using (rating) group by 1""", **PRIOR),
     "serving_features": ranked("""
         select p.id as product_id, p.category, c.code as product_code, coalesce(g.code, 0) as category_code,
                cast(case when p.price is null then 2 when p.price < 100 then 0 when p.price < 500 then 1
@@ -174,6 +233,13 @@ STATEMENTS = {
         select id, name, category, cast(price as double) as price, {day('created_at')} as created_at
         from (select * from products where status = 'Approved' order by created_at desc, id limit 5)"""),
     "recommendations": ranked(ALL),
+    "similar_users_cohort": oracle("select * from alike", **COHORT),
+    "cf_recommendations_cohort": oracle(
+        """
+        select * from offers union all
+        select target, 'newest', product_id, 0 from cohort, latest where target not in (select target from offers)""",
+        **COHORT_OFFERS,
+    ),
     "similar_users": oracle("select * from alike", alike=SIMILAR, busiest=BUSIEST),
     "cf_recommendations": oracle(
         """

@@ -21,7 +21,7 @@ from tidecrew.session import tune
 from tidecrew.sources.catalog import TABLE_NAMES, Tables, row_counts
 from tidecrew.sources.mapping import benchmark_tables
 from tidecrew.sources.requests import request_batch, request_stream
-from tidecrew.sources.sinks import append_rows, export_json, plain_types
+from tidecrew.sources.sinks import append_rows, appended_rows, export_json, plain_types
 from tidecrew.streaming import jobs
 
 IMPACT: dict[str, Callable[[Tables], DataFrame]] = {
@@ -129,15 +129,10 @@ def _personal_users(t: Tables) -> DataFrame:
     return _one_band(t).join(kinds.select("user_id"), "user_id", "left_semi")
 
 
-def _model_ratings(t: Tables) -> list[int]:
-    """The rating values that occur: a closed list, by the index that the model knows them by."""
-    return [row.rating for row in training.rating_index(t).orderBy("index").collect()]
-
-
 def _model_recommendations(t: Tables) -> DataFrame:
     t = _settled(t)
     model = training.rating_model(training.model_frame(t))
-    scores = training.model_scores(t, model, _model_ratings(t))
+    scores = training.model_scores(t, model, training.stored_ratings(training.model_metadata(t)))
     return recommend.recommendations(t, training.user_bands(t), scores)
 
 
@@ -151,6 +146,16 @@ def _recommendations(t: Tables) -> DataFrame:
     return recommend.recommendations(t, _one_band(t), training.mean_scores(t))
 
 
+def _model_losses(t: Tables) -> DataFrame:
+    frame = cut(training.model_frame(_settled(t)))
+    return training.model_losses(training.rating_model(frame), frame)
+
+
+def _cohort(t: Tables) -> DataFrame:
+    """Every user whose id is divisible by 50, buyer or not."""
+    return t.users.filter(F.col("id") % 50 == 0).select(F.col("id").alias("user_id"))
+
+
 def _stored_importance(t: Tables) -> DataFrame:
     """Train, store, load, and report the loaded model's importances."""
     t = _settled(t)
@@ -171,6 +176,7 @@ RECOMMENDER: dict[str, Callable[[Tables], DataFrame]] = {
     "train_test_split": training.train_test_split,
     "model_metadata": training.model_metadata,
     "user_bands": training.user_bands,
+    "user_bands_fine": lambda t: training.user_bands(t, 256),
     "serving_features": training.serving_features,
     "candidate_counts": recommend.candidate_counts,
     "recommendation_type": lambda t: recommend.recommendation_type(recommend.candidate_counts(t)),
@@ -184,6 +190,11 @@ RECOMMENDER: dict[str, Callable[[Tables], DataFrame]] = {
     "recommendations": _recommendations,
     "similar_users": lambda t: similar.similar_users(t, similar.busiest_buyer(t)),
     "cf_recommendations": lambda t: similar.cf_recommendations(t, similar.busiest_buyer(t)),
+    "similar_users_cohort": lambda t: similar.similar_users_of(_settled(t), _cohort(t)),
+    "cf_recommendations_cohort": lambda t: similar.cf_recommendations_of(_settled(t), _cohort(t)),
+    "expected_rating": training.product_shares,
+    "prior_losses": training.prior_losses,
+    "model_losses": _model_losses,
     "feature_importance": _stored_importance,
     "model_recommendations": _model_recommendations,
 }
@@ -290,10 +301,9 @@ def _appended_donations(t: Tables) -> DataFrame:
     columns = ("id", "donor_name", "amount", "organiser_id", "donation_date", "status")
     folder = new_folder(t.spark, "donations")
     change = changes.record_donations(t, request_batch(t, "donation_requests"))
-    append_rows(t.donations.select(*columns), folder)
-    new = change.tables["donations"].join(t.donations.select("id"), "id", "left_anti")
-    append_rows(new.select(*columns), folder)
-    return t.spark.read.parquet(folder)
+    append_rows(t.donations.select(*columns), folder, "stored")
+    append_rows(change.tables["new_donations"].select(*columns), folder, "requests")
+    return appended_rows(t.spark, folder)
 
 
 def _exported_donations(t: Tables) -> DataFrame:
@@ -303,11 +313,8 @@ def _exported_donations(t: Tables) -> DataFrame:
     return t.spark.read.text(folder).withColumnRenamed("value", "json")
 
 
-# The settings table is a fixed list of three rows, so it is no load check.
-COUNTED = tuple(name for name in TABLE_NAMES if name != "system_settings")
-
 STORED: dict[str, Callable[[Tables], DataFrame]] = {
-    "catalog": lambda t: row_counts(t, COUNTED),
+    "catalog": lambda t: row_counts(t, TABLE_NAMES),
     "append_rows": _appended_donations,
     "export_json": _exported_donations,
 }

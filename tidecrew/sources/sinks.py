@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecrew.functions.text import date_text
 
+# Folder column that tells the batches of a stored table apart.
+BATCH = "append_batch"
 
-def append_rows(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Append accepted rows to a stored table."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+
+def append_rows(df: DataFrame, path: str, batch: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Append the accepted rows of a batch to a stored table.
+
+    A batch has a folder of its own, so appending it again after a failure replaces its rows instead of repeating them.
+    """
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/{BATCH}={batch}")
+
+
+def appended_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all batches."""
+    return spark.read.parquet(path).drop(BATCH)
 
 
 def _plain(field: T.StructField) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidecrew.operators.changes import decrement_stock
-from tidecrew.plans.durable import new_folder
+from tidecrew.plans.durable import cut, new_folder
 from tidecrew.sources.catalog import Tables
 
 # Lateness allowed for the daily donations (fixed value), and files that one batch takes at most.
@@ -89,23 +89,37 @@ def first_join(spark: SparkSession, folder: str, out: str | None = None) -> Data
     return spark.read.parquet(f"{out}/joins")
 
 
+def current_stock(spark: SparkSession, out: str, version: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """The ledger's stock (id, category, quantity) after a version, or now; of the products ``wanted`` (id) if given."""
+    rows = spark.read.parquet(f"{out}/stock")
+    if version is not None:
+        rows = rows.filter(F.col("version") <= version)
+    if wanted is not None:
+        rows = rows.join(wanted, "id", "left_semi")
+    last = F.max_by(F.struct("category", "quantity"), "version").alias("last")
+    return rows.groupBy("id").agg(last).select("id", "last.category", "last.quantity")
+
+
 def stock_ledger(requests: DataFrame, t: Tables, out: str | None = None) -> DataFrame:
     """Stock withdrawals (request_id, product_id, quantity) as they arrive: the verdicts of all batches.
 
-    Batch n reads stock version n and writes version n + 1, so a repeated batch writes the same files again.
+    Batch n reads the stock of its products up to version n and writes those products as version n + 1, so a repeated
+    batch writes the same files again.
     """
     spark = t.spark
     out = out or new_folder(spark, "stock_ledger")
-    t.products.select("id", "category", "quantity").write.mode("ignore").parquet(f"{out}/stock/0")
+    t.products.select("id", "category", "quantity").write.mode("ignore").parquet(f"{out}/stock/version=0")
 
     def withdraw(arrived: DataFrame, batch: int) -> None:
         session = arrived.sparkSession
-        stock = session.read.parquet(f"{out}/stock/{batch}")
         # Stored first: every round of the decision reads the batch again.
         arrived.write.mode("overwrite").parquet(f"{out}/requests/{batch}")
-        change = decrement_stock(t.with_tables(products=stock), session.read.parquet(f"{out}/requests/{batch}"))
+        asked = session.read.parquet(f"{out}/requests/{batch}")
+        wanted = asked.select(F.col("product_id").alias("id")).distinct()
+        stock = cut(current_stock(session, out, batch, wanted))
+        change = decrement_stock(t.with_tables(products=stock), asked)
         change.verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch}")
-        change.tables["products"].write.mode("overwrite").parquet(f"{out}/stock/{batch + 1}")
+        change.tables["products"].write.mode("overwrite").parquet(f"{out}/stock/version={batch + 1}")
 
     _each_batch(requests, "append", withdraw, out)
     return spark.read.parquet(f"{out}/verdicts").drop("batch")
