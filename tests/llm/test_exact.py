@@ -133,7 +133,9 @@ def test_fingerprints_follow_their_definition():
         assert simhash.fingerprint(text.encode()) == plain_fingerprint(text, 3)
 
 
-def test_links_and_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("rows", [simhash.ROWS, 10])
+def test_links_and_groups_equal_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "ROWS", rows)
     rnd = np.random.default_rng(2)
     base = rnd.integers(0, 2**63, 60, dtype=np.uint64)
     values = {0, *[int(b) for b in base]}

@@ -7,7 +7,8 @@ distance to the vantage point.  Every class lives in one shard and visits the ot
 linking distance around it may touch (from the outside of a node in; the other way round is the same pair).  By the
 triangle inequality no other shard can hold a partner, so the pairs found are exact, whatever the sample.  Within a shard the search splits on by vantage points of its own.  A shard returns a
 spanning set of its links, no more rows than it was given, and groups across shards are joined by alternating
-large-star and small-star steps.
+large-star and small-star steps.  A shard of more than ``ROWS`` fingerprints is cut into blocks by hash, and every pair of
+its blocks is a task of its own, so that no task grows with the corpus.
 
 Defined cases: a NULL or empty text has no shingles and fingerprint zero, linked like any other; fewer words than a shingle
 are one shingle; rows may repeat; a NULL id counts as larger than all others in a group; an empty table gives no rows.
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecrew.llm.docstats import texts_of
@@ -42,6 +43,8 @@ SEED = 42
 SAMPLE = 1 << 16
 SHARD = 4_096
 SHARDS = 1 << 12
+# Fingerprints in a block of a shard, about; a task searches two blocks at most.
+ROWS = 1 << 19
 LEAF = 1_024
 # Similarity that the parts are laid out for; shingles of a part, at least, and parts of a text; texts of fewer shingles than
 # the last number go by single shingles.
@@ -259,6 +262,25 @@ def linked(values: np.ndarray, home: np.ndarray, distance: int, leaf: int = LEAF
     return np.array([sets.root(k) for k in range(len(values))], dtype=np.int64)
 
 
+def block_counts(dealt: DataFrame, rows: int | None = None) -> DataFrame:
+    """(shard, blocks) of the shards that hold more than ``rows`` fingerprints: ``SHARDS`` rows at most."""
+    rows = ROWS if rows is None else rows
+    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows)
+    return sizes.select("shard", F.ceil(F.col("n") / rows).cast("int").alias("blocks"))
+
+
+def _tasks() -> Column:
+    """The tasks of a row: its shard, or every pair of blocks of its shard that its own block is in.
+
+    Links within a block are found in any pair the block is in.  A task is a number of shard and blocks, below 2 ** 52.
+    """
+    blocks = F.coalesce("blocks", F.lit(1)).cast("long")
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: (k != own) | (blocks == 1))
+    first = F.col("shard") * (1 << 20)
+    return F.explode(F.transform(others, lambda k: (first + F.least(own, k)) * (1 << 20) + F.greatest(own, k)))
+
+
 def links(classes: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """(a, b) with a > b: spanning links between the fingerprints ``fp`` of ``classes``, which are different."""
     n = classes.count()
@@ -281,9 +303,10 @@ def links(classes: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, sh
         own = np.flatnonzero(roots != np.arange(len(values)))
         return pd.DataFrame({"a": values[own].view(np.int64), "b": values[roots[own]].view(np.int64)})
 
+    dealt = stored(classes.select("fp").mapInArrow(deal, "shard long, fp long, home boolean"), "shards")
+    tasks = dealt.join(F.broadcast(block_counts(dealt)), "shard", "left").select("fp", "home", _tasks().alias("task"))
     # Shards are few bytes but much work each, so their number of tasks is given outright.
-    dealt = spread_out(classes.select("fp").mapInArrow(deal, "shard long, fp long, home boolean"), "shard")
-    found = dealt.groupBy("shard").applyInPandas(search, "a long, b long").distinct()
+    found = spread_out(tasks, "task").groupBy("task").applyInPandas(search, "a long, b long").distinct()
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
