@@ -297,6 +297,19 @@ def test_repeated_runs_go_and_their_first_occurrence_stays(spark):
     assert linededup.deduplicated(documents(spark, rows).limit(0)).collect() == []
 
 
+def test_repeated_rows_are_one_document(spark):
+    rnd = random.Random(7)
+    line = lambda n: " ".join(f"t{rnd.randrange(10**6)}" for _ in range(n))
+    passage = [line(10) for _ in range(8)]
+    texts = ["\n".join([*[line(10) for _ in range(4)], *passage, line(10)]) for _ in range(4)]
+    # The first document and the third are given twice, the last one without an id.
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[2]), (None, texts[3]), (None, texts[3])]
+    got = linededup.deduplicated(documents(spark, rows)).collect()
+    own = lambda text: "\n".join([*text.split("\n")[:4], text.split("\n")[-1]])
+    want = [(1, texts[0])] * 2 + [(2, own(texts[1]))] + [(3, own(texts[2]))] * 2 + [(None, own(texts[3]))] * 2
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_no_run_is_left_twice(spark):
     rnd = random.Random(8)
     pool = [" ".join(f"p{k}_{i}" for i in range(rnd.randrange(1, 30))) for k in range(60)]

@@ -39,16 +39,26 @@ def document_key(id_col: str, text_col: str) -> Column:
     return F.struct(key.isNull().alias("no_id"), key.alias("id"), _hash(F.col(text_col).cast("binary")).alias("text"))
 
 
+def _once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, _text): one row of every document with a text; as a rule no row is repeated, and texts are not shuffled."""
+    rows = docs.filter(F.col(text_col).isNotNull()).select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("_text"))
+    again = stored(rows.groupBy(F.col("doc").alias("again")).count().filter("count > 1").select("again"), "repeated-rows")
+    if again.isEmpty():
+        return rows
+    same = F.col("doc") == F.col("again")
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc"]))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int, reach: int) -> DataFrame:
     """(doc, line, n_lines, print, before, after, ...) for every selected gram, with its surroundings."""
     # One row per line with a word: position among these lines, first and last words, hash.
     lines = F.filter(
-        F.transform(F.split(text_col, "\n"), lambda line, k: F.struct(k.alias("at"), line.alias("line"))),
+        F.transform(F.split("_text", "\n"), lambda line, k: F.struct(k.alias("at"), line.alias("line"))),
         lambda x: F.regexp_like(x["line"], F.lit(r"[^\x20\x09-\x0D]")),
     )
     rows = (
-        docs.filter(F.col(text_col).isNotNull())
-        .select(document_key(id_col, text_col).alias("doc"), F.posexplode(lines).alias("line", "x"))
+        _once(docs, id_col, text_col)
+        .select("doc", F.posexplode(lines).alias("line", "x"))
         .select(
             "doc",
             "line",
