@@ -110,6 +110,22 @@ def test_main_text_by_marks():
     assert htmltext.main_text(page, {}, None, frozenset()) == "Head & more\n\nOne two three four\n\nFive"
 
 
+@pytest.mark.parametrize(
+    "start,end",
+    [
+        ("<article class='post category-social'>", "</article>"),
+        ("<article class='post comments-open'>", "</article>"),
+        ("<div id='page' class='has-sidebar'><article>", "</article></div>"),
+        ("<main class='search-page'>", "</main>"),
+        ("<div id='page' class='has-sidebar'>", "</div>"),
+    ],
+)
+def test_names_do_not_hide_the_article(start, end):
+    html = f"<body><nav>menu</nav>{start}<h1>Head</h1><p>One two three four</p><div class='share'>tell</div>{end}<div class='comments'>first</div></body>"
+    text = htmltext.main_text(htmltext.parsed(html), {}, None, frozenset())
+    assert "Head\n\nOne two three four" in text and not any(other in text for other in ("menu", "tell", "first"))
+
+
 def test_templates_tell_slots_without_marks(spark):
     def page(k):
         links = "".join(f"<a href=/{i}>link {i}</a> " for i in range(6))

@@ -87,6 +87,7 @@ class Block(NamedTuple):
     linked: int
     aside: bool
     level: int
+    named: bool = False  # aside by a class or id word only
 
 
 class Page(NamedTuple):
@@ -98,9 +99,10 @@ def _token(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts))) >> 1 & ~1
 
 
-def _marks(name: str, attributes: str, level: int) -> tuple[bool, int, str]:
-    """(not article text, how surely it is the article, signature) of an element inside one of ``level``."""
-    aside, own, signature = name in ASIDE_ELEMENTS, {"article": 3, "main": 2}.get(name, 0), name
+def _marks(name: str, attributes: str, level: int) -> tuple[bool, bool, int, str]:
+    """(not article text, the same by a class or id word, how surely it is the article, signature) of an element inside one
+    of ``level``.  Words do not mark the article itself."""
+    named, aside, own, signature = False, name in ASIDE_ELEMENTS, {"article": 3, "main": 2}.get(name, 0), name
     if name == "header" and level < 2:
         aside = True
     if attributes.strip():
@@ -110,7 +112,7 @@ def _marks(name: str, attributes: str, level: int) -> tuple[bool, int, str]:
                 words = {word.lower() for word in _NAME_WORDS.findall(value)}
                 signature += f".{value}" if key == "class" else f"#{value}" if not any(c.isdigit() for c in value) else ""
                 if name not in ("html", "body"):
-                    aside = aside or bool(words & ASIDE_WORDS) or (level < 2 and bool(words & HEAD_WORDS))
+                    named = named or bool(words & ASIDE_WORDS) or (level < 2 and bool(words & HEAD_WORDS))
                     own = own or (1 if words & MAIN_WORDS else 0)
             elif key == "role":
                 aside = aside or value.lower() in ASIDE_ROLES
@@ -119,28 +121,31 @@ def _marks(name: str, attributes: str, level: int) -> tuple[bool, int, str]:
                 aside = True
             elif key == "style":
                 aside = aside or bool(_HIDDEN_STYLE.search(value))
-    return aside, max(level, own), signature
+    return aside, named and own < 2, max(level, own), signature
 
 
 def parsed(html: str) -> Page:
     """The tokens and text blocks of a page, in page order."""
     tokens: list[int] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # name, path, aside, level
+    # name, path, aside, level, the elements around that a word marks
+    stack: list[tuple[str, int, bool, int, tuple[int, ...]]] = [("", 0, False, 0, ())]
+    marked_by: list[tuple[int, ...]] = []  # of every block
     held: list[str] = []
     linked, in_link = 0, 0
-    block_name, block_aside = "", False
+    block_name, block_aside, block_named = "", False, 0
 
     def flush() -> None:
-        nonlocal linked, block_name, block_aside
+        nonlocal linked, block_name, block_aside, block_named
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
-            _, path, aside, level = stack[-1]
+            _, path, aside, level, marks = stack[-1]
             token = _token(path, block_name, text) | 1
+            marked_by.append((*marks, block_named) if block_named else marks)
             blocks.append(Block(text, token, len(tokens), min(linked, len(text)), aside or block_aside, level))
             tokens.append(token)
-        linked, block_name, block_aside = 0, "", False
+        linked, block_name, block_aside, block_named = 0, "", False, 0
 
     at = 0
     for found in _TOKEN.finditer(html):
@@ -170,19 +175,32 @@ def parsed(html: str) -> Page:
                         del stack[depth:]
                         break
             continue
-        _, path, aside, level = stack[-1]
-        own_aside, level, signature = _marks(name, found[4] or "", level)
+        _, path, aside, level, marks = stack[-1]
+        own_aside, own_named, level, signature = _marks(name, found[4] or "", level)
         token = _token(path, signature)
         tokens.append(token)
         if name in CONTAINERS:
             if not (found[4] or "").endswith("/"):
-                stack.append((name, token, aside or own_aside, level))
+                stack.append((name, token, aside or own_aside, level, (*marks, len(tokens)) if own_named else marks))
         else:
-            block_name, block_aside = name, own_aside
+            block_name, block_aside, block_named = name, own_aside, len(tokens) if own_named else 0
     if at < len(html):
         held.append(html[at:])
     flush()
-    return Page(tokens, blocks)
+    # An element that holds the article, or without one most of the page's text, is no part beside it, whatever its words.
+    plain = [(b, m) for b, m in zip(blocks, marked_by, strict=True) if not b.aside]
+    sure = [m for b, m in plain if b.level >= 2]
+    whole = sum(len(b.text) for b, _ in plain)
+    sizes: dict[int, int] = {}
+    for block, own in plain:
+        for mark in own:
+            sizes[mark] = sizes.get(mark, 0) + len(block.text)
+    if sure:
+        holds = set.intersection(*map(set, sure))
+    else:
+        holds = {mark for mark in sizes if 2 * sizes[mark] > whole}
+    hidden = [any(mark not in holds for mark in own) for own in marked_by]
+    return Page(tokens, [b._replace(aside=b.aside or h, named=h and not b.aside) for b, h in zip(blocks, hidden, strict=True)])
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Page]]:
@@ -280,7 +298,8 @@ def _slots(page: Page, classes: dict[int, int], outer: int | None) -> Iterator[t
 
 def main_text(page: Page, classes: dict[int, int], outer: int | None, linked_slots: frozenset[int]) -> str:
     """The article of a page, given its host's template."""
-    seen = [(block, slot) for block, slot in _slots(page, classes, outer) if not block.aside]
+    every = list(_slots(page, classes, outer))
+    seen = [(block, slot) for block, slot in every if not block.aside] or [(block, slot) for block, slot in every if block.named]
     top = max((block.level for block, _ in seen), default=0)
     if top:
         chosen = [block for block, _ in seen if block.level == top]
