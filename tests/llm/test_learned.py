@@ -142,6 +142,18 @@ def test_templates_tell_slots_without_marks(spark):
     assert htmltext.extracted(pages.limit(0)).collect() == []
 
 
+def test_empty_pages_leave_the_slots(spark):
+    def page(k):
+        links = "".join(f"<a href=/{i}>other story {k * 10 + i}</a> " for i in range(4))
+        return f"<html><body><div id=up><p>{links}</p></div><div id=mid><p>story {k} begins {'and goes on ' * 20}</p></div></body></html>"
+
+    rows = [(k, "http://a.org/x", page(k)) for k in range(20)] + [(90, "http://a.org/y", None), (91, "http://a.org/z", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extracted(pages).collect()}
+    assert got[90] == got[91] == ""
+    assert all(got[k].startswith(f"story {k} begins") and "other" not in got[k] for k in range(20))
+
+
 def test_language_by_text_markup_and_host(spark):
     docs = table(spark, SMALL, "documents")
     texts = {r.lang: r.text for r in docs.filter("length(text) > 500").collect()}

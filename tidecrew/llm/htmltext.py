@@ -222,7 +222,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple, list[int]] = {}
     for batch, row, page in _pages(batches):
         host, own = batch.column(1)[row].as_py(), xxhash.xxh64_intdigest(str(batch.column(2)[row].as_py()))
-        counts: dict[int, int] = {0: 1}
+        # NULL and empty pages are no evidence against a template.
+        counts: dict[int, int] = {0: 1} if page.tokens else {}
         for token in page.tokens:
             counts[token] = counts.get(token, 0) + 1
         for token, n in counts.items():
