@@ -14,12 +14,6 @@ from tidecrew.llm import bpe, linededup, neighbours, simhash, wumanber
 from tidecrew.llm.queries import TOXIC_FROM, VOCABULARY
 from tidecrew.llm.tables import row_key, stored, table, without
 
-# Near-duplicates of the pipeline: five-word shingles, linked up to this many of 64 fingerprint bits apart, or from this
-# similarity of the shingle sets on.
-SHINGLE = 5
-DISTANCE = 2
-SIMILARITY = 0.8
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
@@ -34,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs, shingle=SHINGLE, distance=DISTANCE, similarity=SIMILARITY)
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
