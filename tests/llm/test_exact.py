@@ -174,104 +174,6 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.grouped(documents(spark, rows).limit(0)).collect() == []
 
 
-def changed(rnd, words, n):
-    """The words with n of them changed."""
-    out = list(words)
-    for k in rnd.sample(range(len(out)), n):
-        out[k] = f"z{rnd.randrange(10**9)}"
-    return " ".join(out)
-
-
-def test_similar_texts_are_found(spark):
-    rnd = random.Random(6)
-    rows = []
-    for size in (6, 12, 25, 32, 60, 97, 150, 400, 1500):
-        for _ in range(8):
-            base = [f"v{rnd.randrange(10**6)}" for _ in range(size)]
-            rows += [" ".join(base), changed(rnd, base, 1), " ".join(base[: max(1, size - size // 12)]), changed(rnd, base, size // 12)]
-    rows += [None, "", "one two three four five", "one two three four five six"]
-    docs = documents(spark, list(enumerate(rows)) + [(0, rows[0])])
-    sets = []
-    for text in rows:
-        w = (text or "").split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    alike = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    found = {r.doc_id: r.component for r in simhash.grouped_alike(docs, "doc_id", "text", 5, 2, 0.8).collect()}
-    linked = [found[i] == found[j] for i, j in alike]
-    assert len(alike) > 100 and sum(linked) >= 0.98 * len(linked)
-    # Nothing else is linked: groups are among the similar ones, or equal in their fingerprint but for two bits.
-    up = list(range(len(rows)))
-    prints = [plain_fingerprint(t or "", 5) for t in rows]
-    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
-
-    def root(k):
-        return k if up[k] == k else root(up[k])
-
-    for i, j in alike + near:
-        up[max(root(i), root(j))] = min(root(i), root(j))
-    assert all(root(i) == root(found[i]) for i in found)
-    kept = [r.doc_id for r in simhash.one_of_each(docs, shingle=5, similarity=0.8).collect()]
-    assert sorted(kept) == sorted(set(found.values()))
-    assert simhash.one_of_each(docs.limit(0), shingle=5, similarity=0.8).collect() == []
-
-
-def test_an_original_and_many_variants_are_one_group(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "KEY_ROWS", 300)
-    rnd = random.Random(9)
-    base = [f"v{rnd.randrange(10**6)}" for _ in range(400)]
-    other = [f"u{rnd.randrange(10**6)}" for _ in range(300)]
-    texts = [" ".join(base), *[changed(rnd, base, 8) for _ in range(1000)], *[changed(rnd, other, k) for k in range(0, 40, 2)]]
-    # A chain with no text in the middle, and a repeated text: its set is the same, its fingerprint need not be.
-    texts += [" ".join(f"c{i}" for i in range(k, k + 100)) for k in range(0, 120, 6)] + [" ".join(["d e f g h i j"] * k) for k in (3, 9)]
-    docs = documents(spark, list(enumerate(texts)))
-    place: dict[tuple, int] = {}
-    has = np.zeros((len(texts), 60_000), dtype=np.float32)
-    for i, text in enumerate(texts):
-        w = text.split()
-        for k in range(len(w) - 4):
-            has[i, place.setdefault(tuple(w[k : k + 5]), len(place))] = 1
-    both, size = has @ has.T, has.sum(axis=1)
-    prints = np.array([simhash.fingerprint(t.encode(), 5) for t in texts], dtype=np.uint64)
-    near = np.bitwise_count(prints[:, None] ^ prints[None]) <= 2
-    up = list(range(len(texts)))
-
-    def root(k):
-        return k if up[k] == k else root(up[k])
-
-    for i, j in np.argwhere(near | (5 * both >= 4 * (size[:, None] + size[None] - both))).tolist():
-        up[max(root(i), root(j))] = min(root(i), root(j))
-    found = {r.doc_id: r.component for r in simhash.grouped_alike(docs, "doc_id", "text", 5, 2, 0.8).collect()}
-    assert found == {i: root(i) for i in range(len(texts))}
-    assert sum(root(i) == 0 for i in range(len(texts))) > 990
-
-
-@pytest.mark.parametrize("rows", [simhash.KEY_ROWS, 7])
-def test_remaining_pairs_equal_brute_force(spark, monkeypatch, rows):
-    monkeypatch.setattr(simhash, "KEY_ROWS", rows)
-    rng = np.random.default_rng(3)
-    base, common = rng.integers(0, 2**63, 50, dtype=np.uint64), simhash.Common(*np.zeros((2, 0), dtype=np.uint64))
-    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(43, 50)], rng.integers(0, 2**63, 2, dtype=np.uint64)])) for _ in range(60)]
-    kept = [(k, k % 3, len(s), simhash.bitmap_of(s).tolist(), simhash.keys_of(s, common, 0.8).view(np.int64).tolist()) for k, s in enumerate(sets)]
-    members = spark.createDataFrame(kept, "set long, root long, n int, bits array<long>, keys array<long>")
-    members = members.select("set", "root", "n", "bits", F.explode("keys").alias("key"))
-    found = {(r.a, r.b) for r in simhash.remaining_pairs(members, 0.8).collect()}
-    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
-    pairs = [(i, j) for i in range(60) for j in range(i) if i % 3 != j % 3]
-    want = {(i, j) for i, j in pairs if both(i, j) >= 0.8 * (len(sets[i]) + len(sets[j]) - both(i, j))}
-    assert want and want <= found and found <= set(pairs)
-
-
-@pytest.mark.parametrize("n", [1, 2, 5, 10, 19, 20, 23, 24, 25, 29])
-def test_short_similar_sets_share_a_part(n):
-    rnd = np.random.default_rng(n)
-    for _ in range(200):
-        base = rnd.integers(0, 2**63, n, dtype=np.uint64)
-        other = base[rnd.permutation(n)[: int(np.ceil(0.8 * n))]]
-        if n < 24:
-            assert np.isin(simhash.parts_of(base), simhash.parts_of(other)).any()
-    assert len(simhash.parts_of(base[:0])) == 0
-
-
 def test_repeated_runs_go_and_their_first_occurrence_stays(spark):
     rnd = random.Random(4)
     line = lambda n: " ".join(f"t{rnd.randrange(10**6)}" for _ in range(n))

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecrew.llm import boosting, bpe, htmltext, language, linededup, neighbours, pulearning, simhash, warc, wumanber
+from tidecrew.llm import (
+    boosting,
+    bpe,
+    htmltext,
+    language,
+    linededup,
+    markov,
+    negatives,
+    neighbours,
+    pulearning,
+    resampling,
+    simhash,
+    warc,
+    wumanber,
+)
 from tidecrew.llm.tables import fold_of, spread_evenly, table
 from tidecrew.plans.durable import new_folder
 
@@ -93,6 +107,22 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(pages, docs)
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread_evenly(table(spark, sf_dir, "documents"))
+    found = markov.scored(docs, fold_of("doc_id", 5) != 1)
+    return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_prefix_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread_evenly(table(spark, sf_dir, "documents"))
+    return resampling.resampled(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op13_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(spread_evenly(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_template_text,
@@ -105,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_search,
         op9_byte_bpe,
         op10_language_fusion,
+        op11_hidden_markov,
+        op12_prefix_crc,
+        op13_residue_negatives,
     )
 }
 
@@ -127,4 +160,46 @@ SQL: dict[str, str] = {
         select doc.doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(own.n, 0) as n_items,
                sha256(coalesce(ids, '')) as items_sha256, hit.n is not null as contaminated
         from doc left join hit using (doc_id) left join own using (doc_id)""",
+    "op12_prefix_crc": f"""
+        with recursive doc as (select doc_id, {_WORDS} as w from documents),
+        gold as (select {_WORDS} as w from benchmark),
+        word as (select distinct w from (select unnest(w) as w from doc union all select unnest(w) from gold)),
+        step as (select list(list_reduce(list_prepend(n, range(8)),
+                             lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by n) as t
+                 from range(256) as r(n)),
+        byte as (select w, list_prepend(4294967295, list_transform(range(octet_length(encode(w))),
+                        lambda k: cast('0x' || substr(hex(encode(w)), 2 * k + 1, 2) as bigint))) as b from word),
+        code as (select w, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) % 10000 as k
+                 from byte, step),
+        mine as (select k, count(*) as s from (select unnest(w) as w from doc) join code using (w) group by k),
+        aims as (select k, count(*) as t from (select unnest(w) as w from gold) join code using (w) group by k),
+        sums as (select (select coalesce(sum(s), 0) from mine) as s, (select coalesce(sum(t), 0) from aims) as t),
+        gain as (select k, floor(1000 * ln((coalesce(aims.t, 0) + 1)::double * (sums.s + 10000)::double
+                        / ((mine.s + 1)::double * (sums.t + 10000)::double)))::bigint as g
+                 from mine left join aims using (k), sums),
+        own as (select doc_id, count(*) as n, floor(sum(g) / count(*))::bigint as weight
+                from (select doc_id, unnest(w) as w from doc) join code using (w) join gain using (k) group by doc_id),
+        scored as (select doc.doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+                          coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc.doc_id), 1, 8))::bigint + 0.5)
+                          / 4294967296.0)))::bigint as score
+                   from doc left join own using (doc_id)),
+        placed as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n
+                   from scored where n_features >= 20)
+        select doc_id, n_features, weight, score, case when place <= n * 10 // 100 then place end as rank
+        from scored left join placed using (doc_id)""",
+    "op13_residue_negatives": """
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                          list_transform(embedding, lambda x: floor(256 * x::double)) as q
+                   from embeddings where label is not null and embedding is not null
+                   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        met as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
+                       list_inner_product(a.q, b.q)::bigint as score
+                from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+        near as (select anchor_id, other as positive_id, score as positive_score from met where same
+                 qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+        select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other)::int as rank,
+               other as negative_id, positive_score, score as negative_score
+        from near join met using (anchor_id)
+        where not same and 80 * positive_score <= 100 * score and score <= positive_score
+        qualify rank <= 5""",
 }

@@ -12,19 +12,11 @@ its blocks is a task of its own, so that no task grows with the corpus.
 
 Defined cases: a NULL or empty text has no shingles and fingerprint zero, linked like any other; fewer words than a shingle
 are one shingle; rows may repeat; a NULL id counts as larger than all others in a group; an empty table gives no rows.
-
-Near copies of a few hundred words, with some words changed, differ by more bits than a search over 64 can tell from chance
-without comparing everything.  :func:`one_of_each` therefore takes more links on request: texts with a part of their shingles
-in common are compared outright, shingle set with shingle set, and linked from a similarity on.  That finds most links; what it leaves is compared exactly: of two sets of that
-similarity, the first n - ceil(similarity n) + 1 shingles of each, in any one order of all shingles, have one in common.  The
-order puts those last that are common in a sample.  Texts that share such a key and are not in one group yet first meet the
-text of the key with the most links, then each other, in pairs of blocks of a key's texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -36,8 +28,7 @@ from pyspark.sql import functions as F
 
 from tidecrew.llm.docstats import texts_of
 from tidecrew.llm.tables import packed, row_key, stored, unpacked, without
-from tidecrew.llm.words import mixed
-from tidecrew.plans.combine import broadcast_up_to, spread_out
+from tidecrew.plans.combine import spread_out
 
 SHINGLE = 3
 DISTANCE = 2
@@ -49,19 +40,6 @@ SHARDS = 1 << 12
 # Fingerprints in a block of a shard, about; a task searches two blocks at most.
 ROWS = 1 << 19
 LEAF = 1_024
-# Similarity that the parts are laid out for; shingles of a part, at least, and parts of a text; texts of fewer shingles than
-# the last number go by single shingles.
-SIMILARITY = 0.8
-PART = 3
-PARTS = 24
-SHORT = 24
-ORDERS = 8
-# Texts whose common shingles come last in the order of keys, about, and such shingles at most; any order is exact.
-KEY_SAMPLE = 1 << 14
-COMMON = 1 << 18
-# Texts in a block of a key, about; bits of a set's bitmap, as words of 64.
-KEY_ROWS = 1 << 12
-BITMAP = 16
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -92,110 +70,6 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def parts_of(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Keys of parts of a set of shingles, drawn by hash; sets of at least that similarity have one in common.
-
-    That is certain for short texts: of n shingles in hash order, one of the first n - ceil(similarity n) + 1 is shared.
-    Longer texts are cut into a power of two of parts of ``PART`` to twice as many shingles, of which ``PARTS`` are
-    taken; each is untouched by the changes with a chance of a quarter or more at a similarity of 0.8.  A text near the next size
-    is cut in both ways, so that similar texts of different sizes meet.
-    """
-    found = np.unique(mixed(np.unique(hashes)))
-    n, keys = len(found), []
-    if n < SHORT / similarity:
-        keys.append(found[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
-    if n >= SHORT * similarity:
-        level = int(np.log2(n / PART))
-        for power in {level, int(np.log2(n / PART / similarity))}:
-            place = found & np.uint64((1 << power) - 1)
-            order = np.argsort(place, kind="stable")
-            order = order[: np.searchsorted(place[order], PARTS)]
-            if len(order):
-                first = np.flatnonzero(np.diff(place[order], prepend=np.uint64(PARTS)))
-                size = np.diff(first, append=len(order))
-                # A single shingle is no part: a common phrase would do.
-                keys.append(mixed(np.add.reduceat(found[order], first) + np.uint64(power))[size > 1])
-    return np.concatenate(keys) if keys else found
-
-
-class Common(NamedTuple):
-    """Shingles that many texts of a sample have, in order of their hash, and how many."""
-
-    shingles: np.ndarray
-    counts: np.ndarray
-
-
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Common:
-    """Shingles of more than one text of a sample, as many of the most common ones as ``COMMON`` allows."""
-    step = max(1, docs.count() // KEY_SAMPLE)
-    drawn = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0).select(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in texts_of(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], ["shingle"])
-
-    counted = stored(drawn.mapInArrow(run, "shingle long").groupBy("shingle").count().filter("count > 1"), "common")
-    least, held = 2, 0
-    for n, rows in sorted(((r["count"], r["rows"]) for r in counted.groupBy("count").agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True):
-        held += rows
-        if held > COMMON:
-            least = n + 1
-            break
-    found = counted.filter(F.col("count") >= least).toArrow()
-    shingles = found.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return Common(shingles[order], found.column("count").to_numpy()[order])
-
-
-def keys_of(found: np.ndarray, common: Common, similarity: float) -> np.ndarray:
-    """The first of a set of shingles: sets of that similarity have one in common, whatever the order."""
-    count = np.zeros(len(found), dtype=np.int64)
-    if len(common.shingles):
-        at = np.minimum(np.searchsorted(common.shingles, found), len(common.shingles) - 1)
-        count = np.where(common.shingles[at] == found, common.counts[at], 0)
-    n = len(found)
-    return found[np.lexsort((mixed(found), count))[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0]]
-
-
-def bitmap_of(found: np.ndarray) -> np.ndarray:
-    """A bit per place, set if an odd number of the shingles fall there: two sets differ in no fewer shingles than bits."""
-    odd = np.bincount((mixed(found) >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
-
-
-def with_parts(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, fp, parts, set, n, keys, bits): the fingerprint and the keys of the parts of every row; hash, size, keys and
-    bitmap of its set of shingles."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, shingle))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
-        for batch in batches:
-            found = []
-            for text in texts_of(batch.column(1)):
-                hashes = shingle_hashes(text, shingle)
-                own = np.unique(hashes)
-                found.append(
-                    (
-                        np.uint64(majority(hashes)).view(np.int64),
-                        parts_of(hashes, similarity).view(np.int64),
-                        np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64),
-                        len(own),
-                        keys_of(own, common.value, similarity).view(np.int64),
-                        bitmap_of(own),
-                    )
-                )
-            columns = list(zip(*found, strict=True)) or [()] * 6
-            kinds = [pa.int64(), longs, pa.int64(), pa.int32(), longs, longs]
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "fp", "parts", "set", "n", "keys", "bits"])
-
-    schema = f"id {kind}, fp long, parts array<long>, set long, n int, keys array<long>, bits array<long>"
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
-
-
 def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint of every row, as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -381,110 +255,6 @@ def links(classes: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, sh
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def sharing_parts(classes: DataFrame, distance: int) -> DataFrame:
-    """(a, b) with a > b: fingerprints with a part in common, more than ``distance`` bits apart.
-
-    The members of a part meet the first and the last of them, so there are at most two pairs a member.  Parts put their
-    members in one of ``ORDERS`` random orders each: two that share parts but are not like the ends of one meet in another, or
-    over a third text, and members of a large group meet few others in all.
-    """
-    members = stored(classes.select("fp", F.explode("parts").alias("part")), "parts")
-    order = F.xxhash64("fp", F.pmod("part", F.lit(ORDERS)))
-    ends = members.groupBy(F.col("part").alias("shared")).agg(
-        F.min_by("fp", order).alias("low"), F.max_by("fp", order).alias("high")
-    )
-    ends = stored(ends.filter("low <> high"), "shared")
-    met = members.join(ends, F.col("part") == F.col("shared")).select("fp", F.explode(F.array("low", "high")).alias("end"))
-    pairs = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("end"))) > distance)
-    return pairs.select(F.greatest("fp", "end").alias("a"), F.least("fp", "end").alias("b")).distinct()
-
-
-def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose ``texts`` (fp, text) have the similarity, by their whole sets of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = lru_cache(maxsize=64)(lambda text: np.unique(shingle_hashes(text, shingle)))
-        for batch in batches:
-            keep = []
-            for one, other in zip(texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True):
-                x, y = shingles(one), shingles(other)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    first = texts.select(F.col("fp").alias("a"), F.col("text").alias("one"))
-    second = texts.select(F.col("fp").alias("b"), F.col("text").alias("other"))
-    half = stored(pairs.join(first, "a"), "half")
-    return half.join(second, "b").select("a", "b", "one", "other").mapInArrow(run, "a long, b long").distinct()
-
-
-def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` (fp, ...) with the root of their group."""
-    named = roots.select("node", F.col("root").alias("_root"))
-    return rows.join(named, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("_root", "fp")).drop("node", "_root")
-
-
-def _apart(members: DataFrame) -> DataFrame:
-    """The members (key, root, ...) of keys with more than one group."""
-    keys = members.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return members.join(keys.filter("low <> high").select("_key"), F.col("key") == F.col("_key"), "left_semi")
-
-
-def _differing(n: Column | np.ndarray, m: Column | np.ndarray, similarity: float) -> Column | np.ndarray:
-    """How many shingles two sets of the sizes may differ by."""
-    return (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
-
-
-def hub_pairs(members: DataFrame, degrees: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) with a > b: sets that share a key with the set of most links there, of another group, and may be similar."""
-    known = members.join(degrees, F.col("fp") == F.col("end"), "left")
-    rank = F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("set"))
-    hubs = known.groupBy(F.col("key").alias("_key")).agg(F.max_by(F.struct("set", "root", "n", "bits"), rank).alias("hub"))
-    apart = members.join(hubs, F.col("key") == F.col("_key")).filter(F.col("root") != F.col("hub.root"))
-    bits = F.aggregate(F.zip_with("bits", "hub.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n") - 1e-9) & (bits <= _differing(F.col("n"), F.col("hub.n"), similarity))
-    return apart.filter(near).select(F.greatest("set", "hub.set").alias("a"), F.least("set", "hub.set").alias("b")).distinct()
-
-
-def meeting(table: pa.Table, similarity: float) -> pa.Table:
-    """(a, b) with a > b: the sets of a task of different groups that may be similar, by size and bitmap."""
-    task = table.column("task").to_numpy()
-    order = np.argsort(task, kind="stable")
-    task = task[order]
-    own, root, n = (table.column(c).to_numpy()[order] for c in ("set", "root", "n"))
-    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)[order]
-    last = np.searchsorted(task, task, "right")
-    found, at, step = [], np.arange(len(task)), 1
-    while len(at := at[at + step < last[at]]):
-        i = at[root[at] != root[at + step]]
-        j = i + step
-        i, j = (x[np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9] for x in (i, j))
-        i, j = (x[np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= _differing(n[i], n[j], similarity)] for x in (i, j))
-        if len(i):
-            found.append(np.stack([np.maximum(own[i], own[j]), np.minimum(own[i], own[j])]))
-        step += 1
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
-
-
-def remaining_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) with a > b: all sets of different groups that share a key and may be similar.
-
-    A key of more than ``KEY_ROWS`` sets is cut into blocks by hash; every pair of its blocks is a task of its own.  Tasks are
-    put together in buckets, as most are of a few rows.
-    """
-    sizes = members.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > KEY_ROWS)
-    blocks = F.coalesce(F.ceil(F.col("rows") / KEY_ROWS), F.lit(1)).cast("long")
-    cut = members.join(sizes, F.col("key") == F.col("_key"), "left").withColumn("blocks", blocks)
-    own = F.pmod(F.xxhash64("set"), F.col("blocks"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: (k != own) | (F.col("blocks") == 1))
-    task = F.explode(F.transform(others, lambda k: F.xxhash64("key", F.least(own, k), F.greatest(own, k))))
-    tasks = cut.select("set", "root", "n", "bits", task.alias("task"))
-    buckets = max(1024, members.count() >> 12)
-    dealt = spread_out(tasks.withColumn("bucket", F.pmod("task", F.lit(buckets))), "bucket")
-    return dealt.groupBy("bucket").applyInArrow(lambda t: meeting(t, similarity), "a long, b long").distinct()
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour, itself included."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -537,87 +307,12 @@ def grouped(
     return _named(rows, classes, links(classes, distance), id_col)
 
 
-def _least_text(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(fp, text): the texts of ``wanted`` (fp, low) by their lowest id."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    few = broadcast_up_to(wanted, 1 << 17)
-    return stored(texts.join(few, F.col("_id") == F.col("low")).select("fp", "text").dropDuplicates(["fp"]), "texts")
-
-
-def _similar_sets(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) with a > b: the fingerprints of those pairs of sets that have the similarity."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    wanted = stored(sets.join(ends, F.col("set") == F.col("end"), "left_semi").select("set", "fp", "low"), "wanted")
-    texts = _least_text(docs, id_col, text_col, wanted.select(F.col("set").alias("fp"), "low"))
-    found = alike(pairs, texts, shingle, similarity)
-    one, other = (wanted.select(F.col("set").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "ab")
-    prints = found.join(one, "a").join(other, "b").filter("fp_a <> fp_b")
-    return prints.select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b")).distinct()
-
-
-def exact_rest(
-    docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, edges: DataFrame, shingle: int, similarity: float
-) -> DataFrame:
-    """(a, b) with a > b: ``edges`` or what spans the same groups, and links that complete them: afterwards no two texts of
-    the similarity are in different groups."""
-    shown = rows.filter("n > 0")
-    least = shown.groupBy("set").agg(F.min(F.struct(F.col(id_col).alias("low"), "fp", "n", "keys", "bits")).alias("least"))
-    sets = stored(least.select("set", "least.*"), "sets")
-    # Texts of equal sets may have different fingerprints, as these count repeats.
-    first = sets.select(F.col("set").alias("_set"), F.col("fp").alias("low_fp"))
-    equal = shown.join(first, F.col("set") == F.col("_set")).filter("fp <> low_fp")
-    equal = equal.select(F.greatest("fp", "low_fp").alias("a"), F.least("fp", "low_fp").alias("b")).distinct()
-    edges = stored(edges.unionByName(equal).distinct(), "first-links")
-    degrees = edges.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("degree"))
-    roots = components(edges)
-    keyed = stored(_with_roots(sets.select("set", "fp", F.explode("keys").alias("key")), roots), "keys")
-    sized = sets.select(F.col("set").alias("_set"), "n", "bits")
-    members = stored(_apart(keyed).join(sized, F.col("set") == F.col("_set")).drop("_set"), "members")
-    groups = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    for paired in (lambda m: hub_pairs(m, degrees, similarity), lambda m: remaining_pairs(m, similarity)):
-        pairs = stored(paired(members), "pairs")
-        found = stored(_similar_sets(docs, id_col, text_col, sets, pairs, shingle, similarity), "found")
-        if found.isEmpty():
-            continue
-        groups = components(groups.unionByName(found).distinct()).select(F.col("node").alias("a"), F.col("root").alias("b"))
-        members = stored(_apart(_with_roots(members.drop("root"), groups.toDF("node", "root"))), "members")
-    return groups
-
-
-def grouped_alike(
-    docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, similarity: float
-) -> DataFrame:
-    """As :func:`grouped`, with further links between all texts of that similarity."""
-    rows = stored(with_parts(docs, id_col, text_col, shingle, similarity), "fingerprints")
-    least = rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("low"), "parts")).alias("least"))
-    classes = stored(least.select("fp", "least.low", "least.parts"), "classes")
-    pairs = stored(sharing_parts(classes, distance), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    wanted = stored(classes.join(ends, F.col("fp") == F.col("end"), "left_semi").select("fp", "low"), "wanted")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(wanted, F.col("_id") == F.col("low"))
-    found = alike(pairs, stored(texts.select("fp", "text"), "texts"), shingle, similarity)
-    edges = links(classes, distance).unionByName(found).distinct()
-    edges = exact_rest(docs, id_col, text_col, rows, edges, shingle, similarity)
-    return _named(rows.select(id_col, "fp"), classes.drop("parts"), edges, id_col)
-
-
 def one_of_each(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = SHINGLE,
-    distance: int = DISTANCE,
-    similarity: float | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE
 ) -> DataFrame:
-    """The documents, all columns, but one of each group: that with the smallest id, then hash of the text.
-
-    Groups are those of :func:`grouped`, or with a similarity those of :func:`grouped_alike`.
-    """
+    """The documents, all columns, but one of each group of :func:`grouped`: that with the smallest id, then hash of the text."""
     keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    if similarity is None:
-        groups = grouped(keyed, "key", "text", shingle, distance)
-    else:
-        groups = grouped_alike(keyed, "key", "text", shingle, distance, similarity)
+    groups = grouped(keyed, "key", "text", shingle, distance)
     found = stored(groups, "groups")
     left = without(docs, found.filter("key <> component").select("key").distinct(), id_col, text_col)
     # Of rows with the same id and text, all but one go, too; as a rule there are none.
