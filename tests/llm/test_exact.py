@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import random
 import re
 from hashlib import sha256
@@ -84,6 +85,58 @@ def test_a_missing_segment_is_told(spark):
     assert out.to_pylist()[0]["problem"] == "a segment is missing"
 
 
+def record(i, body=None, **fields):
+    body = f"HTTP/1.1 200 OK\r\n\r\nbody {i} \r\n\r\nWARC".encode() if body is None else body
+    lines = {"WARC-Type": "response", "WARC-Record-ID": f"<{i}>", "X-Page-ID": i, "Content-Length": len(body), **fields}
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items() if v is not None)
+    return head.encode() + b"\r\n" + body + b"\r\n\r\n"
+
+
+def read_back(archive, piece=1 << 18):
+    old, warc.READ_BYTES = warc.READ_BYTES, piece
+    try:
+        return [(f.get("x-page-id"), problem) for f, _, problem in warc.parse(warc.inflated(archive))]
+    finally:
+        warc.READ_BYTES = old
+
+
+@pytest.mark.parametrize("piece", [7, 100, 1 << 18])
+def test_members_damage_and_wrong_lengths(piece):
+    whole = [record(i) for i in range(5)]
+    wanted = [(str(i), None) for i in range(5)]
+    one = gzip.compress(b"".join(whole))
+    each = [gzip.compress(r) for r in whole]
+    assert read_back(one, piece) == read_back(b"".join(each), piece) == read_back(b"".join(each) + b"\0" * 20, piece) == wanted
+    assert read_back(gzip.compress(b"".join(whole[:2])) + gzip.compress(b"".join(whole[2:])), piece) == wanted
+    assert read_back(b"", piece) == []
+    # Cut short: what is whole is kept, and the loss is told.
+    cut = read_back(b"".join(each)[: -len(each[-1]) // 2 - len(each[-1]) // 4], piece)
+    assert cut[:3] == wanted[:3] and any(problem for _, problem in cut)
+    raw = b"".join(whole)
+    assert read_back(gzip.compress(raw[: raw.rindex(b"body 4")]), piece) == [*wanted[:4], (None, "the archive is cut short")]
+    # A damaged member costs its own records only.
+    bad = bytearray(each[2])
+    bad[15] ^= 0xFF
+    bad[20] ^= 0xFF
+    got = read_back(b"".join([*each[:2], bytes(bad), *each[3:]]), piece)
+    assert [g for g in got if g[1] is None and g[0] != "2"] == [w for w in wanted if w[0] != "2"]
+    assert sum(problem is not None for _, problem in got) == 1
+    # Wrong or missing lengths, and what is no record.
+    for wrong in (record(9, **{"Content-Length": "x"}), record(9, **{"Content-Length": None}), b"hello\r\n\r\nyou\r\n\r\n", record(9, **{"WARC-Type": None})):
+        got = read_back(gzip.compress(whole[0] + wrong + whole[1]), piece)
+        assert got[0] == wanted[0] and got[-1] == wanted[1] and sum(problem is not None for _, problem in got) == 1
+
+
+def test_damaged_archives_do_not_end_the_job(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(3)))
+    (tmp_path / "a" / "2.warc.gz").write_bytes(gzip.compress(record(7) + record(8))[:-30])
+    (tmp_path / "a" / "3.warc.gz").write_bytes(b"no archive at all")
+    rows = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    assert {0, 1, 2} <= {r.page_id for r in rows if r.problem is None}
+    assert sum(r.kind == "damaged" for r in rows) >= 2
+
+
 def test_empty_pages_give_no_records(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "a"))

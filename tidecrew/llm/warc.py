@@ -5,9 +5,11 @@ segment is cut into a first record and continuation records.  A payload met befo
 becomes a revisit record without payload.  Spark's text writer ends every record with the two line ends the format
 asks for, so archives can go to any store Spark writes to.
 
-Reading parses each archive by its Content-Length fields.  Whole records are decoded on the spot.  Segments are grouped by
+Reading unpacks each archive piece by piece, whether it is one compressed member or has one for every record, and parses it by its
+Content-Length fields.  Whole records are decoded on the spot.  Segments are grouped by
 the identifier of the record they continue, put in order, checked for gaps and against the total length, and then
-decoded; only they are shuffled.  A record that fails a check is returned with ``problem`` set, never dropped.
+decoded; only they are shuffled.  A record that fails a check is returned with ``problem`` set, never dropped; a stretch of an archive
+that is damaged, cut short or no record is a row of kind ``damaged``.
 
 Defined cases: a NULL payload is empty; NULL ids and urls are left out of the header and read back as NULL; of rows with
 equal payloads those with the smallest id are responses (several, if the row is repeated) and NULL ids count as
@@ -17,7 +19,7 @@ largest; an empty table gives no archive and no rows; other columns are not read
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -31,6 +33,12 @@ CHUNK_BYTES = 4_096
 REVISIT_BYTES = 100
 # With the segment size this bounds an archive before compression to about 64 MB.
 RECORDS_PER_ARCHIVE = 2_000
+# Bytes of an archive unpacked at a time, and how a compressed member starts.
+READ_BYTES = 1 << 18
+# Rows, and bytes of segments, passed on at a time.
+ROWS_AT_ONCE = 1_024
+ROW_BYTES = 1 << 22
+MEMBER = b"\x1f\x8b\x08"
 DATE = "2020-01-01T00:00:00Z"
 
 PARSED = (
@@ -149,19 +157,102 @@ def write_archives(
     )
 
 
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields, with lower-case names, and block of every record of an uncompressed archive."""
-    at = 0
-    while at < len(archive):
-        stop = archive.index(b"\r\n\r\n", at)
-        lines = archive[at:stop].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
-        begin = stop + 4
-        at = begin + int(fields["content-length"])
-        yield fields, archive[begin:at]
-        at += 4
+class Damaged(ValueError):
+    """Bytes that cannot be read; what follows them may be."""
+
+
+def inflated(packed: bytes) -> Iterator[bytes | Damaged]:
+    """An archive's content, piece by piece, whatever number of compressed members it has.
+
+    Where a member is damaged or cut short, that is told, and reading goes on with the next place that starts a member.
+    """
+    view, at = memoryview(packed), 0
+    while at < len(view):
+        begin, unpack = at, zlib.decompressobj(31)
+        try:
+            while not unpack.eof and at < len(view):
+                piece = view[at : at + READ_BYTES]
+                at += len(piece)
+                if out := unpack.decompress(piece):
+                    yield out
+            if not unpack.eof:
+                raise zlib.error("the archive is cut short")
+            at -= len(unpack.unused_data)
+        except zlib.error as error:
+            yield Damaged(str(error))
+            at = packed.find(MEMBER, begin + 1)
+            at = len(view) if at < 0 else at
+        # Zeros may fill an archive up.
+        while at < len(view) and view[at] == 0:
+            at += 1
+
+
+class _Source:
+    """Bytes that arrive in pieces; what is held when a damaged piece arrives is dropped."""
+
+    def __init__(self, pieces: Iterable[bytes | Damaged]):
+        self.held, self.pieces = bytearray(), iter(pieces)
+
+    def more(self) -> None:
+        piece = next(self.pieces, None)
+        if piece is None:
+            raise EOFError
+        if isinstance(piece, Damaged):
+            self.held.clear()
+            raise piece
+        self.held += piece
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            self.more()
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def until(self, mark: bytes) -> bytes:
+        """Everything up to and with the mark."""
+        at = 0
+        while (stop := self.held.find(mark, at)) < 0:
+            at = max(0, len(self.held) - len(mark) + 1)
+            self.more()
+        return self.take(stop + len(mark))
+
+
+def parse(pieces: Iterable[bytes | Damaged]) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(header fields with lower-case names, block, problem) of every record of an uncompressed archive given in pieces.
+
+    A stretch that is no record, or not a whole one, is told once; reading goes on with the next header in sight.
+    """
+    source, lost, inside = _Source(pieces), False, False
+    while True:
+        problem = None
+        try:
+            inside = False
+            head = source.until(b"\r\n\r\n").lstrip(b"\r\n")
+            if lost:
+                head = head[head.find(b"WARC/1") :] if b"WARC/1" in head else b""
+            if not head:
+                continue
+            inside = True
+            first, *lines = head.decode("utf-8", "replace").split("\r\n")
+            fields = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+            if not first.startswith("WARC/"):
+                problem = "not a record"
+            elif not fields.get("content-length", "").isdigit() or not {"warc-type", "warc-record-id"} <= fields.keys():
+                problem = "a header field is missing or wrong"
+            else:
+                block = source.take(int(fields["content-length"]))
+                yield fields, block, None
+                lost = False
+        except Damaged as error:
+            problem = str(error)
+        except EOFError:
+            if not lost and (inside or source.held.strip(b"\r\n")):
+                yield {}, b"", "the archive is cut short"
+            return
+        if problem and not lost:
+            yield {}, b"", problem
+        lost = lost or bool(problem)
 
 
 def unchunked(body: bytes) -> bytes:
@@ -214,17 +305,24 @@ _ARROW = pa.schema(
 def _parse_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for packed in batch.column(0):
-            rows = []
-            for fields, block in parse(zlib.decompress(packed.as_py(), 31)):
-                number = int(fields.get("warc-segment-number", 0))
-                kind, page = fields["warc-type"], fields.get("x-page-id")
+            rows: list[tuple] = []
+            held = 0
+            for fields, block, problem in parse(inflated(packed.as_py() or b"")):
+                if problem:
+                    rows.append((None, None, 0, None, "damaged", None, None, None, None, None, problem))
+                    continue
+                kind, page = fields["warc-type"], fields.get("x-page-id", "")
                 digest = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                own = fields["warc-record-id"]
+                own, part, total = fields["warc-record-id"], fields.get("warc-segment-number", ""), fields.get("warc-segment-total-length", "")
+                number = int(part) if part.isdigit() else 0
                 origin = fields.get("warc-segment-origin-id", own) if number else None
-                total = fields.get("warc-segment-total-length")
                 done = (None, None, None) if number else _decoded(kind, digest, block, None)
-                head = (own, origin, number, total and int(total), kind, page and int(page), digest)
+                head = (own, origin, number, int(total) if total.isdigit() else None, kind, int(page) if page.isdigit() else None, digest)
                 rows.append((*head, block if number else None, *done))
+                held += len(block) if number else 0
+                if held > ROW_BYTES or len(rows) >= ROWS_AT_ONCE:
+                    yield _columns(rows, _ARROW)
+                    rows, held = [], 0
             if rows:
                 yield _columns(rows, _ARROW)
 
