@@ -4,7 +4,8 @@ Trusted positives are labelled documents of good quality; the unlabelled side is
 negative label is used.  The share of positives among the unlabelled is estimated first (best bin: the smallest ratio
 of the two score distributions' upper tails), then a logistic model over binned document statistics minimises the
 non-negative unbiased risk: the negative part of the risk, which is estimated by a difference, may not fall below
-zero, and where it would, its gradient is undone.
+zero, and where it would, its gradient is undone.  Scores become probabilities by a calibration on positives and unlabelled rows
+that the fit did not see.
 
 Defined cases: NULL and empty texts are scored like any other, from zero statistics; without positives the score is
 0.5 for all; an empty table gives no rows.
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecrew.llm.docstats import FEATURES, batches_measured, with_features
+from tidecrew.llm.neighbours import isotonic
 from tidecrew.llm.samples import labelled, sample_of
 
 # Labelled positives, and unlabelled documents, the model is fitted on at most.
@@ -34,6 +36,8 @@ class Model(NamedTuple):
     weights: np.ndarray
     bias: float
     prior: float
+    steps: np.ndarray  # of the calibration: scores of the linear model
+    levels: np.ndarray  # and probabilities
 
 
 def one_hot(cuts: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -83,15 +87,32 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(top_u[best] / top_p[best], 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, ridge: float = 1e-4) -> Model:
+def calibrated(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Steps and levels of the probability of a positive, by scores of held-out positives and unlabelled rows.
+
+    An isotonic fit tells positives from unlabelled rows; prior times the ratio of the two densities is the probability.
+    """
+    steps, share = isotonic(np.concatenate([zp, zu]), np.concatenate([np.ones(len(zp)), np.zeros(len(zu))]))
+    ratio = share / np.maximum(1 - share, 1e-9) * (len(zu) / len(zp))
+    return steps, np.clip(prior * ratio, 0.0, 1.0)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, most: int = 4_000, ridge: float = 1e-4, settled: float = 1e-6) -> Model:
+    """The model; every fourth row of both sides is kept for the calibration.  Steps end when the risk changes no more."""
     cuts = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in unlabelled.T]
+    plain = np.array([0.0, 1.0])
     if not len(positive):
-        return Model(cuts, np.zeros(sum(len(c) + 1 for c in cuts)), 0.0, 0.5)
+        return Model(cuts, np.zeros(sum(len(c) + 1 for c in cuts)), 0.0, 0.5, plain, np.array([0.5, 0.5]))
     p, u = one_hot(cuts, positive), one_hot(cuts, unlabelled)
     p, u = np.column_stack([p, np.ones(len(p))]), np.column_stack([u, np.ones(len(u))])
-    prior = class_prior(p, u) if min(len(p), len(u)) >= 20 else 0.5
+    enough = min(len(p), len(u)) >= 20
+    prior = class_prior(p, u) if enough else 0.5
+    if enough:
+        apart = [np.arange(len(x)) % 4 == 3 for x in (p, u)]
+        held, p, u = (p[apart[0]], u[apart[1]]), p[~apart[0]], u[~apart[1]]
     w, adam = np.zeros(p.shape[1]), _Adam(p.shape[1], 0.05)
-    for _ in range(steps):
+    risks: list[float] = []
+    for _ in range(most):
         zp, zu = p @ w, u @ w
         sp, su = _sigmoid(zp), _sigmoid(zu)
         # Logistic losses: positives as positive, positives as negative, unlabelled as negative.
@@ -99,11 +120,21 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, ridge: f
         towards = prior * (p.T @ (sp - 1)) / len(p)
         away = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
         w = w + adam.step((towards + away if negative >= 0 else -away) + ridge * w)
-    return Model(cuts, w[:-1], float(w[-1]), prior)
+        risks.append(prior * np.logaddexp(0, -zp).mean() + max(0.0, negative))
+        if len(risks) >= 200 and abs(np.mean(risks[-100:]) - np.mean(risks[-200:-100])) < settled:
+            break
+    model = Model(cuts, w[:-1], float(w[-1]), prior, np.array([-40.0, 40.0]), _sigmoid(np.array([-40.0, 40.0])))
+    if not enough:
+        z = np.linspace(-8, 8, 65)
+        return model._replace(steps=z, levels=_sigmoid(z))
+    steps, levels = calibrated(held[0] @ w, held[1] @ w, prior)
+    return model._replace(steps=steps, levels=levels)
 
 
 def score(model: Model, x: np.ndarray) -> np.ndarray:
-    return _sigmoid(one_hot(model.cuts, x) @ model.weights + model.bias)
+    """Probabilities of good quality; a small share of the linear score keeps the order within a level."""
+    z = one_hot(model.cuts, x) @ model.weights + model.bias
+    return 0.99 * np.interp(z, model.steps, model.levels) + 0.01 * _sigmoid(z)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
