@@ -1,15 +1,16 @@
 """Toxicity by nearest labelled examples.
 
-Examples are a bounded sample of labelled documents, as many of either class where there are enough.  Their vectors are
-TF-IDF over the terms that speak for toxicity (by lift and chi-square over the examples), with document frequencies
-counted over the whole corpus.  The inverted index holds, per term, the examples' weights in blocks and each block's largest
-weight; a query visits blocks in the order of their upper bounds and stops when no block left can reach its nearest
-examples, so the neighbours are exact.  Their votes, weighted by similarity and class share, are mapped to probabilities by
-an isotonic fit on further labelled rows, and are returned as evidence.
+Examples are a bounded sample of labelled documents, as many of either class where there are enough.  Their vectors hold all
+their terms: term frequency, times the inverse document frequency counted over the whole corpus, times a weight that grows with
+the term's chi-square over the examples, so that words that tell the classes apart count most and none is left out.  A text's norm
+is over all its words; those that no example has count as if one document had them.  The inverted index has a posting list per term,
+cut into blocks of examples with each block's largest weight.  A query adds up an upper bound per block, visits blocks in that
+order and stops when no block left can reach its nearest examples, so the neighbours are exact.  Their votes, weighted by
+similarity and class share, are mapped to probabilities by an isotonic fit on further labelled rows, and are returned as evidence.
 
 Defined cases: NULL and empty texts, and those without an indexed term, have no neighbours and the vote of the class
-share; equal similarities are ordered by example id; repeated rows get equal results; without labels of both classes
-every vote is the share of toxic labels, 0 if there are none.
+share; equal similarities are ordered by example id; equal votes have equal scores; repeated rows get equal results; without labels
+of both classes every vote is the share of toxic labels, 0 if there are none.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidecrew.llm.docstats import texts_of
 from tidecrew.llm.samples import sample_of
@@ -30,10 +32,12 @@ from tidecrew.llm.words import NOT_ALPHANUMERIC, chunks, words_of
 # Labelled rows of either class among the examples, and rows of the isotonic fit, at most.
 EXAMPLES = 2_048
 CALIBRATION = 8_192
-TERMS = 512
-LEAST_CHI = 24.0  # one in a million by chance, as very many terms are tried
-LEAST_LIFT = 3.0  # share of toxic examples with the term, over that of the others
+# The weight of a term that tells nothing, and the chi-square at which a term has about half the full weight.
+LEAST_WEIGHT = 0.02
+HALF_CHI = 24.0
 BLOCK = 64
+# Blocks visited at a time.
+VISITED = 8
 NEIGHBOURS = 15
 # A neighbour's worth of prior votes.
 PRIOR_WEIGHT = 0.2
@@ -41,10 +45,16 @@ PRIOR_WEIGHT = 0.2
 
 class Index(NamedTuple):
     terms: np.ndarray  # sorted word hashes
-    idf: np.ndarray
-    weights: np.ndarray  # terms x examples
-    peaks: np.ndarray  # terms x blocks
-    ids: np.ndarray
+    value: np.ndarray  # weight of one occurrence of a term
+    strange: float  # and of a word that no example has
+    entries: np.ndarray  # first entry of every term, an entry being a block of its posting list
+    block: np.ndarray  # of every entry
+    peak: np.ndarray  # largest weight in it
+    postings: np.ndarray  # first posting of every entry
+    example: np.ndarray  # of every posting
+    weight: np.ndarray
+    ids: list
+    turn: np.ndarray  # places of the examples in order of their ids
     labels: np.ndarray
     votes: np.ndarray  # weight of an example's vote
     share: float  # of toxic rows
@@ -52,44 +62,64 @@ class Index(NamedTuple):
     levels: np.ndarray  # and probabilities
 
 
-def _sparse(texts: list[bytes], terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(term numbers, occurrences) of every text, over the terms of the index."""
+def word_counts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes in order, occurrences) of every text."""
     for part in chunks(texts):
         words = words_of(part, NOT_ALPHANUMERIC, True)
-        place = np.searchsorted(terms, words.hash)
-        place[place == len(terms)] = 0
-        known = terms[place] == words.hash if len(terms) else np.zeros(len(place), dtype=bool)
-        keys, counts = np.unique(words.text[known] * np.int64(max(1, len(terms))) + place[known], return_counts=True)
-        owners = keys // max(1, len(terms))
-        edges = np.searchsorted(owners, np.arange(len(part) + 1))
+        order = np.lexsort((words.hash, words.text))
+        text, value = words.text[order], words.hash[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
+        begin = np.flatnonzero(new)
+        counts = np.diff(np.append(begin, len(order)))
+        edges = np.searchsorted(text[begin], np.arange(len(part) + 1))
         for k in range(len(part)):
             own = slice(edges[k], edges[k + 1])
-            yield keys[own] % max(1, len(terms)), counts[own]
+            yield value[begin[own]], counts[own]
 
 
-def _unit(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weight = (1 + np.log(count)) * idf[term]
-    norm = np.sqrt((weight**2).sum())
-    return weight / norm if norm else weight
+def vector(terms: np.ndarray, value: np.ndarray, strange: float, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(term numbers, weights) of a text, scaled to the norm of all its words."""
+    place = np.minimum(np.searchsorted(terms, words), max(0, len(terms) - 1))
+    known = terms[place] == words if len(terms) else np.zeros(len(words), dtype=bool)
+    often = 1 + np.log(counts)
+    weight = often[known] * value[place[known]]
+    norm = np.sqrt((weight**2).sum() + strange**2 * (often[~known] ** 2).sum())
+    return place[known], weight / norm if norm else weight
 
 
-def nearest(index: Index, term: np.ndarray, count: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] .. starts[i] + sizes[i] - 1, end to end."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) - np.repeat(before - starts, sizes)
+
+
+def nearest(index: Index, term: np.ndarray, query: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
     """(examples, similarities) of the ``k`` nearest examples with a positive similarity, nearest first."""
-    if not len(term) or not len(index.ids):
-        return np.zeros(0, dtype=np.int64), np.zeros(0)
-    query = _unit(term, count, index.idf)
-    bounds = query @ index.peaks[term]
     found, values = np.zeros(0, dtype=np.int64), np.zeros(0)
-    for block in np.argsort(-bounds, kind="stable"):
+    if not len(term) or not len(index.labels):
+        return found, values
+    sizes = index.entries[term + 1] - index.entries[term]
+    entry, strength = _spans(index.entries[term], sizes), np.repeat(query, sizes)
+    bounds = np.bincount(index.block[entry], weights=strength * index.peak[entry], minlength=-(-len(index.labels) // BLOCK))
+    order = np.argsort(-bounds, kind="stable")
+    turn = np.empty(len(order), dtype=np.int64)
+    turn[order] = np.arange(len(order)) // VISITED
+    turns = turn[index.block[entry]]
+    for visit in range(int(turn.max()) + 1):
         worst = values[k - 1] if len(values) >= k else 0.0
-        if bounds[block] < worst - 1e-12 or bounds[block] <= 0:
+        highest = bounds[order[visit * VISITED]]
+        if highest < worst - 1e-12 or highest <= 0:
             break
-        begin = block * BLOCK
-        near = query @ index.weights[term, begin : begin + BLOCK]
-        keep = np.flatnonzero((near > 0) & (near >= worst - 1e-12))
-        found, values = np.concatenate([found, keep + begin]), np.concatenate([values, near[keep]])
-        order = np.lexsort((found, -values))[:k]
-        found, values = found[order], values[order]
+        here = turns == visit
+        own = entry[here]
+        many = index.postings[own + 1] - index.postings[own]
+        at = _spans(index.postings[own], many)
+        near = np.bincount(index.example[at], weights=np.repeat(strength[here], many) * index.weight[at], minlength=len(index.labels))
+        keep = np.flatnonzero(near > max(0.0, worst - 1e-12))
+        found, values = np.concatenate([found, keep]), np.concatenate([values, near[keep]])
+        best = np.lexsort((index.turn[found], -values))[:k]
+        found, values = found[best], values[best]
     return found, values
 
 
@@ -132,83 +162,126 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64)), pa.array(labels[owner])], ["term", "label"])
 
 
-def telling_terms(examples: DataFrame, most: int = TERMS) -> np.ndarray:
-    """Hashes of the terms, in at least four examples, that speak for toxicity most."""
+def term_chances(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, chi-square) of all terms of the examples."""
     sizes = {row["label"]: row["n"] for row in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n0 or not n1:
-        return np.zeros(0, dtype=np.uint64)
     counted = (
         examples.select("text", "label")
         .mapInArrow(_terms_of, "term long, label int")
         .groupBy("term")
         .agg(F.sum(F.col("label")).cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
-        .filter((F.col("a") + F.col("b") >= 4) & (F.col("a") * n0 >= LEAST_LIFT * n1 * F.col("b")))
+        .toArrow()
     )
-    a, b = F.col("a"), F.col("b")
+    term = counted.column("term").to_numpy().astype(np.int64).view(np.uint64)
+    a, b = counted.column("a").to_numpy(), counted.column("b").to_numpy()
     total = float(n0 + n1)
-    chi = total * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / (F.lit(float(n0) * n1) * (a + b) * F.greatest(total - a - b, F.lit(1.0)))
-    rows = counted.withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(most).collect()
-    return np.sort(np.array([row["term"] for row in rows], dtype=np.int64).view(np.uint64))
+    chi = np.zeros(len(term))
+    if n0 and n1:
+        chi = total * (a * (n0 - b) - b * (n1 - a)) ** 2 / (float(n0) * n1 * (a + b) * np.maximum(total - a - b, 1.0))
+    order = np.argsort(term)
+    return term[order], chi[order]
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
     """In how many documents each term occurs, and how many documents there are."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(len(terms) + 1, dtype=np.int64), 0
+        known = sent.value
+        counts = np.zeros(len(known) + 1, dtype=np.int64)
         for batch in batches:
-            n += batch.num_rows
-            for term, _ in _sparse(texts_of(batch.column(0)), terms):
-                counts[term] += 1
-        counts[len(terms)] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms) + 1)), pa.array(counts)], ["term", "n"])
-
-    rows = docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+            counts[-1] += batch.num_rows
+            for part in chunks(texts_of(batch.column(0))):
+                words = words_of(part, NOT_ALPHANUMERIC, True)
+                place = np.minimum(np.searchsorted(known, words.hash), max(0, len(known) - 1))
+                hit = known[place] == words.hash if len(known) else np.zeros(len(words.hash), dtype=bool)
+                pairs = np.unique(words.text[hit] * np.int64(max(1, len(known))) + place[hit])
+                counts[:-1] += np.bincount(pairs % max(1, len(known)), minlength=len(known))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["term", "n"])
+
+    found = docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms) + 1, dtype=np.int64)
-    for row in rows:
-        out[row["term"]] = row["n"]
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
-def _vectors(rows: DataFrame, terms: np.ndarray) -> list:
+def _vectors(rows: DataFrame, terms: np.ndarray, value: np.ndarray, strange: float) -> list[tuple]:
+    """(doc_id, label, term numbers, weights) of the examples, in order of their ids."""
+    sent = rows.sparkSession.sparkContext.broadcast((terms, value, strange))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = list(_sparse(texts_of(batch.column(0)), terms))
-            arrays = [pa.array([p[k].tolist() for p in pairs], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], ["doc_id", "label", "role", "term", "n"])
+            pairs = [vector(*sent.value, words, counts) for words, counts in word_counts(texts_of(batch.column(0)))]
+            arrays = [pa.array([p[k].astype(t).tobytes() for p in pairs], pa.binary()) for k, t in ((0, "<i4"), (1, "<f8"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], ["doc_id", "label", "term", "weight"])
 
-    made = rows.select("text", F.col("doc_id").cast("long").alias("doc_id"), "label", "role").mapInArrow(
-        run, "doc_id long, label int, role string, term array<long>, n array<long>"
-    )
-    return sorted(made.collect(), key=lambda row: (row["doc_id"], row["n"]))
+    made = rows.select("text", "doc_id", "label").mapInArrow(run, f"doc_id {kind}, label int, term binary, weight binary").toArrow()
+    packed = sorted(zip(*[made.column(c).to_pylist() for c in made.column_names], strict=True))
+    return [(i, y, np.frombuffer(t, dtype="<i4"), np.frombuffer(w, dtype="<f8")) for i, y, t, w in packed]
+
+
+def _votes(rows: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(vote, label) of the rows of the isotonic fit."""
+    held = rows.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [nearest(held.value, *vector(*held.value[:3], *one)) for one in word_counts(texts_of(batch.column(0)))]
+            votes = [_vote(held.value, *one) for one in found]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(1)], ["vote", "label"])
+
+    found = rows.select("text", "label").mapInArrow(run, "vote double, label int").toArrow()
+    return found.column("vote").to_numpy(), found.column("label").to_numpy().astype(float)
+
+
+def inverted(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> dict[str, np.ndarray]:
+    """Posting lists of the examples' vectors by term, cut into blocks of examples."""
+    term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, dtype=np.int64)
+    weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+    example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+    order = np.lexsort((example, term))
+    term, weight, example = term[order], weight[order], example[order]
+    block = example // BLOCK
+    new = np.ones(len(term), dtype=bool)
+    new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(new)
+    return {
+        "entries": np.searchsorted(term[first], np.arange(terms + 1)),
+        "block": block[first],
+        "peak": np.maximum.reduceat(weight, first) if len(first) else np.zeros(0),
+        "postings": np.append(first, len(term)),
+        "example": example,
+        "weight": weight,
+    }
 
 
 def build(docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = EXAMPLES, calibration: int = CALIBRATION) -> Index:
-    """The index, from labels of rows that are ``allowed``.  What reaches the driver is bounded by the parameters."""
+    """The index, from labels of rows that are ``allowed``.  What reaches the driver are the terms and vectors of the chosen rows."""
     chosen = F.broadcast(_chosen(labels, allowed, examples, calibration))
     rows = stored(docs.select("doc_id", "text").join(chosen, "doc_id"), "labelled-texts")
-    terms = telling_terms(rows.filter("role = 'example'"))
+    terms, chi = term_chances(rows.filter("role = 'example'"))
     frequency, n = document_frequencies(docs, terms)
-    idf = np.log((1 + n) / (1 + frequency)) + 1
-    vectors = _vectors(rows, terms)
-    kept = [row for row in vectors if row["role"] == "example"]
-    fits = [row for row in vectors if row["role"] == "fit"]
-    y = np.array([row["label"] for row in kept], dtype=float)
-    share = float(np.mean([row["label"] for row in fits])) if fits else float(y.mean()) if len(y) else 0.0
-    blocks = -(-len(kept) // BLOCK)
-    weights = np.zeros((len(terms), blocks * BLOCK))
-    for k, row in enumerate(kept):
-        term = np.array(row["term"], dtype=np.int64)
-        weights[term, k] = _unit(term, np.array(row["n"]), idf)
-    peaks = weights.reshape(len(terms), blocks, BLOCK).max(axis=2)
+    value = (np.log((1 + n) / (1 + frequency)) + 1) * (LEAST_WEIGHT + chi / (chi + HALF_CHI))
+    strange = (np.log((1 + n) / 2) + 1) * LEAST_WEIGHT
+    kept = _vectors(rows.filter("role = 'example'"), terms, value, strange)
+    y = np.array([label for _, label, _, _ in kept], dtype=float)
+    fits = rows.filter("role = 'fit'").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).first()
+    share = float(fits["share"]) if fits["n"] else float(y.mean()) if len(y) else 0.0
+    # Examples of one class stand together, so that the bounds of most blocks are low for a text of the other.
+    order = np.argsort(-y, kind="stable")
+    kept, y = [kept[i] for i in order], y[order]
     toxic = y.mean() if len(y) else 0.0
     votes = np.where(y == 1, share / max(toxic, 1e-9), (1 - share) / max(1 - toxic, 1e-9))
-    ids = np.array([row["doc_id"] for row in kept], dtype=np.int64)
-    index = Index(terms, idf, weights, peaks, ids, y, votes, share, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    if fits and terms.size:
-        got = [_vote(index, *nearest(index, np.array(row["term"], dtype=np.int64), np.array(row["n"]))) for row in fits]
-        steps, levels = isotonic(np.array(got), np.array([row["label"] for row in fits], dtype=float))
+    plain = np.array([0.0, 1.0])
+    index = Index(
+        terms, value, strange, **inverted([(t, w) for _, _, t, w in kept], len(terms)), ids=[i for i, _, _, _ in kept], turn=order,
+        labels=y, votes=votes, share=share, steps=plain, levels=plain,
+    )
+    if fits["n"] and terms.size:
+        steps, levels = isotonic(*_votes(rows.filter("role = 'fit'"), index))
         index = index._replace(steps=steps, levels=levels)
     return index
 
@@ -216,10 +289,10 @@ def build(docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = E
 def _judge(index: Index, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple]]]:
     """Calibrated scores of texts, and their three nearest examples as (id, similarity, label)."""
     votes, proofs = [], []
-    for term, count in _sparse(texts, index.terms):
-        found, values = nearest(index, term, count)
+    for words, counts in word_counts(texts):
+        found, values = nearest(index, *vector(index.terms, index.value, index.strange, words, counts))
         votes.append(_vote(index, found, values))
-        near = zip(index.ids[found[:3]].tolist(), values[:3].tolist(), index.labels[found[:3]].tolist(), strict=True)
+        near = zip([index.ids[i] for i in found[:3].tolist()], values[:3].tolist(), index.labels[found[:3]].tolist(), strict=True)
         proofs.append([{"doc_id": i, "similarity": v, "label": int(y)} for i, v, y in near])
     return np.interp(np.array(votes), index.steps, index.levels), proofs
 
@@ -227,18 +300,19 @@ def _judge(index: Index, texts: list[bytes]) -> tuple[np.ndarray, list[list[tupl
 def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, evidence): the calibrated probability, and the nearest examples with similarity and label.
 
-    The index is broadcast; its size is bounded by the numbers of terms and examples, about 16 MB.
+    The index is broadcast; it holds the texts of at most 2 * ``EXAMPLES`` labelled rows, word by word.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
-    kind = docs.schema[id_col].dataType.simpleString()
-    evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
+    kind = docs.schema[id_col].dataType
+    evidence = pa.list_(pa.struct([("doc_id", to_arrow_type(kind)), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, proofs = _judge(held.value, texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(proofs, evidence)], ["id", "score", "evidence"])
 
-    schema = f"id {kind}, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>"
+    name = kind.simpleString()
+    schema = f"id {name}, score double, evidence array<struct<doc_id:{name},similarity:double,label:int>>"
     return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
