@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import collections
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -66,6 +68,7 @@ def test_positive_unlabelled_learning_tells_quality(spark):
     rows = labelled(spark, "quality", pulearning.scored(docs.filter(fold == 0), model))
     good, bad = rows[rows[:, 1] == 1, 0], rows[rows[:, 1] == 0, 0]
     assert (good[:, None] > bad[None]).mean() > 0.97 and 0.6 < model.prior < 0.98
+    assert (good >= 0.3).mean() > 0.95 and (bad >= 0.3).mean() < 0.1
     empty = pulearning.fit(np.zeros((0, 2)), np.zeros((4, 2)))
     assert np.allclose(pulearning.score(empty, np.ones((3, 2))), 0.5)
 
@@ -77,17 +80,59 @@ def index(spark):
 
 def test_neighbours_are_exact(index):
     rng = np.random.default_rng(1)
+    dense = np.zeros((len(index.terms), len(index.ids)))
+    term_of = np.repeat(np.arange(len(index.terms)), np.diff(index.postings[index.entries]))
+    dense[term_of, index.example] = index.weight
+    assert np.allclose((dense**2).sum(axis=0)[dense.any(axis=0)], 1.0)
     for _ in range(200):
-        term = np.sort(rng.choice(len(index.terms), rng.integers(1, 6), replace=False))
-        count = rng.integers(1, 4, len(term))
-        found, values = neighbours.nearest(index, term, count)
-        query = neighbours._unit(term, count, index.idf)
-        every = query @ index.weights[term, : len(index.ids)]
-        order = np.lexsort((np.arange(len(every)), -np.round(every, 9)))
+        term = np.sort(rng.choice(len(index.terms), rng.integers(1, 60), replace=False))
+        query = rng.random(len(term))
+        found, values = neighbours.nearest(index, term, query)
+        every = query @ dense[term]
+        order = np.lexsort((index.turn, -np.round(every, 9)))
         best = [k for k in order[: neighbours.NEIGHBOURS] if every[k] > 0]
         assert np.allclose(values, every[best]) and len(found) == len(best)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_neighbours_equal_plain_cosines(spark, kind):
+    rnd = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randrange(1, 25)) + ["Rotten!"] * (i % 3 == 0)) for i in range(90)] + ["", "unseen word"]
+    name = (lambda i: i) if kind == "long" else (lambda i: f"d{i:03}")
+    docs = spark.createDataFrame([(name(i), t, "x") for i, t in enumerate(texts)], f"doc_id {kind}, text string, label string")
+    labels = spark.createDataFrame([(name(i), int(i % 3 == 0)) for i in range(0, 90, 2)], f"doc_id {kind}, toxic int")
+    index = neighbours.build(docs, labels, F.lit(True), calibration=0)
+    split = [collections.Counter(re.findall(r"[a-z0-9]+", t.lower())) for t in texts]
+    n, df = len(texts), collections.Counter(w for s in split for w in s)
+    chosen = {name_: None for name_ in index.ids}
+    examples = [i for i in range(len(texts)) if name(i) in chosen]
+    y = {i: int(i % 3 == 0) for i in examples}
+    n1 = sum(y.values())
+    n0 = len(examples) - n1
+    seen = {w for i in examples for w in split[i]}
+
+    def value(w):
+        if w not in seen:
+            return (np.log((1 + n) / 2) + 1) * neighbours.LEAST_WEIGHT
+        a, b = (sum(w in split[i] for i in examples if y[i] == c) for c in (1, 0))
+        chi = len(examples) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n0 * n1 * (a + b) * max(len(examples) - a - b, 1))
+        return (np.log((1 + n) / (1 + df[w])) + 1) * (neighbours.LEAST_WEIGHT + chi / (chi + neighbours.HALF_CHI))
+
+    def unit(s):
+        v = {w: (1 + np.log(c)) * value(w) for w, c in s.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    units = [unit(s) for s in split]
+    for row in neighbours.scored(docs, index).collect():
+        i = [name(k) for k in range(len(texts))].index(row.doc_id)
+        near = [(round(sum(x * units[j].get(w, 0.0) for w, x in units[i].items()), 9), name(j)) for j in examples]
+        want = sorted([x for x in near if x[0] > 0], key=lambda x: (-x[0], x[1]))[:3]
+        assert [(round(e.similarity, 9), e.doc_id) for e in row.evidence] == want
+    assert [r.score for r in neighbours.scored(docs.filter("text = ''"), index).collect()] == [pytest.approx(index.share)]
+
+
 def test_toxic_documents_are_found(spark, index):
     docs = table(spark, TENTH, "documents").filter(F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
     rows = labelled(spark, "toxic", neighbours.scored(docs, index))
@@ -154,6 +199,43 @@ def test_empty_pages_leave_the_slots(spark):
     assert all(got[k].startswith(f"story {k} begins") and "other" not in got[k] for k in range(20))
 
 
+def test_an_error_page_does_not_void_the_template(spark):
+    def page(k):
+        links = "".join(f"<a href=/{i}>other story {k * 10 + i}</a> " for i in range(4))
+        return f"<html><body><div id=up><p>{links}</p></div><div id=mid><p>story {k} begins {'and goes on ' * 20}</p></div></body></html>"
+
+    rows = [(k, "http://a.org/x", page(k)) for k in range(40)] + [(90, "http://a.org/y", "<html><body><h1>502 Bad Gateway</h1></body></html>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extracted(pages).collect()}
+    assert all(got[k].startswith(f"story {k} begins") and "other" not in got[k] for k in range(40))
+    assert got[90] == "502 Bad Gateway"
+
+
+def test_template_text_and_links_go_inside_the_article_too(spark):
+    def page(k):
+        links = "".join(f"<li><a href=/{i}>see story {k * 10 + i}</a></li>" for i in range(4))
+        return (
+            f"<html><body><nav><a href=/>home {k}</a></nav><article><h1>Title {k}</h1><p>This text is free to read for all.</p>"
+            f"<p>story {k} {'goes on ' * 20}</p><ul class=x>{links}</ul></article><p>bye {k}</p></body></html>"
+        )
+
+    rows = [(k, "http://a.org/x", page(k)) for k in range(40)] + [(50, "http://b.org/", page(7))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extracted(pages).collect()}
+    assert all(got[k] == f"Title {k}\n\nstory {k} {'goes on ' * 20}".strip() for k in range(40))
+    # One page of a host has no template: marks alone decide.
+    assert "free to read" in got[50] and "home" not in got[50] and "bye" not in got[50]
+
+
+def test_a_page_of_nested_marked_elements_takes_linear_time():
+    deep = 20_000
+    html = "<html><body>" + "<div class='comments'>x " * deep + "</div>" * deep + "<article><p>one two</p></article></body></html>"
+    start = time.perf_counter()
+    page = htmltext.parsed(html)
+    assert time.perf_counter() - start < 10
+    assert htmltext.main_text(page, {}, None, frozenset()) == "one two"
+
+
 def test_language_by_text_markup_and_host(spark):
     docs = table(spark, SMALL, "documents")
     texts = {r.lang: r.text for r in docs.filter("length(text) > 500").collect()}

@@ -2,17 +2,18 @@
 
 A page is a sequence of tokens: elements, told apart by their path of containers, and runs of text with their path.
 Over the pages of one host a token has an occurrence vector, how often each page holds it.  Tokens with equal vectors
-form an equivalence class.  Classes that most pages of the host share are kept if their tokens come in the same order on
-every page (ordered), and if every page puts the class into the same place of the one around it (nested): they make
-the host's template.  What lies between the tokens of its outermost class are the slots, and the text in slots that is
-not template text is the page's data.
+form an equivalence class.  Classes that most pages of the host share are kept if their tokens come in the same order
+(ordered), and if the class is in the same place of the one around it (nested), on most of the pages that have it: they make
+the host's template.  What lies between the tokens of its outermost class, which has most tokens once each on most pages, are the
+slots, and the text in slots that is not template text is the page's data.
 
 Vectors are never built.  Each page adds a hash of itself and the count to two sums per token, equal sums mean equal
 vectors, and sums are added up within a task before they are shuffled, so a host with a third of all pages costs a row
 per token and task.  A template holds tokens that at least half of the pages have, so it is no larger than two pages.
 
-Which slots are the article is read from their containers (article, main, names of menus, adverts, comments and the
-like) and, where a page has no such marks, from template text and the share of linked text in the slot over all pages.
+Template text, and slots of which most text over all pages is linked, go first.  Which of the remaining text is the article is
+read from its containers (article, main, names of menus, adverts, comments and the like); hosts without a template are read by those
+alone.
 
 Defined cases: NULL and empty pages have empty text; urls without host share one empty host; hosts of fewer than three
 pages have no template, and are read by marks alone; a text that template evidence alone would empty is kept whole;
@@ -128,9 +129,10 @@ def parsed(html: str) -> Page:
     """The tokens and text blocks of a page, in page order."""
     tokens: list[int] = []
     blocks: list[Block] = []
-    # name, path, aside, level, the elements around that a word marks
-    stack: list[tuple[str, int, bool, int, tuple[int, ...]]] = [("", 0, False, 0, ())]
-    marked_by: list[tuple[int, ...]] = []  # of every block
+    # name, path, aside, level, the innermost element around that a word marks
+    stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, 0)]
+    around = [0]  # of every marked element, the marked one around it; 0 stands for none
+    marked_by: list[int] = []  # of every block
     held: list[str] = []
     linked, in_link = 0, 0
     block_name, block_aside, block_named = "", False, 0
@@ -140,9 +142,9 @@ def parsed(html: str) -> Page:
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
-            _, path, aside, level, marks = stack[-1]
+            _, path, aside, level, mark = stack[-1]
             token = _token(path, block_name, text) | 1
-            marked_by.append((*marks, block_named) if block_named else marks)
+            marked_by.append(block_named or mark)
             blocks.append(Block(text, token, len(tokens), min(linked, len(text)), aside or block_aside, level))
             tokens.append(token)
         linked, block_name, block_aside, block_named = 0, "", False, 0
@@ -175,32 +177,41 @@ def parsed(html: str) -> Page:
                         del stack[depth:]
                         break
             continue
-        _, path, aside, level, marks = stack[-1]
+        _, path, aside, level, mark = stack[-1]
         own_aside, own_named, level, signature = _marks(name, found[4] or "", level)
         token = _token(path, signature)
         tokens.append(token)
+        if own_named:
+            around.append(mark)
+            mark = len(around) - 1
         if name in CONTAINERS:
             if not (found[4] or "").endswith("/"):
-                stack.append((name, token, aside or own_aside, level, (*marks, len(tokens)) if own_named else marks))
+                stack.append((name, token, aside or own_aside, level, mark))
         else:
-            block_name, block_aside, block_named = name, own_aside, len(tokens) if own_named else 0
+            block_name, block_aside, block_named = name, own_aside, mark if own_named else 0
     if at < len(html):
         held.append(html[at:])
     flush()
     # An element that holds the article, or without one most of the page's text, is no part beside it, whatever its words.
-    plain = [(b, m) for b, m in zip(blocks, marked_by, strict=True) if not b.aside]
-    sure = [m for b, m in plain if b.level >= 2]
-    whole = sum(len(b.text) for b, _ in plain)
-    sizes: dict[int, int] = {}
-    for block, own in plain:
-        for mark in own:
-            sizes[mark] = sizes.get(mark, 0) + len(block.text)
-    if sure:
-        holds = set.intersection(*map(set, sure))
-    else:
-        holds = {mark for mark in sizes if 2 * sizes[mark] > whole}
-    hidden = [any(mark not in holds for mark in own) for own in marked_by]
-    return Page(tokens, [b._replace(aside=b.aside or h, named=h and not b.aside) for b, h in zip(blocks, hidden, strict=True)])
+    sizes, articles, whole, sure = [0] * len(around), [0] * len(around), 0, 0
+    for block, mark in zip(blocks, marked_by, strict=True):
+        if not block.aside:
+            sizes[mark] += len(block.text)
+            whole += len(block.text)
+            if block.level >= 2:
+                articles[mark] += 1
+                sure += 1
+    for mark in range(len(around) - 1, 0, -1):
+        sizes[around[mark]] += sizes[mark]
+        articles[around[mark]] += articles[mark]
+    hidden = [False] * len(around)
+    for mark in range(1, len(around)):
+        holds = articles[mark] == sure if sure else 2 * sizes[mark] > whole
+        hidden[mark] = hidden[around[mark]] or not holds
+    return Page(
+        tokens,
+        [b._replace(aside=b.aside or hidden[m], named=hidden[m] and not b.aside) for b, m in zip(blocks, marked_by, strict=True)],
+    )
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Page]]:
@@ -265,18 +276,17 @@ def _order(page: Page, classes: dict[int, int], outer: int | None) -> Iterator[t
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and task: lowest and highest order and place of every class (kind 0), and size and linked size of the
+    """Per host and task: on how many pages every class has an order and place (kind 0), and size and linked size of the
     text in every slot (kind 1)."""
-    names = ["host", "kind", "key", "a", "b", "c", "d"]
+    names = ["host", "kind", "key", "order", "place", "n", "linked"]
     kinds = [pa.string(), pa.int32(), *[pa.int64()] * 5]
     sums: dict[tuple, list[int]] = {}
     for batch, row, page in _pages(batches):
         host, classes, outer = batch.column(1)[row].as_py(), _class_of(batch, row, 3), batch.column(4)[row].as_py()
         for own, order, place in _order(page, classes, outer):
-            held = sums.setdefault((host, 0, own), [order, order, place, place])
-            held[:] = [min(held[0], order), max(held[1], order), min(held[2], place), max(held[3], place)]
+            sums.setdefault((host, 0, own, order, place), [0, 0])[0] += 1
         for block, slot in _slots(page, classes, outer):
-            held = sums.setdefault((host, 1, slot), [0, 0, 0, 0])
+            held = sums.setdefault((host, 1, slot, 0, 0), [0, 0])
             held[0] += len(block.text)
             held[1] += block.linked
         if len(sums) >= HELD:
@@ -298,17 +308,20 @@ def _slots(page: Page, classes: dict[int, int], outer: int | None) -> Iterator[t
 
 
 def main_text(page: Page, classes: dict[int, int], outer: int | None, linked_slots: frozenset[int]) -> str:
-    """The article of a page, given its host's template."""
+    """The article of a page, given its host's template.
+
+    Template text and slots of links go first, wherever they are; marks choose among what remains.  On a host without a
+    template they choose among all blocks.
+    """
     every = list(_slots(page, classes, outer))
-    seen = [(block, slot) for block, slot in every if not block.aside] or [(block, slot) for block, slot in every if block.named]
-    top = max((block.level for block, _ in seen), default=0)
-    if top:
-        chosen = [block for block, _ in seen if block.level == top]
-    else:
-        # A slot that is mostly links, and text that is part of the template, are not the article.
-        chosen = [block for block, slot in seen if block.token not in classes and slot not in linked_slots]
-        chosen = chosen or [block for block, _ in seen]
-    return "\n\n".join([block.text for block in chosen])
+    left = [(block, slot) for block, slot in every if block.token not in classes and slot not in linked_slots]
+    # Where the template takes everything that marks leave, marks alone decide.
+    for blocks in (left, every):
+        seen = [block for block, _ in blocks if not block.aside] or [block for block, _ in blocks if block.named]
+        if seen:
+            top = max(block.level for block in seen)
+            return "\n\n".join(block.text for block in seen if block.level == top)
+    return ""
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -323,15 +336,13 @@ def templates(pages: DataFrame) -> DataFrame:
     counted = stored(sums, "token-vectors")
     sizes = counted.filter("token = 0").select(F.col("host").alias("of_host"), F.col("pages").alias("n"))
     frequent = counted.filter("token <> 0").join(sizes, F.col("host") == F.col("of_host")).filter(F.col("pages") >= SUPPORT * F.col("n"))
-    # Equal sums: an equivalence class.  The outermost one has each of its tokens once on every page.
-    classed = frequent.withColumn("class", F.xxhash64("pages", "total", "d1", "d2"))
-    outermost = F.max(F.when((F.col("pages") == F.col("n")) & (F.col("total") == F.col("n")), F.col("class")))
-    return stored(
-        classed.groupBy("host").agg(
-            F.collect_list(F.struct("token", "class")).alias("template"), outermost.alias("outer")
-        ).select(F.col("host").alias("of_host"), "template", "outer"),
-        "templates",
-    )
+    # Equal sums: an equivalence class.  The outermost one has each of its tokens once on the pages it is on, and the most tokens
+    # on the most pages.
+    classed = stored(frequent.select("host", "token", "pages", "total", F.xxhash64("pages", "total", "d1", "d2").alias("class")), "classes")
+    weighed = classed.filter("pages = total").groupBy("host", "class").agg((F.count(F.lit(1)) * F.max("pages")).alias("weight"))
+    outermost = weighed.groupBy(F.col("host").alias("o_host")).agg(F.max(F.struct("weight", "class"))["class"].alias("outer"))
+    lists = classed.groupBy(F.col("host").alias("of_host")).agg(F.collect_list(F.struct("token", "class")).alias("template"))
+    return stored(lists.join(outermost, F.col("of_host") == F.col("o_host"), "left").select("of_host", "template", "outer"), "templates")
 
 
 def _with_template(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -339,25 +350,20 @@ def _with_template(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def valid_templates(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """The templates without classes that are out of order or out of place on some page, and with their slots of links."""
+    """The templates without classes that are out of order or out of place on more than 1 - ``SUPPORT`` of their pages, and with
+    their slots of links."""
     raw = (
         _with_template(pages, found)
         .select("html", "host", "page", "template", "outer")
-        .mapInArrow(_checked, "host string, kind int, key long, a long, b long, c long, d long")
+        .mapInArrow(_checked, "host string, kind int, key long, order long, place long, n long, linked long")
     )
     checks = stored(
-        raw.groupBy("host", "kind", "key").agg(
-            F.min("a").alias("low"),
-            F.max("b").alias("high"),
-            F.min("c").alias("low_place"),
-            F.max("d").alias("high_place"),
-            F.sum(F.when(F.col("kind") == 1, F.col("a"))).alias("chars"),
-            F.sum(F.when(F.col("kind") == 1, F.col("b"))).alias("linked"),
-        ),
-        "template-checks",
+        raw.groupBy("host", "kind", "key", "order", "place").agg(F.sum("n").alias("n"), F.sum("linked").alias("linked")), "template-checks"
     )
-    broken = checks.filter("kind = 0 and (low <> high or low_place <> high_place)").groupBy("host").agg(F.collect_list("key").alias("broken"))
-    links = checks.filter((F.col("kind") == 1) & (F.col("linked") > LINKED * F.col("chars"))).groupBy("host").agg(F.collect_list("key").alias("linked"))
+    # The share of the pages with a class on which it has its most common order and place.
+    usual = checks.filter("kind = 0").groupBy("host", "key").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    broken = usual.filter(F.col("most") < SUPPORT * F.col("n")).groupBy("host").agg(F.collect_list("key").alias("broken"))
+    links = checks.filter((F.col("kind") == 1) & (F.col("linked") > LINKED * F.col("n"))).groupBy("host").agg(F.collect_list("key").alias("linked"))
     sides = broken.withColumnRenamed("host", "b_host"), links.withColumnRenamed("host", "l_host")
     joined = found.join(sides[0], F.col("of_host") == F.col("b_host"), "left").join(sides[1], F.col("of_host") == F.col("l_host"), "left")
     wrong = F.coalesce("broken", F.array().cast("array<bigint>"))
