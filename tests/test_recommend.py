@@ -8,6 +8,7 @@ from micro import micro_tables, values
 from pyspark.sql import functions as F
 
 from tidecrew.operators import recommend, similar, training
+from tidecrew.operators.boosted import Settings
 
 
 def brute_force(users, products, scores, bought, boosts, n=10):
@@ -186,7 +187,7 @@ def test_similar_users_match_cosine(spark):
 
 def test_model_is_stored_and_repeatable(spark, small, tmp_path):
     frame = training.model_frame(small)
-    model = training.rating_model(frame, trees=5)
+    model = training.rating_model(frame, Settings(rounds=2, depth=3))
     training.save_model(model, training.model_metadata(small), str(tmp_path))
     loaded, metadata = training.load_model(spark, str(tmp_path))
     assert metadata.first()["num_classes"] == 5
@@ -237,10 +238,10 @@ def test_model_losses_by_side_and_number_of_bands(spark, small):
     rows = {r.side: (r.ratings, r.mlogloss, r.accuracy) for r in training.rating_losses(judged).collect()}
     assert rows == {"test": (2, 0.693147, 0.5), "train": (1, 34.538776, 0.0)}
     frame = training.model_frame(small, bands=64)
-    model = training.choose_trees(frame, (1, 3), bands=64)
+    model = training.rating_model(frame, Settings(rounds=3, depth=3))
     losses = {r.side: r.mlogloss for r in training.model_losses(model, frame).collect()}
-    assert losses["test"] <= {
-        r.side: r.mlogloss for r in training.model_losses(training.rating_model(frame, 1, bands=64), frame).collect()
-    }["test"]
+    best = min(model.history, key=lambda h: h[2])
+    assert len(model.trees) == best[0] and losses["test"] == pytest.approx(best[2], abs=1e-6)
+    assert losses["train"] == pytest.approx(best[1], abs=1e-6)
     scores = training.model_scores(small, model, training.stored_ratings(training.model_metadata(small)), bands=64)
     assert scores.select("user_band").distinct().count() == 64

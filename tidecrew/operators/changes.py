@@ -17,6 +17,7 @@ from tidecrew.plans.keyed import (
     keyed_update,
     last_request,
     numbered_after,
+    with_standing,
     with_winner,
 )
 from tidecrew.plans.rationing import ration
@@ -25,6 +26,10 @@ from tidecrew.sources.catalog import Tables
 from tidecrew.sources.mapping import AS_OF
 
 
+# Fixed value: the answer to a withdrawal that exceeds the stock.
+REFUSED = "Insufficient quantity"
+
+
 def _any_blank(*columns: str) -> Column:
     blank = F.lit(False)
     for name in columns:
@@ -149,9 +154,8 @@ def award_badges(t: Tables, requests: DataFrame, as_of: str = AS_OF) -> Change:
     done = t.drives.filter(F.col("status") == "Completed").select(
         F.col("id").alias("event_id"), F.col("organiser_id").alias("owner")
     )
-    rows = flag_existing(requests, t.volunteer_badges, pair, "awarded").join(done, "event_id", "left")
     stranger = F.col("owner").isNull() | F.col("organiser_id").isNull() | (F.col("owner") != F.col("organiser_id"))
-    rows = with_winner(rows, pair, ~missing & ~F.col("awarded") & ~stranger)
+    rows = with_standing(requests.join(done, "event_id", "left"), t.volunteer_badges, pair, ~missing & ~stranger, "awarded")
     reason = first_failure(
         (missing, "Missing required data"),
         (F.col("awarded") | (F.col("winner") < F.col("request_id")), "Badge already awarded"),
@@ -493,7 +497,7 @@ def decrement_stock(t: Tables, requests: DataFrame) -> Change:
     served = ration(lines, stock).select(F.col("unit").alias("request_id"), "served")
     verdicts = (
         requests.join(served, "request_id", "left")
-        .withColumn("reason", F.when(~F.col("served"), "Insufficient quantity"))
+        .withColumn("reason", F.when(~F.col("served"), REFUSED))
         .drop("served")
     )
     taken = (

@@ -153,7 +153,7 @@ def recent_activities(t: Tables, as_of: str = AS_OF, days: int = RECENT_DAYS, n:
     )
 
 
-def user_activity(t: Tables, ordered: bool = True) -> DataFrame:
+def user_activity(t: Tables, ordered: bool = False) -> DataFrame:
     """Users with the drives they organise or joined, newest users first."""
     organised = t.drives.groupBy(F.col("organiser_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     joined = t.drive_volunteers.groupBy(F.col("volunteer_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
@@ -164,7 +164,7 @@ def user_activity(t: Tables, ordered: bool = True) -> DataFrame:
     return sorted_if(users, ordered, F.desc("created_at"), "id")
 
 
-def drive_overview(t: Tables, ordered: bool = True) -> DataFrame:
+def drive_overview(t: Tables, ordered: bool = False) -> DataFrame:
     """Every drive with organiser and head count; upcoming first, then active, completed, others."""
     rank = (
         F.when(F.col("status") == "Upcoming", 1)
@@ -290,7 +290,7 @@ def top_organizers(t: Tables, n: int = TOP) -> DataFrame:
     )
 
 
-def completed_buyers(t: Tables, ordered: bool = True) -> DataFrame:
+def completed_buyers(t: Tables, ordered: bool = False) -> DataFrame:
     """Completed purchases with their buyers, newest first."""
     buyers = t.users.select(
         F.col("id").alias("buyer_id"),

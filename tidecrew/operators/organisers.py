@@ -252,14 +252,16 @@ def drive_volunteer_names(t: Tables) -> DataFrame:
     Numbered rows keep this shape for three volunteers and for three million; :func:`volunteer_name_list` gives the
     text list of one drive.
     """
-    named = t.drive_volunteers.join(_people(t, "volunteer_id", username="volunteer_name"), "volunteer_id").select(
+    drives = completed(t).filter(F.col("organiser_id").isNotNull())
+    joined = t.drive_volunteers.select("event_id", "volunteer_id").join(
+        drives.select(F.col("id").alias("event_id")), "event_id", "left_semi"
+    )
+    named = joined.join(_people(t, "volunteer_id", username="volunteer_name"), "volunteer_id").select(
         "event_id", "volunteer_id", "volunteer_name"
     )
     names = sorted_positions(named, ["event_id"], [F.col("volunteer_name"), F.col("volunteer_id")], "position")
     return (
-        completed(t)
-        .filter(F.col("organiser_id").isNotNull())
-        .join(names, F.col("id") == F.col("event_id"), "left")
+        drives.join(names, F.col("id") == F.col("event_id"), "left")
         .select("organiser_id", "id", "event_name", "event_date", "status", "position", "volunteer_name")
     )
 
@@ -386,11 +388,15 @@ def organiser_products(t: Tables) -> DataFrame:
     )
 
 
+def _named_cells(t: Tables) -> DataFrame:
+    """(_lat, _lon, display_name): one name for coordinates that are equal to four decimals, the first of several."""
+    at = [F.round(c, 4).alias(name) for c, name in (("latitude", "_lat"), ("longitude", "_lon"))]
+    return t.places.groupBy(*at).agg(F.min("display_name").alias("display_name"))
+
+
 def with_place(t: Tables, rows: DataFrame, fallback: str) -> DataFrame:
     """Add ``location``: the stored place name at the row's coordinates."""
-    places = t.places.select(
-        F.round("latitude", 4).alias("_lat"), F.round("longitude", 4).alias("_lon"), "display_name"
-    )
+    places = _named_cells(t)
     at = (F.round(F.col("latitude"), 4) == F.col("_lat")) & (F.round(F.col("longitude"), 4) == F.col("_lon"))
     return rows.join(places, at, "left").withColumn("location", F.coalesce("display_name", F.lit(fallback)))
 
@@ -398,9 +404,7 @@ def with_place(t: Tables, rows: DataFrame, fallback: str) -> DataFrame:
 def named_location(t: Tables, rows: DataFrame) -> DataFrame:
     """Replace a 'lat,lon' location by its place name and an empty one by a fallback; keep other texts."""
     given = F.col("location")
-    places = t.places.select(
-        F.round("latitude", 4).alias("_lat"), F.round("longitude", 4).alias("_lon"), "display_name"
-    )
+    places = _named_cells(t)
     at = (F.round(text.latitude(given), 4) == F.col("_lat")) & (F.round(text.longitude(given), 4) == F.col("_lon"))
     name = (
         F.when(text.is_blank(given), text.NO_LOCATION)

@@ -1,16 +1,18 @@
 """Collaborative filtering for one user or a cohort: who buys alike, and what they bought.
 
 The work for one user is linear in the purchases, that for a cohort in the cohort's purchases times the buyers of what
-it bought.  Comparing all users with each other is not offered: it would write a row per pair of buyers of every product.
+it bought.  For all users at once see :mod:`tidecrew.operators.closest`.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecrew.operators.recommend import SHORT_LIST
-from tidecrew.plans.durable import cut
+from tidecrew.plans.durable import cut, kept, shared_dir
+from tidecrew.plans.running import dense_index
 from tidecrew.sources.catalog import Tables
 
 # Fixed value: neighbours looked at, the user included.
@@ -121,15 +123,19 @@ def similar_users_of(t: Tables, cohort: DataFrame, k: int = NEIGHBOURS) -> DataF
     )
 
 
-def cf_recommendations_of(t: Tables, cohort: DataFrame, n: int = SHORT_LIST) -> DataFrame:
-    """:func:`cf_recommendations` for every user of ``cohort`` (user_id)."""
+def cf_recommendations_of(t: Tables, cohort: DataFrame, n: int = SHORT_LIST, alike: DataFrame | None = None) -> DataFrame:
+    """:func:`cf_recommendations` for every user of ``cohort`` (user_id).
+
+    ``alike`` (target, user_id) are their similar users, if these are known already.
+    """
     asked = cut(cohort.select(F.col("user_id").alias("target")).distinct())
     own = cut(
         t.purchases.join(asked, F.col("user_id") == F.col("target"), "left_semi")
         .select(F.col("user_id").alias("target"), "product_id")
         .distinct()
     )
-    alike = similar_users_of(t, cohort).filter(F.col("user_id") != F.col("target")).select("target", "user_id")
+    alike = similar_users_of(t, cohort) if alike is None else alike.join(asked, "target", "left_semi")
+    alike = alike.filter(F.col("user_id") != F.col("target")).select("target", "user_id")
     approved = t.products.filter(F.col("status") == "Approved").select(F.col("id").alias("product_id"), "created_at")
     best = Window.partitionBy("target").orderBy(F.desc("weight"), "product_id")
     personal = (
@@ -170,3 +176,33 @@ def cf_recommendations_of(t: Tables, cohort: DataFrame, n: int = SHORT_LIST) ->
     return offers.unionByName(
         everybody(empty, newest).select("target", F.lit("newest").alias("type"), "product_id", "weight")
     )
+
+
+def factor_model(t: Tables, rank: int = 16, rounds: int = 10, seed: int = 42) -> ALSModel:
+    """Factors of users and products whose products approximate how often a user bought a product, by alternating least squares."""
+    counts = t.purchases.groupBy("user_id", "product_id").agg(F.count(F.lit(1)).cast("float").alias("n"))
+    # The learner takes ids of 32 bits; numbers by order stand for the users and products.
+    users = dense_index(counts, "user_id", name="user")
+    products = dense_index(counts, "product_id", name="product")
+    coded = counts.join(users, "user_id").join(products, "product_id").select(F.col("user").cast("int"), F.col("product").cast("int"), "n")
+    shared_dir(t.spark)
+    learner = ALS(
+        userCol="user", itemCol="product", ratingCol="n", rank=rank, maxIter=rounds, regParam=0.05, implicitPrefs=True,
+        alpha=10.0, seed=seed, checkpointInterval=5,
+    )
+    return learner.fit(kept(coded, "ratings"))
+
+
+def factor_recommendations(t: Tables, n: int = SHORT_LIST, rank: int = 16, rounds: int = 10) -> DataFrame:
+    """(user_id, position, product_id, score): for every buyer the ``n`` products of highest score, bought ones among them.
+
+    The alternative to similar users.  Blocks of user factors meet blocks of product factors, and a block keeps the best few of
+    every user.
+    """
+    model = factor_model(t, rank, rounds)
+    bought = t.purchases.select("user_id", "product_id")
+    users = dense_index(bought, "user_id", name="user")
+    products = dense_index(bought, "product_id", name="product")
+    best = model.recommendForAllUsers(n).select("user", F.posexplode("recommendations").alias("place", "offer"))
+    rows = best.select(F.col("user").cast("long").alias("user"), (F.col("place") + 1).alias("position"), F.col("offer.product").cast("long").alias("product"), F.col("offer.rating").cast("double").alias("score"))
+    return rows.join(users, "user").join(products, "product").select("user_id", "position", "product_id", "score")

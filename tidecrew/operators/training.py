@@ -4,32 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidecrew.operators import boosted
+from tidecrew.operators.boosted import Boosted, Settings
 from tidecrew.plans.combine import spread_out
 from tidecrew.plans.durable import cut
 from tidecrew.plans.running import dense_index, running_totals, spread
 from tidecrew.sources.catalog import Tables
 from tidecrew.sources.mapping import AS_OF
 
-# Bins, activity limits, split, tree settings, serving default and serving price bands.
+# Bins, activity limits, split, serving default and serving price bands.
 PRICE_BINS = 5
 MIN_RATINGS = 3
 MIN_ACTIVE_USERS = 5
 TEST_PARTS = 5
 SEED = 42
-TREE_DEPTH, TREES, ROW_SHARE = 6, 100, 0.8
 SERVING_DAYS = 30
 SERVING_BANDS = (100, 500, 1000, 5000)
 SERVING_DEFAULT_BAND = 2
 
-# A tree over a numeric code tells at most as many ranges of it apart as the learner has bins, so users enter as the
-# range their code falls in.  Default number of ranges and bins; every job below takes another as ``bands``.
+# Users enter the model as the range their code falls in, since products are scored once per range rather than per user.
+# Default number of ranges; every job below takes another as ``bands``.
 USER_BANDS = 32
 # Smallest probability of a rating that the log loss takes into account.
 LEAST_SHARE = 1e-15
@@ -180,22 +177,19 @@ def model_frame(t: Tables, bands: int = USER_BANDS) -> DataFrame:
     )
 
 
-def rating_model(frame: DataFrame, trees: int = TREES, seed: int = SEED, bands: int = USER_BANDS) -> PipelineModel:
-    """A forest over the training side of the split that gives a probability per rating."""
-    forest = RandomForestClassifier(
-        featuresCol="features",
-        labelCol="label",
-        maxDepth=TREE_DEPTH,
-        numTrees=trees,
-        subsamplingRate=ROW_SHARE,
-        maxBins=bands,
-        seed=seed,
-    )
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    # The learner reads its input several times over, so it gets a stored table rather than a long plan.
-    side = frame.filter(~is_test(F.col("purchase_id"), seed))
-    train = cut(spread_out(side, "purchase_id").select("label", *FEATURES))
-    return Pipeline(stages=[assembler, forest]).fit(train)
+def rating_model(frame: DataFrame, settings: Settings = Settings(seed=SEED)) -> Boosted:
+    """Boosted trees over the training side of the split that give a probability per rating; the test side ends the growing."""
+    classes = frame.agg(F.coalesce(F.max("label") + 1, F.lit(0))).first()[0]
+    test = is_test(F.col("purchase_id"), settings.seed)
+    return boosted.fitted(frame, "purchase_id", "label", test, FEATURES, int(classes), settings)
+
+
+def root_gains(frame: DataFrame) -> DataFrame:
+    """The gain of the best first cut of every feature for every class, over all rated purchases."""
+    classes = frame.agg(F.coalesce(F.max("label") + 1, F.lit(0))).first()[0]
+    found = boosted.root_gains(frame, "purchase_id", "label", FEATURES, int(classes))
+    rows = frame.sparkSession.createDataFrame(found, "label int, feature string, threshold long, gain double")
+    return rows.withColumn("gain", F.round("gain", 4))
 
 
 def with_side(rows: DataFrame, seed: int = SEED) -> DataFrame:
@@ -218,10 +212,9 @@ def rating_losses(judged: DataFrame) -> DataFrame:
     )
 
 
-def model_losses(model: PipelineModel, frame: DataFrame, seed: int = SEED) -> DataFrame:
+def model_losses(model: Boosted, frame: DataFrame, seed: int = SEED) -> DataFrame:
     """:func:`rating_losses` of a model."""
-    scored = model.transform(spread_out(frame, "purchase_id"))
-    return rating_losses(with_side(scored.withColumn("shares", vector_to_array("probability")), seed))
+    return rating_losses(with_side(boosted.with_shares(model, spread_out(frame, "purchase_id")), seed))
 
 
 def prior_losses(t: Tables, seed: int = SEED) -> DataFrame:
@@ -236,23 +229,10 @@ def prior_losses(t: Tables, seed: int = SEED) -> DataFrame:
     return rating_losses(sides.join(labels, "rating").withColumn("shares", shares))
 
 
-def choose_trees(frame: DataFrame, counts: Sequence[int], seed: int = SEED, bands: int = USER_BANDS) -> PipelineModel:
-    """The forest among several tree counts that loses least on the test side; the smaller of two equal ones."""
-    frame = cut(frame)
-    tried = []
-    for trees in sorted(counts):
-        model = rating_model(frame, trees, seed, bands)
-        loss = model_losses(model, frame, seed).filter(F.col("side") == "test").first()
-        tried.append((loss["mlogloss"] if loss else 0.0, trees, model))
-    return min(tried, key=lambda one: one[:2])[2]
-
-
-def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """Share of each feature in the model's splits, largest first."""
-    shares = [float(x) for x in model.stages[-1].featureImportances.toArray()]
-    return spark.createDataFrame(
-        list(zip(FEATURES, shares)), "feature string, importance double"
-    ).orderBy(F.desc("importance"), "feature")
+def feature_importance(spark: SparkSession, model: Boosted) -> DataFrame:
+    """The mean gain of each feature's splits, largest first; a feature without any is left out."""
+    gains = sorted(boosted.gains_of(model).items())
+    return spark.createDataFrame(gains, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def model_metadata(t: Tables, as_of: str = AS_OF) -> DataFrame:
@@ -272,15 +252,25 @@ def model_metadata(t: Tables, as_of: str = AS_OF) -> DataFrame:
     )
 
 
-def save_model(model: PipelineModel, metadata: DataFrame, path: str) -> None:
+def save_model(model: Boosted, metadata: DataFrame, path: str) -> None:
     """Store a model and its metadata side by side."""
-    model.write().overwrite().save(f"{path}/model")
+    boosted.save(model, metadata.sparkSession, f"{path}/model")
     metadata.write.mode("overwrite").parquet(f"{path}/metadata")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
+def load_model(spark: SparkSession, path: str) -> tuple[Boosted, DataFrame]:
     """A stored model and its metadata."""
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/metadata")
+    return boosted.load(spark, f"{path}/model"), spark.read.parquet(f"{path}/metadata")
+
+
+def score_sums(model: Boosted, frame: DataFrame, ratings: Sequence[int]) -> DataFrame:
+    """Rated purchases, their expected ratings in millionths added up, and the probabilities in thousandths added up."""
+    scored = boosted.with_shares(model, frame)
+    whole = F.round(mean_rating(F.col("shares"), ratings) * 1_000_000).cast("long")
+    total = F.aggregate("shares", F.lit(0.0), lambda s, x: s + x)
+    return scored.agg(
+        F.count(F.lit(1)).alias("ratings"), F.sum(whole).alias("expected"), F.sum(F.round(total * 1000).cast("long")).alias("shares")
+    )
 
 
 def serving_features(t: Tables, days: int = SERVING_DAYS) -> DataFrame:
@@ -311,11 +301,6 @@ def serving_features(t: Tables, days: int = SERVING_DAYS) -> DataFrame:
     )
 
 
-def expected_rating(probability: Column, ratings: Sequence[int]) -> Column:
-    """Mean rating under the class probabilities."""
-    return mean_rating(vector_to_array(probability), ratings)
-
-
 def mean_rating(shares: Column, ratings: Sequence[int]) -> Column:
     """Mean of the ratings weighted by an array of their probabilities."""
     weighted = F.zip_with(shares, F.array(*[F.lit(float(r)) for r in ratings]), lambda p, r: p * r)
@@ -337,7 +322,7 @@ def product_shares(t: Tables) -> DataFrame:
     return counts.select("product_id", F.round(mean_rating(shares, values), 6).alias("expected"))
 
 
-def model_scores(t: Tables, model: PipelineModel, ratings: Sequence[int], bands: int = USER_BANDS) -> DataFrame:
+def model_scores(t: Tables, model: Boosted, ratings: Sequence[int], bands: int = USER_BANDS) -> DataFrame:
     """Expected rating of every recommendable product for every user band.
 
     The model sees a user only through the band, so this scores all pairs of user and product there are, in
@@ -345,11 +330,11 @@ def model_scores(t: Tables, model: PipelineModel, ratings: Sequence[int], bands:
     """
     every_band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("user_band")
     rows = spread_out(serving_features(t), "product_id").select("*", every_band)
-    return model.transform(rows).select(
+    return boosted.with_shares(model, rows).select(
         F.col("user_band").cast("bigint").alias("user_band"),
         "product_id",
         "category",
-        expected_rating(F.col("probability"), ratings).alias("base"),
+        mean_rating(F.col("shares"), ratings).alias("base"),
     )
 
 

@@ -22,8 +22,17 @@ STATEMENTS = {
         from events where event_type = 'purchase' group by 1, date_trunc('day', ts)
         having date_trunc('day', ts) + interval 1 day
                <= (select max(ts) - interval 1 hour from events where event_type = 'purchase')""",
+    "corrected_donations": """
+        select strftime(ts, '%Y-%m-%d') as day, count(*) as donations,
+               cast(sum(cast(value as decimal(10,2))) as double) as amount, cast(0 as bigint) as late_donations
+        from events where event_type = 'purchase' group by 1, date_trunc('day', ts)
+        having date_trunc('day', ts) + interval 1 day
+               <= (select max(ts) - interval 1 hour from events where event_type = 'purchase')""",
     "first_join": "select distinct user_id, event_type from events",
     "stock_ledger": CHANGES["decrement_stock"],
+    **{f"{name}_parts": CHANGES[name] for name in ("update_users", "review_products", "upsert_by_key", "record_work")},
+    "decrement_stock_parts": CHANGES["decrement_stock_table"],
+    **{f"{name}_bucketed": CHANGES[name] for name in ("register_users", "join_drives")},
     "append_rows": CHANGES["record_donations_table"],
     "export_json": oracle("""
         select '{"id":' || d.id || ',"donor_name":"' || d.donor_name || '","amount":' || cast(d.amount as double)

@@ -2,6 +2,7 @@
 
 from tidecrew.oracle.mapping import oracle
 from tidecrew.oracle.organisers import day, ts
+from tidecrew.sources.requests import request_sql
 
 IMAGE = """case when {p}.image_path is null then '/static/default-product.jpg'
                 else '/static/uploads/' || {p}.image_path end as image_url"""
@@ -68,6 +69,19 @@ def recommended(where: str, extra_score: str, keep: str) -> str:
     )
 
 
+# Every term of a table against every product.
+TERM_TABLE = {
+    "search_terms": request_sql("search_terms"),
+    "wanted": r"select distinct lower(regexp_replace(coalesce(term, ''), '^\s+|\s+$', '', 'g')) as term from search_terms",
+    "listing": search(),
+    "hits": """
+        select w.term, l.* from listing l, wanted w
+        where w.term = '' or lower(l.name) like '%' || w.term || '%' or lower(l.description) like '%' || w.term || '%'
+              or lower(l.category) like '%' || w.term || '%'""",
+    "means": "select term, sum(price) as total, count(price) as n from hits group by term",
+}
+
+
 PURCHASE_VIEW = f"""
     select ph.id, ph.user_id, ph.product_id, p.name as product_name, ph.quantity, cast(p.price as double) as price,
            case when x.pct > 0 then {cents('p.price', 'x.pct')} end as discounted_price,
@@ -147,6 +161,17 @@ STATEMENTS = {
     "product_search_term": oracle(f"select * replace (cast(price as double) as price) from ({search(TERM)})"),
     "product_search_wildcards": oracle(f"select * replace (cast(price as double) as price) from ({search('b_lt%')})"),
     "product_search_backslash": oracle(f"select * replace (cast(price as double) as price) from ({search(BACKSLASH)})"),
+    "search_table": oracle("select term, id, name, purchase_count from hits", **TERM_TABLE),
+    "search_table_recommendations": oracle("""
+        select term, row_number() over (partition by term order by score desc, id desc) as position, id, name,
+               cast(price as double) as price, purchase_count, score
+        from (select h.*, cast(least(purchase_count, 5) + case when abs(coalesce(price, 0) * n - total) * 5 <= total then 2 else 0 end
+                     + case when quantity > 0 then 1 else 0 end
+                     + case when h.term <> '' and contains(lower(name), h.term) then 3 else 0 end
+                     + case when h.term <> '' and contains(lower(description), h.term) then 2 else 0 end
+                     + case when h.term <> '' and contains(lower(category), h.term) then 1 else 0 end as bigint) as score
+              from hits h join means m on m.term = h.term where h.term = '' or description is not null)
+        qualify position <= 5""", **TERM_TABLE),
     "search_recommendations": recommended("", "", "true"),
     "search_recommendations_term": recommended(TERM, TERM_SCORE, "description is not null"),
 }

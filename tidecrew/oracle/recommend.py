@@ -92,7 +92,7 @@ PRIOR = {
         from sides group by 1""",
 }
 
-# A cohort is compared pair by pair: users 50, 100, ... against every buyer.
+# A cohort is compared pair by pair: users 50, 100, ... against every buyer; likewise all users, without that condition.
 COHORT = {
     "amounts": "select user_id, product_id, count(*) as n from purchases group by 1, 2",
     "norms": "select user_id, cast(sum(n * n) as bigint) as norm from amounts group by 1",
@@ -130,6 +130,12 @@ COHORT_OFFERS = {
 }
 
 
+def of_everybody(parts: dict[str, str]) -> dict[str, str]:
+    """The expressions of a cohort for all users."""
+    whole = {name: text.replace("a.user_id % 50 = 0", "true").replace("user_id % 50 = 0", "true") for name, text in parts.items()}
+    return {name: text.replace("id % 50 = 0", "true") for name, text in whole.items()}
+
+
 def ranked(body: str, **more: str) -> str:
     return oracle(
         body,
@@ -163,6 +169,43 @@ SIMILAR = """
     group by 1 order by user_id <> (select user_id from busiest), closeness desc, user_id limit 5"""
 BUSIEST = "select user_id from purchases group by 1 order by count(*) desc, 1 limit 1"
 
+# The best first cut of every feature: all classes are equally likely before the first round.
+ROOT = {
+    "coded": """
+        select r.purchase_id, dense_rank() over (order by r.rating) - 1 as label, u.band as user_band,
+               dense_rank() over (order by r.product_id) - 1 as product_code,
+               dense_rank() over (order by r.category) - 1 as category_code,
+               greatest(len(list_filter(edges, lambda e: e < cast(r.price * 100 as bigint) * 5)) - 1, 0) as price_band,
+               floor(epoch(timestamp '2001-07-15 00:00:00' - r.purchase_date) / 86400) as days_since_purchase
+        from training r join (select user_id, ((row_number() over (order by user_id) - 1) * 32) // (count(*) over ()) as band
+                              from (select distinct user_id from training)) u using (user_id), edges""",
+    "long": """
+        select label, feature, value::bigint as value from coded
+        unpivot (value for feature in (user_band, product_code, category_code, price_band, days_since_purchase))""",
+    "valued": """
+        select feature, value, count(*) as n, count(*) over (partition by feature) as different,
+               sum(count(*)) over (partition by feature) as total,
+               sum(count(*)) over (partition by feature order by value) as up_to
+        from long group by feature, value""",
+    "bins": """
+        select feature, value, min(value) over (partition by feature, case when different <= 256 then value
+                                                else ((up_to - n) * 256) // total end) as least from valued""",
+    "amounts": """
+        select feature, least, k, count(*) as n, count_if(label = k) as own
+        from long join bins using (feature, value), (select distinct label as k from coded) group by feature, least, k""",
+    "derived": """
+        select feature, least, k, ((n - own) * round(16777216 / many) + own * round(16777216 / many - 16777216)) / 16777216.0::double as g,
+               n * round(16777216 * 2.0::double / many * (1 - 1.0::double / many)) / 16777216.0::double as h
+        from amounts, (select count(distinct label)::double as many from coded)""",
+    "sides": """
+        select feature, least as threshold, k,
+               coalesce(sum(g) over (partition by feature, k order by least rows between unbounded preceding and 1 preceding), 0) as lg,
+               coalesce(sum(h) over (partition by feature, k order by least rows between unbounded preceding and 1 preceding), 0) as lh,
+               sum(g) over (partition by feature, k order by least rows between current row and unbounded following) as rg,
+               sum(h) over (partition by feature, k order by least rows between current row and unbounded following) as rh
+        from derived""",
+}
+
 STATEMENTS = {
     "training_set": ranked(f"""
         select purchase_id, user_id, product_id, rating, category, cast(price as double) as price,
@@ -211,6 +254,13 @@ STATEMENTS = {
                round(avg(case when rating = (select rating from shares order by share desc, rating limit 1)
                               then 1.0::double else 0.0::double end), 6) as accuracy
         from sides join shares using (rating) group by 1""", **PRIOR),
+    "root_gains": ranked("""
+        select k as label, feature, threshold, round(gain, 4) as gain
+        from (select *, lg * lg / (lh + 1) + rg * rg / (rh + 1) - (lg + rg) * (lg + rg) / (lh + rh + 1) as gain
+              from sides where lh >= 3 and rh >= 3)
+        where gain > 1e-6 qualify row_number() over (partition by k, feature order by gain desc, threshold) = 1""", **ROOT),
+    "model_store": ranked("""
+        select count(*) as ratings, cast(count(*) * 1000 as bigint) as shares, cast(0 as bigint) as difference from training"""),
     "serving_features": ranked("""
         select p.id as product_id, p.category, c.code as product_code, coalesce(g.code, 0) as category_code,
                cast(case when p.price is null then 2 when p.price < 100 then 0 when p.price < 500 then 1
@@ -233,6 +283,13 @@ STATEMENTS = {
         select id, name, category, cast(price as double) as price, {day('created_at')} as created_at
         from (select * from products where status = 'Approved' order by created_at desc, id limit 5)"""),
     "recommendations": ranked(ALL),
+    "similar_users_all": oracle("select * from alike", **of_everybody(COHORT)),
+    "cf_recommendations_all": oracle(
+        """
+        select * from offers union all
+        select target, 'newest', product_id, 0 from cohort, latest where target not in (select target from offers)""",
+        **of_everybody(COHORT_OFFERS),
+    ),
     "similar_users_cohort": oracle("select * from alike", **COHORT),
     "cf_recommendations_cohort": oracle(
         """

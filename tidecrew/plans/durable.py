@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only a local session falls back to a folder of its own."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A session on a single machine that names none, as in tests, gets one of its own; on a cluster that is an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
@@ -30,3 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """An unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back: a cut whose columns are read one by one."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

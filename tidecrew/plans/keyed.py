@@ -62,6 +62,21 @@ def flag_existing(requests: DataFrame, current: DataFrame, keys: Sequence[str],
     )
 
 
+def with_standing(requests: DataFrame, current: DataFrame, keys: Sequence[str], eligible: Column, name: str) -> DataFrame:
+    """:func:`flag_existing` and :func:`with_winner` in one aggregate by the keys.
+
+    A request whose keys exist already never wins, so ``eligible`` need not say so.
+    """
+    asked = requests.select(*keys).distinct()
+    present = current.select(*keys).join(asked, list(keys), "left_semi")
+    entries = requests.select(*keys, F.when(eligible, F.col("request_id")).alias("_r"), F.lit(False).alias("_e")).unionByName(
+        present.select(*keys, F.lit(None).cast(requests.schema["request_id"].dataType).alias("_r"), F.lit(True).alias("_e"))
+    )
+    found = entries.groupBy(*[F.col(k).alias(f"_s_{k}") for k in keys]).agg(F.min("_r").alias("winner"), F.max("_e").alias(name))
+    same = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]
+    return requests.join(found, same).drop(*[f"_s_{k}" for k in keys])
+
+
 def last_request(requests: DataFrame, keys: Sequence[str], order: str = "request_id") -> DataFrame:
     """The request with the highest order per key, as the later of two updates stays.
 

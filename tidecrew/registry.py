@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecrew.functions import pricing
-from tidecrew.operators import changes, impact, marketplace, organisers, recommend, similar, training
+from tidecrew.operators import changes, closest, impact, marketplace, nearest, organisers, recommend, searching, similar, training
+from tidecrew.operators.boosted import Settings
 from tidecrew.oracle import changes as changes_sql
 from tidecrew.oracle import flows as flows_sql
 from tidecrew.oracle import impact as impact_sql
@@ -17,8 +18,9 @@ from tidecrew.oracle import organisers as organisers_sql
 from tidecrew.oracle import recommend as recommend_sql
 from tidecrew.plans.durable import cut, new_folder
 from tidecrew.plans.keyed import upsert_by_key
+from tidecrew.plans.parts import store_parts
 from tidecrew.session import tune
-from tidecrew.sources.catalog import TABLE_NAMES, Tables, row_counts
+from tidecrew.sources.catalog import TABLE_NAMES, Tables, row_counts, store_bucketed
 from tidecrew.sources.mapping import benchmark_tables
 from tidecrew.sources.requests import request_batch, request_stream
 from tidecrew.sources.sinks import append_rows, appended_rows, export_json, plain_types
@@ -76,6 +78,7 @@ ORGANISERS: dict[str, Callable[[Tables], DataFrame]] = {
     "organiser_directory_any_status": organisers.organiser_directory_any_status,
     "organiser_products": organisers.organiser_products,
     "user_locations": organisers.user_locations,
+    "nearest_places": lambda t: nearest.nearest_places(request_batch(t, "reported_points"), request_batch(t, "collection_points")),
     "addresses": organisers.addresses,
     "donation_receipt": organisers.donation_receipt,
     "public_drives": organisers.public_drives,
@@ -106,6 +109,8 @@ MARKETPLACE: dict[str, Callable[[Tables], DataFrame]] = {
     "product_search_term": lambda t: marketplace.product_search(t, " Bolt "),
     "product_search_wildcards": lambda t: marketplace.product_search(t, "b_lt%"),
     "product_search_backslash": lambda t: marketplace.product_search(t, "bolt\\"),
+    "search_table": lambda t: searching.term_matches(t, request_batch(t, "search_terms")).select("term", "id", "name", "purchase_count"),
+    "search_table_recommendations": lambda t: searching.term_recommendations(t, request_batch(t, "search_terms")),
     "search_recommendations": marketplace.search_recommendations,
     "search_recommendations_term": lambda t: marketplace.search_recommendations(t, "bolt"),
 }
@@ -156,6 +161,12 @@ def _cohort(t: Tables) -> DataFrame:
     return t.users.filter(F.col("id") % 50 == 0).select(F.col("id").alias("user_id"))
 
 
+def _offers_for_all(t: Tables) -> DataFrame:
+    t = _settled(t)
+    everybody = t.users.select(F.col("id").alias("user_id"))
+    return similar.cf_recommendations_of(t, everybody, alike=closest.similar_users_of_all(t))
+
+
 def _stored_importance(t: Tables) -> DataFrame:
     """Train, store, load, and report the loaded model's importances."""
     t = _settled(t)
@@ -165,6 +176,18 @@ def _stored_importance(t: Tables) -> DataFrame:
     return training.feature_importance(t.spark, model)
 
 
+def _model_store(t: Tables) -> DataFrame:
+    """Sums over the scores of a model before and after it was stored and loaded."""
+    t = _settled(t)
+    frame, folder = cut(training.model_frame(t)), new_folder(t.spark, "model")
+    model = training.rating_model(frame, Settings(rounds=3))
+    training.save_model(model, training.model_metadata(t), folder)
+    loaded, metadata = training.load_model(t.spark, folder)
+    ratings = training.stored_ratings(metadata)
+    sums = training.score_sums(model, frame, ratings).unionByName(training.score_sums(loaded, frame, ratings))
+    return sums.agg(F.max("ratings").alias("ratings"), F.max("shares").alias("shares"), (F.max("expected") - F.min("expected")).alias("difference"))
+
+
 RECOMMENDER: dict[str, Callable[[Tables], DataFrame]] = {
     "training_set": training.training_set,
     "training_features": training.training_features,
@@ -192,9 +215,14 @@ RECOMMENDER: dict[str, Callable[[Tables], DataFrame]] = {
     "cf_recommendations": lambda t: similar.cf_recommendations(t, similar.busiest_buyer(t)),
     "similar_users_cohort": lambda t: similar.similar_users_of(_settled(t), _cohort(t)),
     "cf_recommendations_cohort": lambda t: similar.cf_recommendations_of(_settled(t), _cohort(t)),
+    "similar_users_all": lambda t: closest.similar_users_of_all(_settled(t)),
+    "cf_recommendations_all": _offers_for_all,
+    "factor_recommendations": lambda t: similar.factor_recommendations(_settled(t)),
     "expected_rating": training.product_shares,
     "prior_losses": training.prior_losses,
+    "root_gains": lambda t: training.root_gains(cut(training.model_frame(_settled(t)))),
     "model_losses": _model_losses,
+    "model_store": _model_store,
     "feature_importance": _stored_importance,
     "model_recommendations": _model_recommendations,
 }
@@ -232,6 +260,29 @@ def _recorded_work(t: Tables) -> DataFrame:
     return changes.record_work(t, request_batch(t, "work_records"))
 
 
+def _by_parts(table: str, key: str, batch: str, batch_key: str, change: Callable[[Tables, DataFrame], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """A change of a table that is stored in parts, of which only those of the batch's keys are written anew."""
+
+    def run(t: Tables) -> DataFrame:
+        requests = cut(request_batch(t, batch))
+        stored = store_parts(getattr(t, table), new_folder(t.spark, table), key)
+        stored.change(requests.select(batch_key), lambda rows: change(t.with_tables(**{table: rows}), requests))
+        return stored.read()
+
+    return run
+
+
+def _bucketed(table: str, keys: tuple[str, ...], change: Callable[..., changes.Change], batch: str) -> Callable[[Tables], DataFrame]:
+    """The verdicts of a change against a table that is stored in buckets of the keys that are checked."""
+
+    def run(t: Tables) -> DataFrame:
+        folder = new_folder(t.spark, table)
+        stored = store_bucketed(getattr(t, table), f"{table}_{folder[-32:]}", keys, folder, buckets=8)
+        return change(t.with_tables(**{table: stored}), request_batch(t, batch)).verdicts
+
+    return run
+
+
 CART_KEYS = ("user_id", "product_id", "quantity")
 
 CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
@@ -278,6 +329,17 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "checkout_stock": lambda t: changes.checkout_carts(t).tables["products"].select("id", "quantity"),
     "decrement_stock": _verdicts(changes.decrement_stock, "stock_requests"),
     "decrement_stock_table": _table(changes.decrement_stock, "stock_requests", "products", "id", "category", "quantity"),
+    "update_users_parts": _by_parts("users", "id", "user_updates", "id", changes.update_users),
+    "review_products_parts": lambda t: _by_parts("products", "id", "product_reviews", "id", changes.review_products)(t).select("id", "status"),
+    "decrement_stock_parts": lambda t: _by_parts(
+        "products", "id", "stock_requests", "product_id", lambda t, requests: changes.decrement_stock(t, requests).tables["products"]
+    )(t).select("id", "category", "quantity"),
+    "upsert_by_key_parts": _by_parts(
+        "cart", "user_id", "cart_upserts", "user_id", lambda t, requests: upsert_by_key(t.cart, requests, ["user_id", "product_id"])
+    ),
+    "record_work_parts": _by_parts("drive_volunteers", "event_id", "work_records", "event_id", changes.record_work),
+    "register_users_bucketed": _bucketed("users", ("email",), changes.register_users, "registrations"),
+    "join_drives_bucketed": _bucketed("drive_volunteers", ("event_id", "volunteer_id"), changes.join_drives, "join_requests"),
     "record_drive_feedback": _verdicts(changes.record_drive_feedback, "drive_feedback_requests"),
     "record_product_feedback": _verdicts(changes.record_product_feedback, "product_feedback_requests"),
     "record_donations": _verdicts(changes.record_donations, "donation_requests"),
@@ -324,6 +386,7 @@ REPORTS.update(STORED)
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "live_impact": jobs.live_impact,
     "donations_by_day": jobs.donations_by_day,
+    "corrected_donations": jobs.corrected_donations,
     "first_join": jobs.first_join,
     "stock_ledger": lambda spark, folder: jobs.stock_ledger(
         request_stream(jobs.event_stream(spark, folder), "stock_requests"), benchmark_tables(spark, folder)
@@ -355,7 +418,7 @@ GAPS: dict[str, tuple[str, ...]] = {
     **dict.fromkeys(
         (
             *("featured_products", "pending_products", "approved_catalog", "approved_catalog_slim", "product_search"),
-            *("product_search_term", "product_search_wildcards", "product_search_backslash", "apply_purchases_stock", "checkout_stock", "decrement_stock_table"),
+            *("product_search_term", "product_search_wildcards", "product_search_backslash", "apply_purchases_stock", "checkout_stock", "decrement_stock_table", "decrement_stock_parts"),
             *("search_recommendations", "search_recommendations_term"),
         ),
         ("quantity",),

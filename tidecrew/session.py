@@ -6,6 +6,8 @@ already made.  Settings that somebody set on purpose are left alone, but for the
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -46,6 +48,8 @@ def local_session(cores: int | str = 8, app: str = "tidecrew") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # A single machine shares its own folders; a cluster names one that all its machines reach.
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     )
     spark = tune(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -145,6 +145,24 @@ REQUESTS: dict[str, str] = {
                cast(value as decimal(10,2)) as amount,
                case when event_id % 17 = 0 then null else event_id % (select count(*) from {supplier}) end as organiser_id
         from {events} where event_type = 'purchase'""",
+    "reported_points": """
+        select event_id as request_id,
+               case when event_id % 41 = 0 then null when event_id % 43 = 0 then cast(95 as double)
+                    else cast(80000 + event_id * 7919 % 60000 as double) / 10000 end as latitude,
+               cast(760000 + event_id * 104729 % 40000 as double) / 10000 as longitude
+        from {events}""",
+    "collection_points": """
+        select cast(80000 + c_custkey * 611953 % 60000 as double) / 10000 as latitude,
+               cast(760000 + c_custkey * 15485863 % 40000 as double) / 10000 as longitude,
+               case when c_custkey % 37 = 0 then null else 'point ' || c_custkey % 900 end as display_name
+        from {customer}""",
+    "search_terms": """
+        select p_partkey as request_id,
+               case p_partkey % 9 when 0 then substr(p_name, 1, 4) when 1 then ' ' || upper(substr(p_name, 2, 3)) || ' '
+                    when 2 then substr(p_name, 1, 2) when 3 then substr(p_name, 1, 2) || '_' || substr(p_name, 4, 2)
+                    when 4 then substr(p_name, 1, 1) || '%' || substr(p_name, 5, 3) when 5 then substr(p_name, 1, 3) || chr(92)
+                    when 6 then substr(p_type, 1, 5) when 7 then '__' end as term
+        from {part} where p_size % 10 = 3""",
 }
 
 _BASE = ("events", "customer", "part", "supplier", "orders")

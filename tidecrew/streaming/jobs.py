@@ -7,13 +7,15 @@ one stopped; without one a run starts afresh.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from tidecrew.operators.changes import decrement_stock
+from tidecrew.operators.changes import REFUSED
 from tidecrew.plans.durable import cut, new_folder
 from tidecrew.sources.catalog import Tables
 
@@ -76,6 +78,45 @@ def donations_by_day(spark: SparkSession, folder: str, out: str | None = None) -
     return spark.read.parquet(f"{out}/days")
 
 
+def corrected_donations(spark: SparkSession, folder: str, out: str | None = None) -> DataFrame:
+    """As :func:`donations_by_day`, but rows that come after their day was closed are added to it.
+
+    Every batch writes its sums by day below a folder of its own, rows of closed days apart from the others, so a repeated batch
+    replaces its rows.  The folder of a batch also holds how far time had come, so a batch reads that of the one before only.
+    """
+    out = out or new_folder(spark, "corrected_donations")
+    seen_by = f"{out}/seen"
+
+    def add(arrived: DataFrame, batch: int) -> None:
+        session = arrived.sparkSession
+        bought = arrived.filter(F.col("event_type") == "purchase")
+        before = session.read.schema("newest timestamp").parquet(f"{seen_by}/batch={batch - 1}") if batch else None
+        newest = before.first()["newest"] if before is not None else None
+        closed = F.lit(newest).cast("timestamp") - F.expr(f"interval {LATENESS}")
+        day = F.window("ts", "1 day")
+        sums = bought.groupBy(day.alias("day")).agg(
+            F.count(F.lit(1)).alias("donations"), F.sum(F.col("value").cast("decimal(10,2)")).alias("amount"), F.max("ts").alias("newest")
+        )
+        late = F.coalesce(F.col("day.end") <= closed, F.lit(False))
+        parts = cut(sums.select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), F.col("day.end").alias("ends"), "donations", "amount", late.alias("late"), "newest"))
+        parts.drop("newest").write.mode("overwrite").parquet(f"{out}/parts/batch={batch}")
+        so_far = parts.agg(F.greatest(F.max("newest"), F.lit(newest).cast("timestamp")).alias("newest"))
+        so_far.coalesce(1).write.mode("overwrite").parquet(f"{seen_by}/batch={batch}")
+
+    _each_batch(event_stream(spark, folder), "append", add, out)
+    parts, seen = spark.read.parquet(f"{out}/parts"), spark.read.parquet(seen_by)
+    closed = seen.agg(F.max("newest") - F.expr(f"interval {LATENESS}")).scalar()
+    return (
+        parts.filter(F.col("ends") <= closed)
+        .groupBy("day")
+        .agg(
+            F.sum("donations").alias("donations"),
+            F.sum("amount").cast("decimal(20,2)").alias("amount"),
+            F.sum(F.when(F.col("late"), F.col("donations")).otherwise(0)).alias("late_donations"),
+        )
+    )
+
+
 def first_of_kind(events: DataFrame) -> DataFrame:
     """The first event of every user and kind.  Repeats are dropped for ever: the state has a row per pair, on disk."""
     return events.dropDuplicates(["user_id", "event_type"])
@@ -89,37 +130,56 @@ def first_join(spark: SparkSession, folder: str, out: str | None = None) -> Data
     return spark.read.parquet(f"{out}/joins")
 
 
-def current_stock(spark: SparkSession, out: str, version: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
-    """The ledger's stock (id, category, quantity) after a version, or now; of the products ``wanted`` (id) if given."""
-    rows = spark.read.parquet(f"{out}/stock")
-    if version is not None:
-        rows = rows.filter(F.col("version") <= version)
-    if wanted is not None:
-        rows = rows.join(wanted, "id", "left_semi")
-    last = F.max_by(F.struct("category", "quantity"), "version").alias("last")
-    return rows.groupBy("id").agg(last).select("id", "last.category", "last.quantity")
+class Withdrawals(StatefulProcessor):
+    """What is left of every product: the state holds one number per product that was asked for or has a stock."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.left = handle.getValueState("left", "quantity long")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N803
+        quantity = initialState["quantity"].iloc[0]
+        if not pd.isna(quantity):
+            self.left.update((int(quantity),))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        # The requests of one product in one batch, which the files of a batch bound.
+        asked = pd.concat(list(rows)).sort_values("request_id", kind="stable")
+        known = self.left.exists()
+        left = int(self.left.get()[0]) if known else 0
+        reasons = []
+        for quantity in asked["quantity"].tolist():
+            fits = known and not pd.isna(quantity) and quantity <= left
+            left -= int(quantity) if fits else 0
+            reasons.append(None if fits else REFUSED)
+        if known:
+            self.left.update((left,))
+        yield asked.assign(reason=pd.Series(reasons, index=asked.index, dtype=object))
+
+    def close(self) -> None:
+        pass
+
+
+def current_stock(spark: SparkSession, out: str) -> DataFrame:
+    """(id, quantity): what the ledger has left of every product with a known stock, read from its state."""
+    state = spark.read.format("statestore").option("stateVarName", "left").load(f"{out}/progress")
+    return state.select(F.col("key.product_id").alias("id"), F.col("value.quantity").alias("quantity"))
 
 
 def stock_ledger(requests: DataFrame, t: Tables, out: str | None = None) -> DataFrame:
     """Stock withdrawals (request_id, product_id, quantity) as they arrive: the verdicts of all batches.
 
-    Batch n reads the stock of its products up to version n and writes those products as version n + 1, so a repeated
-    batch writes the same files again.
+    Batch by batch, the requests of a product are served in the order of their ids; one that exceeds what is left is turned down.  What
+    is left is kept as state by product, so a batch costs what its own requests cost, however many came before.  The stock
+    of the first run's products starts the state.
     """
     spark = t.spark
     out = out or new_folder(spark, "stock_ledger")
-    t.products.select("id", "category", "quantity").write.mode("ignore").parquet(f"{out}/stock/version=0")
-
-    def withdraw(arrived: DataFrame, batch: int) -> None:
-        session = arrived.sparkSession
-        # Stored first: every round of the decision reads the batch again.
-        arrived.write.mode("overwrite").parquet(f"{out}/requests/{batch}")
-        asked = session.read.parquet(f"{out}/requests/{batch}")
-        wanted = asked.select(F.col("product_id").alias("id")).distinct()
-        stock = cut(current_stock(session, out, batch, wanted))
-        change = decrement_stock(t.with_tables(products=stock), asked)
-        change.verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch}")
-        change.tables["products"].write.mode("overwrite").parquet(f"{out}/stock/version={batch + 1}")
-
-    _each_batch(requests, "append", withdraw, out)
-    return spark.read.parquet(f"{out}/verdicts").drop("batch")
+    # The first run's stock: later runs go on from the state.
+    t.products.select(F.col("id").alias("product_id"), "quantity").write.mode("ignore").parquet(f"{out}/first_stock")
+    first = spark.read.parquet(f"{out}/first_stock").groupBy("product_id")
+    schema = T.StructType([*requests.schema.fields, T.StructField("reason", T.StringType())])
+    verdicts = requests.groupBy("product_id").transformWithStateInPandas(
+        Withdrawals(), outputStructType=schema, outputMode="append", timeMode="none", initialState=first
+    )
+    _run(verdicts.writeStream.outputMode("append").format("parquet").option("path", f"{out}/verdicts"), out)
+    return spark.read.schema(schema).parquet(f"{out}/verdicts")
