@@ -66,6 +66,21 @@ def test_one_volunteers_joinable_drives(spark):
     assert rows == [(1, False, 0, "Beach"), (2, True, 1, "Beach")]
 
 
+def test_flags_of_a_cohort_over_several_bitmaps(spark):
+    joined = [9, 16, 32_777, 32_778, 39_999, 70_000]
+    t = micro_tables(
+        spark,
+        users=[{"id": 1, "username": "o"}],
+        drives=[{"id": i, "event_date": date(2001, 8, i)} for i in (1, 2)] + [{"id": 3, "event_date": date(2001, 6, 1)}, {"id": 4, "organiser_id": 5, "event_date": date(2001, 8, 1)}],
+        drive_volunteers=[{"event_id": e, "volunteer_id": v} for e in (2, 3, 4) for v in joined],
+    )
+    cohort = spark.range(8, 40_000).toDF("volunteer_id")
+    rows = organisers.joinable_flags(t, cohort)
+    assert rows.count() == 2 * 39_992
+    assert sorted(values(rows.filter("is_joined"), "id", "volunteer_id")) == [(2, v) for v in joined if v < 40_000]
+    assert organisers.joinable_flags(t, cohort.limit(0)).count() == 0
+
+
 def test_volunteer_names_have_a_numbered_row_each(spark):
     people = [{"id": i, "username": f"v{i:04d}"} for i in range(5000)]
     t = micro_tables(

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from tidecrew.functions import text
 from tidecrew.operators.impact import DRIVE_COLUMNS, completed, plastics_per_drive, zero
-from tidecrew.plans.combine import sorted_if
-from tidecrew.plans.running import sorted_positions
+from tidecrew.plans.combine import broadcast_up_to, sorted_if
+from tidecrew.plans.durable import cut
+from tidecrew.plans.running import dense_index, sorted_positions
 from tidecrew.sources.catalog import Tables
 from tidecrew.sources.mapping import AS_OF
 
 # Badge types from lowest to highest.
 BADGES = ("bronze", "gold", "platinum", "diamond")
+# Places of one bitmap.
+BITS = 32_768
 
 
 def _day(as_of: str) -> Column:
@@ -100,6 +103,31 @@ def joinable_drives_for(t: Tables, volunteer_id: int, as_of: str = AS_OF) -> Dat
     )
 
 
+def joinable_flags(t: Tables, cohort: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """(volunteer_id, id, is_joined): the flag of every joinable drive on the page of every volunteer of ``cohort`` (volunteer_id).
+
+    The volunteers are numbered, and what a drive has of them is a bitmap of ``BITS`` of those numbers, put together in the
+    tasks; the sign-ups themselves are not met with the pages.
+    """
+    numbers = cut(dense_index(cohort.select("volunteer_id").na.drop(), "volunteer_id", name="place"))
+    n = numbers.count()
+    place = F.col("place") + 1
+    joined = t.drive_volunteers.select("event_id", "volunteer_id").join(broadcast_up_to(numbers, 1 << 20), "volunteer_id")
+    maps = joined.groupBy("event_id", F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    )
+    drives = _future(t, as_of).select(F.col("id").alias("event_id"), "organiser_id")
+    known = drives.join(_people(t, "organiser_id"), "organiser_id", "left_semi").select("event_id")
+    buckets = F.sequence(F.lit(1).cast("bigint"), F.lit(-(-n // BITS)).cast("bigint")) if n else F.array().cast("array<bigint>")
+    pages = known.select("event_id", F.explode(buckets).alias("bucket")).join(maps, ["event_id", "bucket"], "left")
+    left = F.least(F.lit(BITS), F.lit(n) - (F.col("bucket") - 1) * BITS)
+    each = pages.select("event_id", "bucket", "bits", F.explode(F.sequence(F.lit(0).cast("bigint"), left - 1)).alias("bit"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    flag = F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1
+    rows = each.select("event_id", ((F.col("bucket") - 1) * BITS + F.col("bit")).alias("place"), F.coalesce(flag, F.lit(False)).alias("is_joined"))
+    return rows.join(broadcast_up_to(numbers, 1 << 20), "place").select("volunteer_id", F.col("event_id").alias("id"), "is_joined")
+
+
 def drive_capacity(t: Tables) -> DataFrame:
     """Whether a drive still takes volunteers."""
     joined = zero(F.col("volunteer_count"))

@@ -142,14 +142,17 @@ def top_recommendations(t: Tables, users: DataFrame, scores: DataFrame, n: int =
     head_size = n + HEAD
     category = F.coalesce("category", F.lit("")).alias("category")
     users = cut(spread_out(users.select("user_id", "user_band"), "user_id"))
-    scored = scores.select("user_band", "product_id", category, "base")
+    # Stored: the list of products, the sampling of the order and the order itself read it.
+    scored = cut(scores.select("user_band", "product_id", category, "base"))
     listed = scored.select("product_id", "category").distinct()
     by_id = sorted_positions(listed, ["category"], [F.col("product_id")], "id_place")
-    places = sorted_positions(
-        scored.join(by_id.select("product_id", "id_place"), "product_id"),
-        ["user_band", "category"],
-        [F.desc("base"), F.col("product_id")],
-        "place",
+    places = cut(
+        sorted_positions(
+            scored.join(by_id.select("product_id", "id_place"), "product_id"),
+            ["user_band", "category"],
+            [F.desc("base"), F.col("product_id")],
+            "place",
+        )
     )
 
     # Stored once: the pairs enter the ranking twice and the tastes three times.

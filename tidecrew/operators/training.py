@@ -33,8 +33,14 @@ LEAST_SHARE = 1e-15
 FEATURES = ("user_band", "product_code", "category_code", "price_band", "days_since_purchase")
 
 
+# Name of a table that holds the training set, where a job has stored it.
+STORED_SET = "stored_training_set"
+
+
 def training_set(t: Tables) -> DataFrame:
     """Rated purchases with product category and price."""
+    if t.has(STORED_SET):
+        return getattr(t, STORED_SET)
     bought = t.purchases.select(F.col("id").alias("purchase_history_id"), "purchase_date")
     listed = t.products.select(F.col("id").alias("product_id"), "category", "price")
     return (

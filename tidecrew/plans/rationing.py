@@ -36,29 +36,31 @@ def ration(lines: DataFrame, stock: DataFrame) -> DataFrame:
     )
     hopeless = state.groupBy("unit").agg(F.max("hopeless").alias("hopeless")).filter("hopeless").select("unit")
     decided = [hopeless.withColumn("served", F.lit(False))]
-    state = cut(state.join(hopeless, "unit", "left_anti").drop("hopeless"))
+    # ``before`` is what was served of the product to earlier units and is out of the table; ``served`` marks lines of the last round.
+    state = cut(state.join(hopeless, "unit", "left_anti").drop("hopeless").withColumn("before", F.lit(0).cast("bigint")))
     undecided = not state.isEmpty()
     while undecided:
         totals = running_totals(
             state,
             ["product_id"],
             "unit",
-            {"sure": F.when(F.col("served"), F.col("quantity")).otherwise(0), "most": F.col("quantity")},
+            {"new": F.when(F.col("served"), F.col("quantity")).otherwise(0), "most": F.col("quantity")},
         )
-        fits = F.col("most") <= F.col("stock")
+        waiting = totals.filter(F.col("served").isNull()).withColumn("sure", F.col("before") + F.col("new")).drop("new", "served")
+        fits = F.col("before") + F.col("most") <= F.col("stock")
         fails = F.col("sure") + F.col("quantity") > F.col("stock")
-        ruled = (
-            totals.filter(F.col("served").isNull())
-            .groupBy("unit")
-            .agg(F.min(fits).alias("fits"), F.max(fails).alias("fails"))
-            .select("unit", F.when(F.col("fits"), True).when(F.col("fails"), False).alias("ruling"))
+        judged = waiting.withColumns({"fits": fits, "fails": fails})
+        ruled = judged.groupBy("unit").agg(F.min("fits").alias("fits"), F.max("fails").alias("fails"))
+        ruling = F.when(F.col("fits"), True).when(F.col("fails"), False)
+        judged = cut(judged.drop("fits", "fails", "most").join(ruled.select("unit", ruling.alias("served")), "unit"))
+        decided.append(judged.filter(F.col("served").isNotNull()).select("unit", "served").distinct())
+        # Lines turned down are out, and those just served only matter where somebody still waits.
+        still = judged.filter(F.col("served").isNull()).select("product_id").distinct()
+        undecided = not still.isEmpty()
+        state = (
+            judged.filter(F.col("served").isNull() | F.col("served"))
+            .withColumn("before", F.col("sure"))
+            .drop("sure")
+            .join(still, "product_id", "left_semi")
         )
-        judged = cut(state.join(ruled, "unit", "left"))
-        new = judged.filter(F.col("ruling").isNotNull())
-        decided.append(new.select("unit", F.col("ruling").alias("served")).distinct())
-        after = judged.withColumn("served", F.coalesce("served", "ruling")).drop("ruling")
-        # Lines turned down are out, and served ones only matter where somebody still waits.
-        waiting = after.filter(F.col("served").isNull()).select("product_id").distinct()
-        undecided = not waiting.isEmpty()
-        state = after.filter(F.col("served").isNull() | F.col("served")).join(waiting, "product_id", "left_semi")
     return reduce(DataFrame.unionByName, decided)

@@ -56,6 +56,9 @@ ORGANISERS: dict[str, Callable[[Tables], DataFrame]] = {
     "organiser_donors": organisers.organiser_donors,
     "joinable_drives": organisers.joinable_drives,
     "joined_drives": organisers.joined_drives,
+    "joinable_flags_cohort": lambda t: organisers.joinable_flags(
+        t, t.users.filter((F.col("role") == "volunteer") & (F.col("id") % 50 == 0)).select(F.col("id").alias("volunteer_id"))
+    ),
     "drive_capacity": organisers.drive_capacity,
     "supplies_list": organisers.supplies_list,
     "supplies_text": lambda t: organisers.supplies_text(organisers.supplies_list(t)),
@@ -116,12 +119,13 @@ MARKETPLACE: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
-def _settled(t: Tables) -> Tables:
-    """Purchases and ratings stored once for the jobs that read them again and again.
+def _settled(t: Tables, rated: bool = False) -> Tables:
+    """Purchases and ratings, and with ``rated`` the training set, stored once for the jobs that read them again and again.
 
-    Over the benchmark tables both are joins; a stored catalogue has them as tables and needs no such step.
+    Over the benchmark tables all are joins; a stored catalogue has the first two as tables and needs no such step.
     """
-    return t.with_tables(purchases=cut(t.purchases), product_feedback=cut(t.product_feedback))
+    t = t.with_tables(purchases=cut(t.purchases), product_feedback=cut(t.product_feedback))
+    return t.with_tables(**{training.STORED_SET: cut(training.training_set(t))}) if rated else t
 
 
 def _one_band(t: Tables) -> DataFrame:
@@ -135,24 +139,24 @@ def _personal_users(t: Tables) -> DataFrame:
 
 
 def _model_recommendations(t: Tables) -> DataFrame:
-    t = _settled(t)
+    t = _settled(t, rated=True)
     model = training.rating_model(training.model_frame(t))
     scores = training.model_scores(t, model, training.stored_ratings(training.model_metadata(t)))
     return recommend.recommendations(t, training.user_bands(t), scores)
 
 
 def _top_recommendations(t: Tables) -> DataFrame:
-    t = _settled(t)
+    t = _settled(t, rated=True)
     return recommend.top_recommendations(t, _personal_users(t), training.mean_scores(t))
 
 
 def _recommendations(t: Tables) -> DataFrame:
-    t = _settled(t)
+    t = _settled(t, rated=True)
     return recommend.recommendations(t, _one_band(t), training.mean_scores(t))
 
 
 def _model_losses(t: Tables) -> DataFrame:
-    frame = cut(training.model_frame(_settled(t)))
+    frame = cut(training.model_frame(_settled(t, rated=True)))
     return training.model_losses(training.rating_model(frame), frame)
 
 
@@ -169,7 +173,7 @@ def _offers_for_all(t: Tables) -> DataFrame:
 
 def _stored_importance(t: Tables) -> DataFrame:
     """Train, store, load, and report the loaded model's importances."""
-    t = _settled(t)
+    t = _settled(t, rated=True)
     folder = new_folder(t.spark, "model")
     training.save_model(training.rating_model(training.model_frame(t)), training.model_metadata(t), folder)
     model, _ = training.load_model(t.spark, folder)
@@ -178,7 +182,7 @@ def _stored_importance(t: Tables) -> DataFrame:
 
 def _model_store(t: Tables) -> DataFrame:
     """Sums over the scores of a model before and after it was stored and loaded."""
-    t = _settled(t)
+    t = _settled(t, rated=True)
     frame, folder = cut(training.model_frame(t)), new_folder(t.spark, "model")
     model = training.rating_model(frame, Settings(rounds=3))
     training.save_model(model, training.model_metadata(t), folder)
@@ -220,7 +224,7 @@ RECOMMENDER: dict[str, Callable[[Tables], DataFrame]] = {
     "factor_recommendations": lambda t: similar.factor_recommendations(_settled(t)),
     "expected_rating": training.product_shares,
     "prior_losses": training.prior_losses,
-    "root_gains": lambda t: training.root_gains(cut(training.model_frame(_settled(t)))),
+    "root_gains": lambda t: training.root_gains(cut(training.model_frame(_settled(t, rated=True)))),
     "model_losses": _model_losses,
     "model_store": _model_store,
     "feature_importance": _stored_importance,

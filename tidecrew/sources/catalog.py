@@ -38,6 +38,9 @@ class Tables:
             self._frames[name] = self._builders[name]()
         return self._frames[name]
 
+    def has(self, name: str) -> bool:
+        return name in self._builders
+
     def with_tables(self, **frames: DataFrame) -> Tables:
         """The same datasets with some replaced by a newer version."""
         builders = dict(self._builders)
