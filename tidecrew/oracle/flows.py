@@ -32,7 +32,9 @@ STATEMENTS = {
     "stock_ledger": CHANGES["decrement_stock"],
     **{f"{name}_parts": CHANGES[name] for name in ("update_users", "review_products", "upsert_by_key", "record_work")},
     "decrement_stock_parts": CHANGES["decrement_stock_table"],
-    **{f"{name}_bucketed": CHANGES[name] for name in ("register_users", "join_drives")},
+    "update_drives_parts": CHANGES["update_drives_table"],
+    "apply_purchases_parts": CHANGES["apply_purchases_stock"],
+    **{f"{name}_bucketed": CHANGES[name] for name in ("register_users", "join_drives", "award_badges", "record_product_feedback")},
     "append_rows": CHANGES["record_donations_table"],
     "export_json": oracle("""
         select '{"id":' || d.id || ',"donor_name":"' || d.donor_name || '","amount":' || cast(d.amount as double)

@@ -287,6 +287,10 @@ def _bucketed(table: str, keys: tuple[str, ...], change: Callable[..., changes.C
     return run
 
 
+DRIVE_CHANGES = (
+    *("id", "organiser_id", "event_name", "event_date", "event_time"),
+    *("num_volunteers", "salary_per_volunteer", "status"),
+)
 CART_KEYS = ("user_id", "product_id", "quantity")
 
 CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
@@ -302,8 +306,7 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
         changes.update_drives,
         "drive_updates",
         "drives",
-        *("id", "organiser_id", "event_name", "event_date", "event_time"),
-        *("num_volunteers", "salary_per_volunteer", "status"),
+        *DRIVE_CHANGES,
     ),
     "delete_drives": _kept_drives,
     "delete_drives_any_children": lambda t: _kept_drives(t, check_owner_first=False),
@@ -342,6 +345,16 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
         "cart", "user_id", "cart_upserts", "user_id", lambda t, requests: upsert_by_key(t.cart, requests, ["user_id", "product_id"])
     ),
     "record_work_parts": _by_parts("drive_volunteers", "event_id", "work_records", "event_id", changes.record_work),
+    "update_drives_parts": lambda t: _by_parts(
+        "drives", "id", "drive_updates", "id", lambda t, requests: changes.update_drives(t, requests).tables["drives"]
+    )(t).select(*DRIVE_CHANGES),
+    "apply_purchases_parts": lambda t: _by_parts(
+        "products", "id", "purchase_requests", "product_id", lambda t, requests: changes.apply_purchases(t, requests).tables["products"]
+    )(t).select("id", "quantity"),
+    "award_badges_bucketed": _bucketed("volunteer_badges", ("volunteer_id", "event_id"), changes.award_badges, "badge_requests"),
+    "record_product_feedback_bucketed": _bucketed(
+        "product_feedback", ("purchase_history_id",), changes.record_product_feedback, "product_feedback_requests"
+    ),
     "register_users_bucketed": _bucketed("users", ("email",), changes.register_users, "registrations"),
     "join_drives_bucketed": _bucketed("drive_volunteers", ("event_id", "volunteer_id"), changes.join_drives, "join_requests"),
     "record_drive_feedback": _verdicts(changes.record_drive_feedback, "drive_feedback_requests"),
@@ -404,7 +417,7 @@ GAPS: dict[str, tuple[str, ...]] = {
     "drive_overview": ("organiser_id", "products_recycled"),
     **dict.fromkeys(
         (
-            *("donations_filtered", "donations_filtered_range", "update_drives_table", "award_badges"),
+            *("donations_filtered", "donations_filtered_range", "update_drives_table", "update_drives_parts", "award_badges", "award_badges_bucketed"),
             *("record_donations", "record_donations_table", "append_rows"),
         ),
         ("organiser_id",),
@@ -422,7 +435,7 @@ GAPS: dict[str, tuple[str, ...]] = {
     **dict.fromkeys(
         (
             *("featured_products", "pending_products", "approved_catalog", "approved_catalog_slim", "product_search"),
-            *("product_search_term", "product_search_wildcards", "product_search_backslash", "apply_purchases_stock", "checkout_stock", "decrement_stock_table", "decrement_stock_parts"),
+            *("product_search_term", "product_search_wildcards", "product_search_backslash", "apply_purchases_stock", "apply_purchases_parts", "checkout_stock", "decrement_stock_table", "decrement_stock_parts"),
             *("search_recommendations", "search_recommendations_term"),
         ),
         ("quantity",),
