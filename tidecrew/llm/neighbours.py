@@ -4,8 +4,9 @@ Examples are a bounded sample of labelled documents, as many of either class whe
 their terms: term frequency, times the inverse document frequency counted over the whole corpus, times a weight that grows with
 the term's chi-square over the examples, so that words that tell the classes apart count most and none is left out.  A text's norm
 is over all its words; those that no example has count as if one document had them.  The inverted index has a posting list per term,
-cut into blocks of examples with each block's largest weight.  A query adds up an upper bound per block, visits blocks in that
-order and stops when no block left can reach its nearest examples, so the neighbours are exact.  Their votes, weighted by
+cut into blocks of examples with each block's largest weight; the lists of common terms are written out as
+a matrix, and their part of the similarities is exact from the start.  A query adds up an upper bound per block, visits the blocks of the
+highest bounds, and then only those whose bound reaches the nearest examples found there, so the neighbours are exact.  Their votes, weighted by
 similarity and class share, are mapped to probabilities by an isotonic fit on further labelled rows, and are returned as evidence.
 
 Defined cases: NULL and empty texts, and those without an indexed term, have no neighbours and the vote of the class
@@ -36,8 +37,11 @@ CALIBRATION = 8_192
 LEAST_WEIGHT = 0.02
 HALF_CHI = 24.0
 BLOCK = 64
-# Blocks visited at a time.
+# Blocks visited first.
 VISITED = 8
+# A term that one in so many examples has is common; texts whose common terms are looked at together.
+COMMON = 16
+TOGETHER = 64
 NEIGHBOURS = 15
 # A neighbour's worth of prior votes.
 PRIOR_WEIGHT = 0.2
@@ -47,6 +51,8 @@ class Index(NamedTuple):
     terms: np.ndarray  # sorted word hashes
     value: np.ndarray  # weight of one occurrence of a term
     strange: float  # and of a word that no example has
+    row: np.ndarray  # of a common term in ``dense``, -1 of any other
+    dense: np.ndarray  # weights of common terms in all examples
     entries: np.ndarray  # first entry of every term, an entry being a block of its posting list
     block: np.ndarray  # of every entry
     peak: np.ndarray  # largest weight in it
@@ -94,35 +100,69 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(before - starts, sizes)
 
 
-def nearest(index: Index, term: np.ndarray, query: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """(examples, similarities) of the ``k`` nearest examples with a positive similarity, nearest first."""
+def common_parts(index: Index, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """What the common terms of some queries add to the similarity of every example: one matrix product."""
+    asked = np.zeros((len(queries), len(index.dense)))
+    for k, (term, query) in enumerate(queries):
+        row = index.row[term]
+        asked[k, row[row >= 0]] = query[row >= 0]
+    return asked @ index.dense
+
+
+def nearest(index: Index, term: np.ndarray, query: np.ndarray, k: int = NEIGHBOURS, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(examples, similarities) of the ``k`` nearest examples with a positive similarity, nearest first.
+
+    ``part`` is the query's row of :func:`common_parts`.
+    """
     found, values = np.zeros(0, dtype=np.int64), np.zeros(0)
     if not len(term) or not len(index.labels):
         return found, values
+    part = common_parts(index, [(term, query)])[0] if part is None else part
+    rare = index.row[term] < 0
+    term, query = term[rare], query[rare]
     sizes = index.entries[term + 1] - index.entries[term]
     entry, strength = _spans(index.entries[term], sizes), np.repeat(query, sizes)
-    bounds = np.bincount(index.block[entry], weights=strength * index.peak[entry], minlength=-(-len(index.labels) // BLOCK))
-    order = np.argsort(-bounds, kind="stable")
-    turn = np.empty(len(order), dtype=np.int64)
-    turn[order] = np.arange(len(order)) // VISITED
-    turns = turn[index.block[entry]]
-    for visit in range(int(turn.max()) + 1):
+    block, blocks = index.block[entry], len(part) // BLOCK
+    bounds = part.reshape(blocks, BLOCK).max(axis=1) + np.bincount(block, weights=strength * index.peak[entry], minlength=blocks)
+    # First the blocks of the highest bounds; then, in one go, all that can still hold one of the nearest.
+    first = np.zeros(blocks, dtype=bool)
+    first[np.argsort(-bounds, kind="stable")[:VISITED]] = True
+    for visited in (first, ~first):
         worst = values[k - 1] if len(values) >= k else 0.0
-        highest = bounds[order[visit * VISITED]]
-        if highest < worst - 1e-12 or highest <= 0:
-            break
-        here = turns == visit
+        visited &= (bounds > 0) & (bounds >= worst - 1e-12)
+        if not visited.any():
+            continue
+        here = visited[block]
         own = entry[here]
         many = index.postings[own + 1] - index.postings[own]
         at = _spans(index.postings[own], many)
-        near = np.bincount(index.example[at], weights=np.repeat(strength[here], many) * index.weight[at], minlength=len(index.labels))
-        keep = np.flatnonzero(near > max(0.0, worst - 1e-12))
+        near = part + np.bincount(index.example[at], weights=np.repeat(strength[here], many) * index.weight[at], minlength=len(part))
+        keep = np.flatnonzero(np.repeat(visited, BLOCK) & (near > 0) & (near >= worst - 1e-12))
+        if len(keep) > 4 * k:
+            keep = keep[near[keep] >= np.partition(near[keep], -k)[-k] - 1e-12]
         found, values = np.concatenate([found, keep]), np.concatenate([values, near[keep]])
         best = np.lexsort((index.turn[found], -values))[:k]
         found, values = found[best], values[best]
     return found, values
 
 
+def all_nearest(index: Index, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`nearest` of every text, the common terms of some texts at a time."""
+    vectors: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def some() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        parts = common_parts(index, vectors)
+        for own, part in zip(vectors, parts, strict=True):
+            yield nearest(index, *own, part=part)
+        vectors.clear()
+
+    for one in word_counts(texts):
+        vectors.append(vector(index.terms, index.value, index.strange, *one))
+        if len(vectors) == TOGETHER:
+            yield from some()
+    yield from some()
+
+
 def _vote(index: Index, found: np.ndarray, values: np.ndarray) -> float:
     weight = values * index.votes[found]
     return float(((weight * index.labels[found]).sum() + PRIOR_WEIGHT * index.share) / (weight.sum() + PRIOR_WEIGHT))
@@ -229,8 +269,7 @@ def _votes(rows: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [nearest(held.value, *vector(*held.value[:3], *one)) for one in word_counts(texts_of(batch.column(0)))]
-            votes = [_vote(held.value, *one) for one in found]
+            votes = [_vote(held.value, *one) for one in all_nearest(held.value, texts_of(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(1)], ["vote", "label"])
 
     found = rows.select("text", "label").mapInArrow(run, "vote double, label int").toArrow()
@@ -238,10 +277,18 @@ def _votes(rows: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray]:
 
 
 def inverted(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> dict[str, np.ndarray]:
-    """Posting lists of the examples' vectors by term, cut into blocks of examples."""
+    """The examples' vectors by term: common terms as a matrix, the others as posting lists cut into blocks of examples."""
     term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, dtype=np.int64)
     weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
     example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+    # At most ``COMMON`` times the mean number of terms of an example are common.
+    common = np.flatnonzero(np.bincount(term, minlength=terms) * COMMON >= max(1, len(vectors)))
+    row = np.full(terms, -1, dtype=np.int32)
+    row[common] = np.arange(len(common))
+    dense = np.zeros((len(common), -(-len(vectors) // BLOCK) * BLOCK))
+    own = row[term] >= 0
+    dense[row[term[own]], example[own]] = weight[own]
+    term, weight, example = term[~own], weight[~own], example[~own]
     order = np.lexsort((example, term))
     term, weight, example = term[order], weight[order], example[order]
     block = example // BLOCK
@@ -249,11 +296,13 @@ def inverted(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> dict[s
     new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
     first = np.flatnonzero(new)
     return {
+        "row": row,
+        "dense": dense,
         "entries": np.searchsorted(term[first], np.arange(terms + 1)),
         "block": block[first],
         "peak": np.maximum.reduceat(weight, first) if len(first) else np.zeros(0),
         "postings": np.append(first, len(term)),
-        "example": example,
+        "example": example.astype(np.int32),
         "weight": weight,
     }
 
@@ -270,8 +319,10 @@ def build(docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = E
     y = np.array([label for _, label, _, _ in kept], dtype=float)
     fits = rows.filter("role = 'fit'").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).first()
     share = float(fits["share"]) if fits["n"] else float(y.mean()) if len(y) else 0.0
-    # Examples of one class stand together, so that the bounds of most blocks are low for a text of the other.
-    order = np.argsort(-y, kind="stable")
+    # Examples of one class and one most frequent word, as a rule of one language, stand together, so that the bounds of most
+    # blocks are low for other texts.
+    often = np.array([t[np.argmax(w / value[t])] if len(t) else -1 for _, _, t, w in kept], dtype=np.int64)
+    order = np.lexsort((often, -y))
     kept, y = [kept[i] for i in order], y[order]
     toxic = y.mean() if len(y) else 0.0
     votes = np.where(y == 1, share / max(toxic, 1e-9), (1 - share) / max(1 - toxic, 1e-9))
@@ -289,8 +340,7 @@ def build(docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = E
 def _judge(index: Index, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple]]]:
     """Calibrated scores of texts, and their three nearest examples as (id, similarity, label)."""
     votes, proofs = [], []
-    for words, counts in word_counts(texts):
-        found, values = nearest(index, *vector(index.terms, index.value, index.strange, words, counts))
+    for found, values in all_nearest(index, texts):
         votes.append(_vote(index, found, values))
         near = zip([index.ids[i] for i in found[:3].tolist()], values[:3].tolist(), index.labels[found[:3]].tolist(), strict=True)
         proofs.append([{"doc_id": i, "similarity": v, "label": int(y)} for i, v, y in near])
