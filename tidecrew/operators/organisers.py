@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidecrew.functions import text
 from tidecrew.operators.impact import DRIVE_COLUMNS, completed, plastics_per_drive, zero
-from tidecrew.plans.combine import broadcast_up_to, sorted_if
+from tidecrew.plans.combine import sorted_if
 from tidecrew.plans.durable import cut
 from tidecrew.plans.running import dense_index, sorted_positions
 from tidecrew.sources.catalog import Tables
@@ -112,7 +112,7 @@ def joinable_flags(t: Tables, cohort: DataFrame, as_of: str = AS_OF) -> DataFram
     numbers = cut(dense_index(cohort.select("volunteer_id").na.drop(), "volunteer_id", name="place"))
     n = numbers.count()
     place = F.col("place") + 1
-    joined = t.drive_volunteers.select("event_id", "volunteer_id").join(broadcast_up_to(numbers, 1 << 20), "volunteer_id")
+    joined = t.drive_volunteers.select("event_id", "volunteer_id").join(numbers, "volunteer_id")
     maps = joined.groupBy("event_id", F.bitmap_bucket_number(place).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
     )
@@ -125,7 +125,7 @@ def joinable_flags(t: Tables, cohort: DataFrame, as_of: str = AS_OF) -> DataFram
     byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     flag = F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1
     rows = each.select("event_id", ((F.col("bucket") - 1) * BITS + F.col("bit")).alias("place"), F.coalesce(flag, F.lit(False)).alias("is_joined"))
-    return rows.join(broadcast_up_to(numbers, 1 << 20), "place").select("volunteer_id", F.col("event_id").alias("id"), "is_joined")
+    return rows.join(numbers, "place").select("volunteer_id", F.col("event_id").alias("id"), "is_joined")
 
 
 def drive_capacity(t: Tables) -> DataFrame:
