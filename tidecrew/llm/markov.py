@@ -45,7 +45,7 @@ ENDINGS = 4_096
 PRIOR = 1_000.0
 # Bytes of text in a block, about; tokens worked on at a time; tokens of a segment.
 BLOCK = 1 << 24
-BATCH = 1 << 20
+BATCH = 1 << 18
 SEGMENT = 1_024
 END = b""
 
@@ -76,7 +76,7 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[Blo
             for words in word_lists(text, SPACES, True):
                 waiting += words
                 n += len(words)
-                if len(waiting) > BATCH // 4:
+                if len(waiting) > BATCH:
                     coded.append(pa.array(waiting, pa.binary()).dictionary_encode())
                     waiting = []
             waiting.append(END)
@@ -135,6 +135,10 @@ class Vocabulary(NamedTuple):
         """The class of words never seen; those of endings are just before it."""
         return len(self.words) + ENDINGS
 
+    def bare(self) -> Vocabulary:
+        """The sums alone."""
+        return self._replace(words=None, counts=None, base=None)
+
     def log_base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / self.weight)
 
@@ -187,43 +191,45 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
         for block in blocks(batches):
             own = pc.fill_null(pc.index_in(block.words, value_set=words), -1).to_numpy().astype(np.int64)
             others = np.flatnonzero(own < 0)
-            rare = np.full(len(own), -1, dtype=np.int32)
+            rare = np.full(len(own), -1, dtype="<i4")
             rare[others] = np.arange(len(others))
             strange = block.words.take(pa.array(others))
             of = own.copy()
             of[others] = len(words) + endings(strange)
-            ends = np.cumsum(block.lengths)
-            rows = np.repeat(np.arange(len(ends)), block.lengths)
-            common = own[block.tokens] >= 0
-            value = log[np.maximum(own[block.tokens], 0)] if len(log) else np.zeros(len(common))
-            n_known = np.bincount(rows, weights=common, minlength=len(ends)).astype(np.int64)
-            base = np.bincount(rows, weights=np.where(common, value, 0.0), minlength=len(ends))
-            classes = of[block.tokens].astype("<i4")
-            locals_ = rare[block.tokens]
-            for begin in range(0, len(ends), 1024):
-                some = range(begin, min(begin + 1024, len(ends)))
-                cuts = [(int(ends[i] - block.lengths[i]), int(ends[i])) for i in some]
-                left = [locals_[a:b] for a, b in cuts]
+            ends = np.concatenate([[0], np.cumsum(block.lengths)])
+            for begin in range(0, len(block.lengths), 1024):
+                end = min(begin + 1024, len(block.lengths))
+                tokens, lengths = block.tokens[ends[begin] : ends[end]], block.lengths[begin:end]
+                rows = np.repeat(np.arange(end - begin), lengths)
+                classes, place = of[tokens].astype(wide), rare[tokens]
+                common = place < 0
+                value = log[own[tokens[common]]]
+                cuts = list(zip((ends[begin:end] - ends[begin]).tolist(), (ends[begin + 1 : end + 1] - ends[begin]).tolist(), strict=True))
                 columns = [
-                    pa.array([part] * len(some), pa.int64()),
-                    block.rows.column(0).slice(begin, len(some)).combine_chunks(),
-                    block.rows.column(1).slice(begin, len(some)).combine_chunks(),
-                    pa.array(block.lengths[begin : begin + 1024], pa.int64()),
-                    pa.array(n_known[begin : begin + 1024]),
-                    pa.array(base[begin : begin + 1024]),
+                    pa.array([part] * (end - begin), pa.int64()),
+                    block.rows.column(0).slice(begin, end - begin).combine_chunks(),
+                    block.rows.column(1).slice(begin, end - begin).combine_chunks(),
+                    pa.array(lengths, pa.int64()),
+                    pa.array(np.bincount(rows[common], minlength=end - begin).astype(np.int64)),
+                    pa.array(np.bincount(rows[common], weights=value, minlength=end - begin), pa.float64()),
                     pa.array([classes[a:b].tobytes() for a, b in cuts], pa.binary()),
-                    pa.array([x[x >= 0].astype("<i4").tobytes() for x in left], pa.binary()),
-                    pa.array([None] * len(some), pa.list_(pa.binary())),
+                    pa.array([x[x >= 0].tobytes() for x in (place[a:b] for a, b in cuts)], pa.binary()),
+                    pa.array([None] * (end - begin), pa.list_(pa.binary())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, COLUMNS)
             head = [pa.array([part]), *[pa.nulls(1, block.rows.column(i).type) for i in (0, 1)], *[pa.nulls(1, t) for t in KINDS]]
             yield pa.RecordBatch.from_arrays([*head, pa.ListArray.from_arrays(pa.array([0, len(strange)], pa.int32()), strange)], COLUMNS)
             part += 1
 
-    known_log = known.log_base
+    known_log, wide = known.bare().log_base, width_of(known.unknown)
     return docs.select("id", "learn", "text").mapInArrow(run, schema)
 
 
+def width_of(largest: int) -> str:
+    """The kind of number that classes are stored as."""
+    return "<u2" if largest < 1 << 16 else "<i4"
+
+
 COLUMNS = ["part", "id", "learn", "n_tokens", "n_known", "base_score", "classes", "rare", "words"]
 KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
 
@@ -377,28 +383,28 @@ def improved(base: np.ndarray, counts: Expected) -> Model:
     return Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), _scaled_to_base(ratios, base))
 
 
-def batched(classes: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batched(classes: list[bytes], wide: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Texts in runs of about ``BATCH`` tokens: the first one's place, the tokens and the lengths."""
-    at = 0
+    at, size = 0, np.dtype(wide).itemsize
     while at < len(classes):
         end, held = at, 0
-        while end < len(classes) and (held == 0 or held + len(classes[end]) <= 4 * BATCH):
+        while end < len(classes) and (held == 0 or held + len(classes[end]) <= size * BATCH):
             held += len(classes[end])
             end += 1
         run = classes[at:end]
-        yield at, np.frombuffer(b"".join(run), dtype="<i4"), np.array([len(x) // 4 for x in run])
+        yield at, np.frombuffer(b"".join(run), dtype=wide).astype(np.int32), np.array([len(x) // size for x in run])
         at = end
 
 
 def expected_counts(texts: DataFrame, model: Model) -> Expected:
     """Expected counts over ``texts`` (classes): added up per task, then per class and state."""
-    k, n = len(model.start), len(model.ratios)
+    k, n, wide = len(model.start), len(model.ratios), width_of(len(model.ratios) - 1)
     sent = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, moves, classes, log = np.zeros(k), np.zeros((k, k)), np.zeros((n, k)), 0.0
         for batch in batches:
-            for _, tokens, lengths in batched(batch.column(0).to_pylist()):
+            for _, tokens, lengths in batched(batch.column(0).to_pylist(), wide):
                 found = expected(sent.value, tokens, lengths)
                 start, moves, classes, log = start + found.start, moves + found.moves, classes + found.classes, log + found.log
         some = np.flatnonzero(classes.any(axis=1))
@@ -432,7 +438,8 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     kind = rows.schema["id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
     # Only sums are needed of the vocabulary from here on.
-    facts, own, log_base, unknown = known.total, len(known.words), known._replace(words=None, counts=None, base=None).log_base, known.unknown
+    facts, own, log_base, unknown = known.total, len(known.words), known.bare().log_base, known.unknown
+    wide = width_of(unknown)
 
     words = texts.filter("classes is null").select(F.col("part").alias("of"), F.posexplode("words").alias("place", "word"))
     looked_up = words.join(counts, "word", "left").select("of", "place", F.coalesce("c", F.lit(0)).alias("c"))
@@ -443,8 +450,8 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         classes, rare = group.column("classes").to_pylist(), group.column("rare").to_pylist()
         n_known, base = group.column("n_known").to_numpy().copy(), group.column("base_score").to_numpy().copy()
         score = np.empty(len(classes))
-        for at, tokens, lengths in batched(classes):
-            tokens, end = tokens.copy(), at + len(lengths)
+        for at, tokens, lengths in batched(classes, wide):
+            end = at + len(lengths)
             others = c[np.frombuffer(b"".join(rare[at:end]), dtype="<i4")]
             places = np.flatnonzero(tokens >= own)
             owner = np.repeat(np.arange(len(lengths)), lengths)[places]
