@@ -157,3 +157,14 @@ def test_odd_tables(spark):
     assert all(len(r.shares) == 2 for r in boosted.with_shares(model, rows).collect())
     empty = boosted.fitted(rows.limit(0), "key", "label", F.col("held"), FEATURES, 2, Settings(rounds=2, depth=2))
     assert [r.shares for r in boosted.with_shares(empty, rows.limit(1)).collect()] == [[0.5, 0.5]]
+
+
+def test_a_level_reads_chunks_of_rows_with_their_margins(spark, monkeypatch):
+    """A row of the table holds many rows, and no level goes through the trees of earlier rounds again."""
+    rows = frame(spark, drawn(1, 3_000)).coalesce(1)
+    stored = boosted.training_rows(rows, "key", "label", F.col("held"), FEATURES, boosted.bin_edges(rows, FEATURES, 16), 3)
+    assert stored.count() <= 2 * max(spark.sparkContext.defaultParallelism, 8)
+    steps, moved = [], boosted._moved
+    monkeypatch.setattr(boosted, "_moved", lambda state, features, classes, trees: steps.append(len(trees)) or moved(state, features, classes, trees))
+    model = boosted.fitted(rows, "key", "label", F.col("held"), FEATURES, 3, Settings(rounds=3, depth=2))
+    assert steps and set(steps) == {1} and len(model.history) <= 3
