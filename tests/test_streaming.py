@@ -144,3 +144,13 @@ def test_a_later_run_goes_on_and_repeats_are_dropped_for_ever(spark, tmp_path):
     arrive("2001-08-01 00:00:00", 1, "b")
     arrive("2001-08-02 00:00:00", 2, "c")
     assert run() == [1, 2]
+
+
+def test_only_products_asked_for_have_a_state(spark, small, split_events, tmp_path):
+    """The ledger does not start with a call and a state for each product of the whole table."""
+    out = str(tmp_path / "ledger")
+    jobs.stock_ledger(request_stream(stream_of(spark, split_events), "stock_requests"), small, out)
+    asked = request_batch(small, "stock_requests").select("product_id").distinct().count()
+    state = spark.read.format("statestore").option("stateVarName", "left").load(f"{out}/progress").count()
+    assert 0 < state <= asked < small.products.count()
+    assert jobs.current_stock(spark, out).count() == small.products.filter("quantity is not null").count()

@@ -131,21 +131,20 @@ def first_join(spark: SparkSession, folder: str, out: str | None = None) -> Data
 
 
 class Withdrawals(StatefulProcessor):
-    """What is left of every product: the state holds one number per product that was asked for or has a stock."""
+    """What is left of every product: the state holds one number per product that was asked for and has a stock.
+
+    A row brings the ``stock`` its product had at the start, which counts until the product has a state of its own.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.left = handle.getValueState("left", "quantity long")
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N803
-        quantity = initialState["quantity"].iloc[0]
-        if not pd.isna(quantity):
-            self.left.update((int(quantity),))
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         # The requests of one product in one batch, which the files of a batch bound.
         asked = pd.concat(list(rows)).sort_values("request_id", kind="stable")
-        known = self.left.exists()
-        left = int(self.left.get()[0]) if known else 0
+        stock = self.left.get()[0] if self.left.exists() else asked["stock"].iloc[0]
+        known = not pd.isna(stock)
+        left = int(stock) if known else 0
         reasons = []
         for quantity in asked["quantity"].tolist():
             fits = known and not pd.isna(quantity) and quantity <= left
@@ -153,33 +152,42 @@ class Withdrawals(StatefulProcessor):
             reasons.append(None if fits else REFUSED)
         if known:
             self.left.update((left,))
-        yield asked.assign(reason=pd.Series(reasons, index=asked.index, dtype=object))
+        yield asked.drop(columns="stock").assign(reason=pd.Series(reasons, index=asked.index, dtype=object))
 
     def close(self) -> None:
         pass
 
 
 def current_stock(spark: SparkSession, out: str) -> DataFrame:
-    """(id, quantity): what the ledger has left of every product with a known stock, read from its state."""
+    """(id, quantity): what the ledger has left of every product with a known stock.
+
+    Read from its state; a product that nobody has asked for has what it had at the start.
+    """
     state = spark.read.format("statestore").option("stateVarName", "left").load(f"{out}/progress")
-    return state.select(F.col("key.product_id").alias("id"), F.col("value.quantity").alias("quantity"))
+    left = state.select(F.col("key.product_id").alias("id"), F.col("value.quantity").alias("quantity"))
+    first = spark.read.parquet(f"{out}/first_stock").filter("quantity is not null")
+    touched = left.select(F.col("id").alias("_touched"))
+    rest = first.join(touched, F.col("product_id").eqNullSafe(F.col("_touched")), "left_anti")
+    return left.unionByName(rest.select(F.col("product_id").alias("id"), "quantity"))
 
 
 def stock_ledger(requests: DataFrame, t: Tables, out: str | None = None) -> DataFrame:
     """Stock withdrawals (request_id, product_id, quantity) as they arrive: the verdicts of all batches.
 
     Batch by batch, the requests of a product are served in the order of their ids; one that exceeds what is left is turned down.  What
-    is left is kept as state by product, so a batch costs what its own requests cost, however many came before.  The stock
-    of the first run's products starts the state.
+    is left is kept as state by product, so a batch costs what its own requests cost, however many came before, and a look at the
+    stock of the first run's products, which counts for a product until it is asked for.
     """
     spark = t.spark
     out = out or new_folder(spark, "stock_ledger")
     # The first run's stock: later runs go on from the state.
-    t.products.select(F.col("id").alias("product_id"), "quantity").write.mode("ignore").parquet(f"{out}/first_stock")
-    first = spark.read.parquet(f"{out}/first_stock").groupBy("product_id")
+    stock = t.products.groupBy(F.col("id").alias("product_id")).agg(F.first("quantity").alias("quantity"))
+    stock.write.mode("ignore").parquet(f"{out}/first_stock")
+    first = spark.read.parquet(f"{out}/first_stock").select(F.col("product_id").alias("_stocked"), F.col("quantity").alias("stock"))
+    stocked = requests.join(first, F.col("product_id").eqNullSafe(F.col("_stocked")), "left").drop("_stocked")
     schema = T.StructType([*requests.schema.fields, T.StructField("reason", T.StringType())])
-    verdicts = requests.groupBy("product_id").transformWithStateInPandas(
-        Withdrawals(), outputStructType=schema, outputMode="append", timeMode="none", initialState=first
+    verdicts = stocked.groupBy("product_id").transformWithStateInPandas(
+        Withdrawals(), outputStructType=schema, outputMode="append", timeMode="none"
     )
     _run(verdicts.writeStream.outputMode("append").format("parquet").option("path", f"{out}/verdicts"), out)
     return spark.read.schema(schema).parquet(f"{out}/verdicts")
