@@ -158,3 +158,16 @@ def test_text_functions(spark):
         (None, "New Delhi East", None, False, text.NO_ADDRESS),
         (None, text.NO_LOCATION, "c", False, text.NO_ADDRESS),
     ]
+
+
+def test_flags_of_a_cohort_are_not_shuffled(spark):
+    t = micro_tables(
+        spark,
+        users=[{"id": 1, "username": "o"}],
+        drives=[{"id": 1, "organiser_id": 1, "event_date": date(2001, 8, 1)}],
+        drive_volunteers=[{"event_id": 1, "volunteer_id": 5}],
+    )
+    rows = organisers.joinable_flags(t, spark.range(4, 7).toDF("volunteer_id"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and "Exchange" not in plan.split("posexplode")[0]
+    assert sorted(values(rows, "volunteer_id", "is_joined")) == [(4, False), (5, True), (6, False)]
