@@ -23,5 +23,5 @@ def test_drives_outside_the_batch_are_dropped_before_the_grouping(spark, small):
     verdicts = changes.join_drives(small, request_batch(small, "join_requests")).verdicts
     lines = verdicts._jdf.queryExecution().optimizedPlan().toString().split("\n")
     scan = next(i for i, line in enumerate(lines) if "Relation [l_orderkey" in line)
-    above = [max(i for i, line in enumerate(lines[:scan]) if word in line) for word in ("Aggregate", "Join LeftSemi")]
-    assert above[0] < above[1]
+    grouped, dropped = (max(i for i, line in enumerate(lines[:scan]) if word in line) for word in ("Aggregate [l_orderkey", "Join LeftSemi, (l_orderkey"))
+    assert grouped < dropped
