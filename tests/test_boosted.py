@@ -168,3 +168,64 @@ def test_a_level_reads_chunks_of_rows_with_their_margins(spark, monkeypatch):
     monkeypatch.setattr(boosted, "_moved", lambda state, features, classes, trees: steps.append(len(trees)) or moved(state, features, classes, trees))
     model = boosted.fitted(rows, "key", "label", F.col("held"), FEATURES, 3, Settings(rounds=3, depth=2))
     assert steps and set(steps) == {1} and len(model.history) <= 3
+
+
+def random_tree(rnd, depth, sizes):
+    tree = boosted.Tree.bare(depth)
+    for at in range((1 << depth) - 1):
+        if (at == 0 or tree.feature[(at - 1) // 2] >= 0) and rnd.random() < 0.9:
+            f = rnd.randrange(len(sizes))
+            tree.feature[at], tree.cut[at] = f, rnd.randrange(1, sizes[f])
+    return tree
+
+
+@pytest.mark.parametrize("depth", [1, 6, 8])
+def test_leaves_by_bits_are_those_found_level_by_level(depth):
+    """Features of few bins are looked up as one number, and the way down a tree is not gone node by node."""
+    rnd, sizes = random.Random(depth), (4, 300, 2, 40)
+    codes = boosted.Codes.of([np.arange(n) for n in sizes])
+    assert sorted(map(sorted, codes.groups)) == [[0, 2, 3], [1]]
+    bins = np.array([[rnd.randrange(n) for _ in range(500)] for n in sizes])
+    coded = codes.coded(bins)
+    for _ in range(20):
+        tree = random_tree(rnd, depth, sizes)
+        at = np.zeros(500, dtype=np.int64)
+        for i in range(500):
+            while tree.feature[at[i]] >= 0:
+                at[i] = 2 * at[i] + 1 + (bins[tree.feature[at[i]], i] >= tree.cut[at[i]])
+        ways = boosted.Ways.of(tree, codes)
+        assert (ways is None) == (int((tree.feature >= 0).sum()) >= boosted.LEAVES)
+        for form in (None, ways):
+            assert boosted.by_leaf(tree, form, np.arange(len(tree.feature)), coded, codes).tolist() == at.tolist()
+
+
+def test_nothing_is_held_after_growing(spark, tmp_path):
+    """The rows were written out every few rounds, and all of these tables stayed."""
+    rows = frame(spark, drawn(5, 300)).localCheckpoint()
+    context = spark.sparkContext
+    held, old = context._jsc.getPersistentRDDs().size(), context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        boosted.fitted(rows, "key", "label", F.col("held"), FEATURES, 3, Settings(rounds=4, depth=2, stored_every=1))
+    finally:
+        if old:
+            context.setCheckpointDir(old.removeprefix("file:"))
+    # What is left is the histogram of the values, a checkpoint of its own.
+    assert len([p for p in tmp_path.glob("*/rdd-*")]) == 1
+    assert context._jsc.getPersistentRDDs().size() == held
+
+
+def test_a_level_has_few_tasks_and_reads_drawn_rows_alone(spark, monkeypatch):
+    """A task gives back sums of a whole level, so many small ones cost more than the rows; a level read all rows with margins."""
+    rows = frame(spark, drawn(5, 2_000)).repartition(40)
+    monkeypatch.setattr(boosted, "spread_out", lambda df, key: df.repartition(40, key))
+    seen, sums = [], boosted.level_sums
+
+    def level_sums(rows, turn, trees, level, tasks):
+        seen.append((tasks, rows.map(len).distinct().collect(), rows.map(lambda d: d.codes.shape[1]).sum()))
+        return sums(rows, turn, trees, level, tasks)
+
+    monkeypatch.setattr(boosted, "level_sums", level_sums)
+    boosted.fitted(rows, "key", "label", F.col("held"), FEATURES, 3, Settings(rounds=1, depth=2))
+    assert {tasks for tasks, _, _ in seen} == {spark.sparkContext.defaultParallelism}
+    assert {tuple(fields) for _, fields, _ in seen} == {(3,)} and all(n < 0.7 * 2_000 for _, _, n in seen)
