@@ -171,3 +171,24 @@ def test_flags_of_a_cohort_are_not_shuffled(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" in plan and "Exchange" not in plan.split("posexplode")[0]
     assert sorted(values(rows, "volunteer_id", "is_joined")) == [(4, False), (5, True), (6, False)]
+
+
+def test_flags_come_volunteer_by_volunteer_within_a_block_of_drives(spark, monkeypatch):
+    """Pages came drive by drive, each with all volunteers, so a file of them held that long list anew for every drive."""
+    monkeypatch.setattr(organisers, "SPAN", 70)
+    ids = [*range(100, 300), 150, 150, None]
+    t = micro_tables(
+        spark,
+        users=[{"id": 1, "role": "organiser"}],
+        drives=[{"id": i, "organiser_id": 1, "event_date": date(2001, 8, 1)} for i in ids],
+        drive_volunteers=[{"event_id": e, "volunteer_id": v} for e, v in [(100, 7), (163, 7), (164, 7), (150, 9), (150, 9), (None, 9), (299, 20_000), (5, 7)]],
+    )
+    people = [*range(40), 20_000]
+    cohort = spark.createDataFrame([(p,) for p in [*people, 7, None]], "volunteer_id long")
+    parts = organisers.joinable_flags(t, cohort).rdd.map(tuple).glom().collect()
+    rows = [row for part in parts for row in part]
+    expected = {(7, 100), (7, 163), (7, 164), (9, 150), (20_000, 299)}
+    assert sorted(rows, key=str) == sorted(((p, i, (p, i) in expected) for p in people for i in ids), key=str)
+    for part in parts:
+        # A new run of a volunteer for each block only, whatever the number of drives.
+        assert sum(a[0] != b[0] for a, b in zip(part, part[1:], strict=False)) <= 3 * len(people)
