@@ -63,3 +63,14 @@ def test_factor_recommendations_equal_the_model(spark):
         own = sorted(r[1:] for r in got if r[0] == user)
         assert [p for p, _, _ in own] == [1, 2, 3, 4, 5]
         assert [s for _, _, s in own] == pytest.approx(want[user], rel=1e-3)
+
+
+def test_blocks_of_the_learner_and_of_factors_are_bounded(spark, monkeypatch):
+    """The learner held any number of pairs in ten blocks and the shuffles of five rounds; a block of factors had a million."""
+    made, als = [], similar.ALS
+    monkeypatch.setattr(similar, "LEARNT", 4)
+    monkeypatch.setattr(similar, "ALS", lambda **given: made.append(given) or als(**given))
+    t = micro_tables(spark, purchases=[{"id": i, "user_id": i % 9, "product_id": i % 7} for i in range(63)])
+    assert len(values(similar.factor_recommendations(t, n=2, rank=2, rounds=2))) == 18
+    assert {(m["numUserBlocks"], m["numItemBlocks"], m["checkpointInterval"]) for m in made} == {(16, 16, 1)}
+    assert similar.VECTORS * 16 * 4 <= 16 << 20
