@@ -162,3 +162,27 @@ def test_no_term_meets_all_products_but_one_of_signs(spark, small):
     assert runs["steel"] == ["", "eel", "ste", "tee"] and runs["o"] == ["", "o"] and runs["%el%bolt"] == ["", "bol", "el", "olt"]
     plan = searching.term_matches(small, terms)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_shard_does_not_sort_the_asking_users_or_the_pairs_by_place(monkeypatch):
+    """Each meeting of a block and a shard sorted the block anew, by user and by product, and the places of all pairs five times over."""
+    rnd = np.random.default_rng(3)
+    user, product = (np.sort(rnd.integers(0, n, 60_000)) for n in (6_000, 20_000))
+    product, n = rnd.permutation(product), rnd.integers(1, 4, 60_000)
+    shard, block = closest.shard_of(user, product, n, 5), closest.asking_of(user, product, n)
+    sorts = []
+    for name in ("lexsort", "argsort", "unique"):
+        real = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda keys, *rest, real=real, **given: sorts.append(np.shape(keys)[-1]) or real(keys, *rest, **given))
+    target, other, dot = closest.nearest_to(shard, block, 4)
+    # The chosen few alone.
+    assert len(target) == len(set(zip(target.tolist(), other.tolist(), strict=True))) and max(sorts) <= len(target)
+    assert len(target) > 20_000 and dot.min() > 0
+
+
+def test_sums_of_large_keys():
+    """Keys and values that do not fit one number together."""
+    key, value = np.array([1 << 60, 3, 1 << 60, 3, 4]), np.array([1 << 40, 2, 1, 5, 0])
+    found = closest._summed(key, value)
+    assert [x.tolist() for x in found] == [[3, 4, 1 << 60], [7, 0, (1 << 40) + 1]]
+    assert [x.tolist() for x in closest._summed(key[1:4:2], value[1:4:2])] == [[3], [7]]
