@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecrew.operators import boosted
+from tidecrew.operators import boosted, training
 from tidecrew.operators.boosted import Settings
+from tidecrew.plans.combine import parts_for
 
 FEATURES = ("a", "b", "c")
 
@@ -229,3 +230,10 @@ def test_a_level_has_few_tasks_and_reads_drawn_rows_alone(spark, monkeypatch):
     boosted.fitted(rows, "key", "label", F.col("held"), FEATURES, 3, Settings(rounds=1, depth=2))
     assert {tasks for tasks, _, _ in seen} == {spark.sparkContext.defaultParallelism}
     assert {tuple(fields) for _, fields, _ in seen} == {(3,)} and all(n < 0.7 * 2_000 for _, _, n in seen)
+
+
+def test_products_are_scored_by_all_cores(spark, small):
+    """The numbering's shuffle by product did for the spreading too, and its few small partitions were merged."""
+    model = boosted.Boosted(training.FEATURES, [np.arange(2)] * len(training.FEATURES), 5, [], [])
+    scores = training.model_scores(small, model, [1, 2, 3, 4, 5], 2)
+    assert scores.rdd.getNumPartitions() == parts_for(spark)
