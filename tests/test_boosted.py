@@ -237,3 +237,18 @@ def test_products_are_scored_by_all_cores(spark, small):
     model = boosted.Boosted(training.FEATURES, [np.arange(2)] * len(training.FEATURES), 5, [], [])
     scores = training.model_scores(small, model, [1, 2, 3, 4, 5], 2)
     assert scores.rdd.getNumPartitions() == parts_for(spark)
+
+
+def test_the_rows_of_a_round_are_there_before_a_level_reads_them(spark, monkeypatch):
+    """Making and reading them in one task took two Python processes for every core, and a batch handed to one was a whole partition."""
+    rows = frame(spark, drawn(5, 1_000))
+    sums, seen = boosted.level_sums, []
+
+    def level_sums(rows, *rest):
+        infos = {info.id(): info.numCachedPartitions() for info in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+        seen.append(infos.get(rows.id()) == rows.getNumPartitions() > 0)
+        return sums(rows, *rest)
+
+    monkeypatch.setattr(boosted, "level_sums", level_sums)
+    boosted.fitted(rows, "key", "label", F.col("held"), FEATURES, 3, Settings(rounds=2, depth=2, stored_every=1))
+    assert seen and all(seen)
